@@ -22,7 +22,7 @@ COUNTS = "doc_id long, section long, start long, n_chars long, n_tokens long, n_
 
 def attribute(ends: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and boundary-crossing tokens of each section. ends: the byte after each token; cuts: first byte of each section, from 0."""
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[:-1]
     first = np.searchsorted(cuts, starts, "right") - 1
     last = np.maximum(np.searchsorted(cuts, ends, "left") - 1, first)
     owner, crossing = first.copy(), last > first
