@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op7_decontamination
+from .minhash import op3_minhash_dedup
 from .packing import op9_best_fit_packing
 from .token_counts import op10_token_counts
 from .token_output import op1_token_output
@@ -14,6 +16,8 @@ from .token_output import op1_token_output
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
+        "op3_minhash_dedup": op3_minhash_dedup,
+        "op7_decontamination": op7_decontamination,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
     }

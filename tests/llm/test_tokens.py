@@ -132,7 +132,7 @@ def test_section_counts(docs):
 
 def test_attribution_rule():
     tokens, crossing = attribute(np.array([2, 6, 9]), np.array([0, 4, 7]))
-    assert tokens.tolist() == [2, 0, 1] and crossing.tolist() == [1, 0, 0]  # token 2-6 is shared 2:2, so the first has it
+    assert tokens.tolist() == [2, 0, 1] and crossing.tolist() == [1, 0, 1]  # token 2-6 is shared 2:2, so the first has it
     tokens, _ = attribute(np.array([2, 7, 9]), np.array([0, 4, 7]))
     assert tokens.tolist() == [1, 1, 1]
     assert attribute(np.array([], int), np.array([0]))[0].tolist() == [0]
