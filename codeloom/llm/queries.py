@@ -11,11 +11,13 @@ from .minhash import op3_minhash_dedup
 from .packing import op9_best_fit_packing
 from .token_counts import op10_token_counts
 from .token_output import op1_token_output
+from .toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
+        "op2_toxicity": op2_toxicity,
         "op3_minhash_dedup": op3_minhash_dedup,
         "op7_decontamination": op7_decontamination,
         "op9_best_fit_packing": op9_best_fit_packing,
