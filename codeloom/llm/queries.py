@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op7_decontamination
+from .html_text import op5_html_text
+from .imatch import op8_imatch
 from .minhash import op3_minhash_dedup
 from .packing import op9_best_fit_packing
 from .token_counts import op10_token_counts
 from .token_output import op1_token_output
 from .toxicity import op2_toxicity
+from .url_filter import op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,7 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_output": op1_token_output,
         "op2_toxicity": op2_toxicity,
         "op3_minhash_dedup": op3_minhash_dedup,
+        "op4_url_filter": op4_url_filter,
+        "op5_html_text": op5_html_text,
         "op7_decontamination": op7_decontamination,
+        "op8_imatch": op8_imatch,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
     }
