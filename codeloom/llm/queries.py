@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op7_decontamination
 from .html_text import op5_html_text
 from .imatch import op8_imatch
+from .lm_score import op6_lm_score
 from .minhash import op3_minhash_dedup
 from .packing import op9_best_fit_packing
 from .token_counts import op10_token_counts
@@ -18,12 +19,16 @@ from .url_filter import op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_token_output": op1_token_output,
         "op2_toxicity": op2_toxicity,
         "op3_minhash_dedup": op3_minhash_dedup,
         "op4_url_filter": op4_url_filter,
         "op5_html_text": op5_html_text,
+        "op6_lm_score": op6_lm_score,
         "op7_decontamination": op7_decontamination,
         "op8_imatch": op8_imatch,
         "op9_best_fit_packing": op9_best_fit_packing,
