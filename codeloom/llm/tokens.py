@@ -1,8 +1,9 @@
 """Encoding of whole texts with a public tokenizer file, at the speed of a dictionary.
 
-A byte-level BPE splits a text before merging, and every transition from non-space to white space is such a
-split. So a text is cut there into chunks (white space and what follows it), the ids of each distinct chunk come
-from the tokenizers library once, and a text's ids are the concatenation. The cache is bounded.
+A byte-level BPE splits a text before merging. Every transition from non-space to white space is such a split, and so is
+every one from a letter to ASCII punctuation or a digit. So a text is cut there into chunks, the ids of each distinct
+chunk come from the tokenizers library once, and a text's ids are the concatenation. The cache is bounded. New chunks
+are encoded together, with line feeds between them; a line feed is a split on both sides and has an id of its own.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ import numpy as np
 
 #: Unicode's White_Space, as the tokenizer's \s has it (Python's \s holds four controls more).
 _WS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_NO_LETTER = f"{_WS}!-@\\[-`{{-~"
+CHUNK = re.compile(f"[{_WS}]*(?:[{_LETTER}]++(?=[{_NO_LETTER}]|\\Z)|[^{_WS}]+)|[{_WS}]+")
+#: Chunks that keep their ids between line feeds
+SIMPLE = re.compile(f" ?[^{_WS}]+")
 CACHE_ENTRIES, LONGEST_CACHED = 400_000, 64
 
 
@@ -37,8 +42,19 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, encoded)}
+        encode = self.tokenizer.encode_batch_fast
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        together = [c for c in chunks if SIMPLE.fullmatch(c)] if len(feed) == 1 else []
+        out = {}
+        for k in range(0, len(together), 256):
+            part = together[k : k + 256]
+            ids = np.array(encode(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, cuts = ids.tobytes(), [-1, *np.flatnonzero(ids == feed[0]).tolist(), len(ids)]
+            out.update((c, raw[4 * a + 4 : 4 * b]) for c, a, b in zip(part, cuts, cuts[1:], strict=False))
+            assert len(cuts) == len(part) + 1
+        alone = [c for c in chunks if c not in out]
+        out.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(alone, encode(alone, add_special_tokens=False)))
+        return out
 
     def ids(self, text: str | None) -> bytes:
         chunks = CHUNK.findall(text or "")
