@@ -38,7 +38,10 @@ def density_band(comments: Column, total: Column) -> Column:
 def secrets(files: DataFrame) -> DataFrame:
     """file_id, kind, hit, line_no: all matches of the secret patterns over the whole text, without false positives and comment
     lines. One projection scans the text for all patterns."""
-    found = [F.transform(F.regexp_extract_all("code", F.lit(p), F.lit(0)), lambda h, k=k: F.struct(F.lit(k).alias("kind"), h.alias("hit"))) for k, p in SECRETS.items()]
+    def of_kind(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("code", F.lit(pattern), F.lit(0)), lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("hit")))
+
+    found = [of_kind(k, p) for k, p in SECRETS.items()]
     hits = files.select("file_id", "code", F.explode(F.concat(*found)).alias("h")).select("file_id", "h.kind", "h.hit", F.expr("substring_index(code, h.hit, 1)").alias("before"))
     low = F.lower("hit")
     real = ~F.lit(False)
