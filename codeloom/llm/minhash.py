@@ -70,12 +70,15 @@ def _can_link(shared: Column, n: Column, other: Column, part: int, whole: int) -
     return (part + whole) * shared >= part * (n + other)
 
 
+def _collisions(a: str, b: str) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int, part: int, whole: int, name: str) -> DataFrame:
     """The pairs (a, b) that collide often enough and whose full sets are similar enough."""
     side = lambda t, col, k: t.select(F.col("rep").alias(k), F.col(col).alias(f"{col}_{k}"))
     hits = pairs.join(side(classes, "sig", "a"), "a").join(side(classes, "sig", "b"), "b")
-    collisions = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    hits = materialize(hits.filter(collisions >= match).select("a", "b"), f"{name}-matches")
+    hits = materialize(hits.filter(_collisions("sig_a", "sig_b") >= match).select("a", "b"), f"{name}-matches")
     both = hits.join(side(sets, "shingles", "a"), "a").join(side(sets, "shingles", "b"), "b")
     inter = F.size(F.array_intersect("shingles_a", "shingles_b"))
     both = both.select("a", "b", inter.alias("i"), (F.size("shingles_a") + F.size("shingles_b")).alias("t"))
@@ -115,10 +118,15 @@ def near_duplicates(docs: DataFrame, part: int = PART, whole: int = WHOLE, coord
     labelled = lists.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_lists = lambda t: t.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).filter("lo <> hi").select("key", "least")
     rest = labelled.join(open_lists(labelled), "key").filter(_can_link(F.col("shared"), F.col("n"), F.col("least"), part, whole)).drop("least")
-    rest = materialize(rest.join(open_lists(rest), "key").drop("least"), "open")
+    rest = rest.join(open_lists(rest), "key").drop("least")
+    # a pair counts its collisions in the first list that both are posted in, and skips the other lists
+    held = family.join(classes.select("rep", "sig"), "rep")
+    rest = materialize(rest.join(held, "rep"), "open")
     x, y = rest.alias("x"), rest.alias("y")
     crossing = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
     crossing &= _can_link(F.least("x.shared", "y.shared"), F.col("x.n"), F.col("y.n"), part, whole)
+    crossing &= F.col("x.key") == F.array_intersect("x.keys", "y.keys")[0]
+    crossing &= _collisions("x.sig", "y.sig") >= match
     more = _confirmed(x.join(y, crossing).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), classes, sets, match, part, whole, "cross")
 
     labels = components(links.unionByName(more)).withColumnRenamed("node", "rep")
