@@ -20,7 +20,7 @@ _NO_LETTER = f"{_WS}!-@\\[-`{{-~"
 CHUNK = re.compile(f"[{_WS}]*(?:[{_LETTER}]++(?=[{_NO_LETTER}]|\\Z)|[^{_WS}]+)|[{_WS}]+")
 #: Chunks that keep their ids between line feeds
 SIMPLE = re.compile(f" ?[^{_WS}]+")
-CACHE_ENTRIES, LONGEST_CACHED = 400_000, 64
+CACHE_ENTRIES, LONGEST_CACHED = 350_000, 64
 
 
 def default_path() -> str:
@@ -39,7 +39,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # two generations: what is used again while the younger one fills up stays
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         encode = self.tokenizer.encode_batch_fast
@@ -60,10 +62,13 @@ class Encoder:
         chunks = CHUNK.findall(text or "")
         out = list(map(self.cache.get, chunks))
         if None in out:
-            new = self._learn(list({c for c, ids in zip(chunks, out) if ids is None}))
+            missing = {c for c, ids in zip(chunks, out) if ids is None}
+            new = {c: self.older[c] for c in missing if c in self.older}
+            if len(new) < len(missing):
+                new |= self._learn([c for c in missing if c not in new])
             out = [new[c] if ids is None else ids for c, ids in zip(chunks, out)]
             if len(self.cache) + len(new) > CACHE_ENTRIES:
-                self.cache.clear()
+                self.cache, self.older = {}, self.cache
             self.cache.update((c, ids) for c, ids in new.items() if len(c) <= LONGEST_CACHED)
         return b"".join(out)
 
