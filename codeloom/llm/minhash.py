@@ -10,7 +10,8 @@
 
 A list of near copies is not expanded into all its pairs. Each list first links its members to two centres. Links
 merge classes into components, and only members of different components still meet. A pair is tried only if the
-shingles of each side that any other class has are numerous enough for the threshold, an exact bound.
+shingles of each side that any other class has are numerous enough for the threshold, and if the parities of the sets'
+hash buckets differ in few enough places; both are exact bounds.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .components import components
 from .shingles import MinHash, set_key, shingle_set
 
 COORDS, MATCH, PART, WHOLE = 48, 28, 85, 100
+#: Bits of the parity sketch of a set
+SKETCH = 1024
 #: Representatives (8 bytes each) up to which the second scan's filter is broadcast; beyond, it is a shuffled join.
 BROADCAST_ROWS = 1_000_000
 
@@ -53,16 +56,17 @@ def signatures(docs: DataFrame, coords: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """rep, shingles: the sorted shingle hashes of each row of docs (rep, text)."""
+    """rep, shingles: the sorted shingle hashes of each row of docs (rep, text); odd: which of SKETCH buckets hold an odd number of them."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [shingle_set(t.as_py()).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rep", "shingles"])
+                odd = [np.packbits(np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64) for s in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in (found, odd))], names=["rep", "shingles", "odd"])
 
-    return docs.mapInArrow(sets, "rep long, shingles array<long>")
+    return docs.mapInArrow(sets, "rep long, shingles array<long>, odd array<long>")
 
 
 def _can_link(shared: Column, n: Column, other: Column, part: int, whole: int) -> Column:
@@ -74,6 +78,12 @@ def _collisions(a: str, b: str) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
+def _may_be_close(odd_a: Column, odd_b: Column, n: Column, part: int, whole: int) -> Column:
+    """Buckets whose parity differs are |A ^ B| at most, and |A & B| is half of n = |A| + |B| less |A ^ B|. An exact bound."""
+    apart = F.aggregate(F.zip_with(odd_a, odd_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return (part + whole) * (n - apart) >= 2 * part * n
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int, part: int, whole: int, name: str) -> DataFrame:
     """The pairs (a, b) that collide often enough and whose full sets are similar enough."""
     side = lambda t, col, k: t.select(F.col("rep").alias(k), F.col(col).alias(f"{col}_{k}"))
@@ -120,12 +130,13 @@ def near_duplicates(docs: DataFrame, part: int = PART, whole: int = WHOLE, coord
     rest = labelled.join(open_lists(labelled), "key").filter(_can_link(F.col("shared"), F.col("n"), F.col("least"), part, whole)).drop("least")
     rest = rest.join(open_lists(rest), "key").drop("least")
     # a pair counts its collisions in the first list that both are posted in, and skips the other lists
-    held = family.join(classes.select("rep", "sig"), "rep")
+    held = family.join(classes.select("rep", "sig"), "rep").join(sets.select("rep", "odd"), "rep")
     rest = materialize(rest.join(held, "rep"), "open")
     x, y = rest.alias("x"), rest.alias("y")
     crossing = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
     crossing &= _can_link(F.least("x.shared", "y.shared"), F.col("x.n"), F.col("y.n"), part, whole)
     crossing &= F.col("x.key") == F.array_intersect("x.keys", "y.keys")[0]
+    crossing &= _may_be_close(F.col("x.odd"), F.col("y.odd"), F.col("x.n") + F.col("y.n"), part, whole)
     crossing &= _collisions("x.sig", "y.sig") >= match
     more = _confirmed(x.join(y, crossing).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), classes, sets, match, part, whole, "cross")
 
