@@ -9,7 +9,8 @@ lexicons' size whatever the corpus: a term is in LEAST of the documents at least
 terms, so there are at most (mean distinct drawn terms) / LEAST of them.
 
 Each document needs a piece of the next one. Ids are ranked by a range sort of ids alone; every document then sends
-the wanted prefix and its fingerprint to the one before. Texts are shuffled once, by doc_id.
+the wanted prefix and its fingerprint to the one before. Texts are fingerprinted and shuffled by doc_id once; both joins
+read that shuffle.
 """
 
 from __future__ import annotations
@@ -32,13 +33,19 @@ LEXICON_ROWS = 200_000
 
 def drawn_terms(text: Column) -> Column:
     """Sorted distinct (coordinate * 2^48 + 48 bits of hash) of the terms that are drawn into a lexicon."""
-    words = F.array_distinct(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"))
-    hashes = F.filter(F.transform(words, lambda w: F.when(w != "", F.xxhash64(w))), lambda h: h.isNotNull())
-    place = lambda h, at, share: F.pmod(F.shiftrightunsigned(h, at), F.lit(share))
-    entry = lambda h, c: F.shiftleft(c.cast("long"), 48) + h.bitwiseAND(F.lit((1 << 48) - 1))
-    coarse = F.transform(F.filter(hashes, lambda h: place(h, 50, COARSE) < HALF), lambda h: entry(h, place(h, 50, COARSE)))
-    fine = F.transform(F.filter(hashes, lambda h: place(h, 36, FINE) < COORDS - HALF), lambda h: entry(h, place(h, 36, FINE) + HALF))
-    return F.concat(coarse, fine)
+    words = F.array_remove(F.array_distinct(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+")), "")
+    place = lambda h, at, share: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(share - 1))
+    # the place is below HALF where its upper bits are 0
+    upper = lambda at, share: F.lit((share - HALF) << at)
+    entry = lambda h, c: F.shiftleft(c, 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
+
+    def of(hashes: Column) -> Column:
+        coarse = F.transform(F.filter(hashes, lambda h: h.bitwiseAND(upper(50, COARSE)) == 0), lambda h: entry(h, place(h, 50, COARSE)))
+        fine = F.transform(F.filter(hashes, lambda h: h.bitwiseAND(upper(36, FINE)) == 0), lambda h: entry(h, place(h, 36, FINE) + HALF))
+        return F.concat(coarse, fine)
+
+    # transform() over a one-element array names the hashes, so that they are computed once
+    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), of)[0]
 
 
 def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
@@ -56,6 +63,10 @@ def literal(lexicon_rows: DataFrame) -> Column:
     return F.from_json(F.lit(json.dumps(entries)), "array<bigint>")
 
 
+def places() -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(COORDS - 1).cast("long"))
+
+
 def fingerprint(text: Column, entries: Column) -> Column:
     """64 coordinates of four hexadecimal digits, `----` where the text has no term of the lexicon. A text without any term
     of any lexicon has a hash of itself as its first coordinate."""
@@ -63,9 +74,10 @@ def fingerprint(text: Column, entries: Column) -> Column:
     digits = lambda h: F.lpad(F.lower(F.hex(F.pmod(h, F.lit(65_536)))), 4, "0")
 
     def all_coordinates(terms: Column) -> Column:
-        one = lambda k: F.filter(terms, lambda t: F.shiftright(t, 48) == k)
-        filled = lambda part: F.when(F.size(part) == 0, F.lit(EMPTY)).otherwise(digits(F.xxhash64(part)))
-        return F.array_join(F.transform(F.transform(F.sequence(F.lit(0), F.lit(COORDS - 1)), one), filled), "")
+        filled = F.array_distinct(F.transform(terms, lambda t: F.shiftright(t, 48)))
+        hashes = F.transform(filled, lambda k: digits(F.xxhash64(F.filter(terms, lambda t: F.shiftright(t, 48) == k))))
+        both = F.transform(F.array(F.struct(filled.alias("k"), hashes.alias("h"))), lambda x: F.transform(places(), lambda k: F.coalesce(F.get(x["h"], F.array_position(x["k"], k).cast("int") - 1), F.lit(EMPTY))))
+        return F.array_join(both[0], "")
 
     whole = F.concat(digits(F.xxhash64(F.coalesce(text, F.lit("")))), F.lit(EMPTY * (COORDS - 1)))
     # transform() over a one-element array names `own`, so that it is computed once
@@ -74,11 +86,11 @@ def fingerprint(text: Column, entries: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Equal coordinates as a share of those that either fingerprint has filled."""
-    at = lambda s, k: F.substring(s, k * 4 + 1, F.lit(4))
-    places = F.sequence(F.lit(0), F.lit(COORDS - 1))
-    filled = F.size(F.filter(places, lambda k: (at(a, k) != EMPTY) | (at(b, k) != EMPTY)))
-    equal = F.size(F.filter(places, lambda k: (at(a, k) == at(b, k)) & (at(a, k) != EMPTY)))
-    return F.coalesce(equal / filled, F.lit(0.0))
+    at = lambda s, k: F.substring(s, (k * 4 + 1).cast("int"), F.lit(4))
+    # 0 where neither is filled, 2 where both have the same, else 1
+    kinds = F.transform(places(), lambda k: F.when(at(a, k) == at(b, k), F.when(at(a, k) == EMPTY, 0).otherwise(2)).otherwise(1))
+    filled, equal = F.filter(kinds, lambda x: x > 0), lambda x: F.size(F.filter(x, lambda y: y == 2))
+    return F.coalesce(F.transform(F.array(filled), lambda x: F.when(F.size(x) > 0, equal(x) / F.size(x)))[0], F.lit(0.0))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -107,12 +119,16 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> D
     entries = literal(lexicon(own, least, most))
     chain = neighbours(own.select("doc_id", F.length("text").cast("long").alias("n_chars")))
     half = lambda n: F.floor(n / 2).cast("int")
-    sent = own.join(chain, "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), half(F.col("prev_n"))).alias("prefix"), fingerprint(F.col("text"), entries).alias("next_print"))
-    sent = sent.repartition("doc_id").groupBy("doc_id").agg(F.min(F.struct("prefix", "next_print")).alias("next"))
+    # the key has no nulls: both joins then read the same columns of the same rows, so texts are shuffled and printed once
+    key = lambda c: F.col(c).cast("string")
+    printed = own.select(F.coalesce(key("doc_id"), F.concat(F.lit("n"), F.xxhash64("text").cast("string"))).alias("key"), "text", fingerprint(F.col("text"), entries).alias("fingerprint")).repartition("key")
+    chain = chain.select(F.coalesce(key("doc_id"), F.lit("")).alias("key"), F.coalesce(key("prev_id"), F.lit("")).alias("prev_key"), "prev_n")
+    sent = printed.join(chain, "key", "left").select(F.coalesce("prev_key", F.concat(F.lit("none"), "key")).alias("key"), F.substring("text", F.lit(1), half(F.col("prev_n"))).alias("prefix"), F.col("fingerprint").alias("next_print"))
+    sent = sent.repartition("key").groupBy("key").agg(F.min(F.struct("prefix", "next_print")).alias("next"))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - half(n)), F.substring(F.coalesce("next.prefix", F.lit("")), F.lit(1), half(n)))
-    out = own.join(sent, "doc_id", "left").select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("next.next_print").alias("next_print"))
-    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text"), entries).alias("fingerprint"), fingerprint(F.col("edited"), entries).alias("edited_fingerprint"), "next_print")
+    out = printed.join(sent, "key", "left").select(F.expr("try_cast(key as bigint)").alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.col("next.next_print").alias("next_print"))
+    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited"), entries).alias("edited_fingerprint"), "next_print")
     near = lambda other: likeness(F.col("fingerprint"), F.col(other))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), F.coalesce(near("next_print"), F.lit(0.0)).alias("near_next"))
 
