@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,21 @@ def input_partitions(df: DataFrame) -> int:
     return max(1, df._jdf.rdd().getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps between the tasks of a Python worker. All operators share the workers, so when another one
+    takes over, the last one's goes and its memory returns to the system."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z only, so results do not depend on the locale's case rules."""
     return F.translate(col, UPPER, LOWER)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import kept, materialize
 from .components import components
 from .shingles import MinHash, set_key, shingle_set
 
@@ -38,6 +38,7 @@ def signatures(docs: DataFrame, coords: int) -> DataFrame:
     """doc_id, n (shingles), k1, k2 (128 bits that equal sets share), sig (null without shingles)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("minhash")
         minhash = MinHash(coords)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

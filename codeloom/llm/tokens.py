@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from .common import kept
+
 #: Unicode's White_Space, as the tokenizer's \s has it (Python's \s holds four controls more).
 _WS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -20,7 +22,7 @@ _NO_LETTER = f"{_WS}!-@\\[-`{{-~"
 CHUNK = re.compile(f"[{_WS}]*(?:[{_LETTER}]++(?=[{_NO_LETTER}]|\\Z)|[^{_WS}]+)|[{_WS}]+")
 #: Chunks that keep their ids between line feeds
 SIMPLE = re.compile(f" ?[^{_WS}]+")
-CACHE_ENTRIES, LONGEST_CACHED = 350_000, 64
+CACHE_ENTRIES, LONGEST_CACHED = 250_000, 64
 
 
 def default_path() -> str:
@@ -78,11 +80,9 @@ class Encoder:
         return np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder per process and file; Python workers are reused, so the cache outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    encoders = kept("encoder")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import kept, words_of
 from .gru import Network, train
 
 #: Labelled documents of each label that training reads, and the score from which a text is toxic.
@@ -55,6 +55,7 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         net = sent.value
         for batch in batches:
             scores = [net.score([words_of(t.as_py(), "alnum") for t in batch.column(1).slice(at, 128)]) for at in range(0, batch.num_rows, 128)]
