@@ -56,21 +56,22 @@ class SequenceWriter:
         self.type, self.kind, self.seq_len = (pa.uint32(), "<u4", seq_len) if wide else (pa.uint16(), "<u2", seq_len)
         self.schema = file_schema(seq_len, self.type)
         self.file, self.sink = pa.ipc.new_file(sink, self.schema), sink
-        self.parts: list[np.ndarray] = []
+        self.parts: list[bytes] = []
         self.begun: list[tuple[int, int | None]] = []  # place from the first pending id on, and document
         self.pending = self.n_docs = self.n_tokens = self.n_sequences = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """ids: little-endian unsigned 32-bit values"""
         self.begun.append((self.pending, doc_id))
-        self.parts.append(ids.astype(self.kind))
-        self.pending += len(ids)
+        self.parts.append(ids)
+        self.pending += len(ids) // 4
         self.n_docs += 1
-        self.n_tokens += len(ids)
+        self.n_tokens += len(ids) // 4
         if self.pending >= self.seq_len * BATCH_SEQUENCES:
             self._write(self.pending // self.seq_len)
 
     def _write(self, rows: int) -> None:
-        flat = np.concatenate(self.parts) if self.parts else np.empty(0, self.kind)
+        flat = np.frombuffer(b"".join(self.parts), "<u4").astype(self.kind)
         size = rows * self.seq_len
         starts, valid = np.zeros(size, bool), np.zeros(size, bool)
         now = [(at, d) for at, d in self.begun if at < size]
@@ -83,7 +84,7 @@ class SequenceWriter:
         fixed = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, valid, starts)]
         self.file.write_batch(pa.record_batch([*fixed, lists], schema=self.schema))
         self.n_sequences += rows
-        self.parts, self.pending = ([flat[size:]], len(flat) - size) if len(flat) > size else ([], 0)
+        self.parts, self.pending = ([flat[size:].astype("<u4").tobytes()], len(flat) - size) if len(flat) > size else ([], 0)
         self.begun = [(at - size, d) for at, d in self.begun if at >= size]
 
     def close(self) -> None:
@@ -100,14 +101,14 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
     path = tokenizer or default_path()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, writer, end = encoder(path), None, np.array([end_id], "<u4")
+        enc, writer, end = encoder(path), None, np.array([end_id], "<u4").tobytes()
         wide = max(enc.tokenizer.get_vocab_size(), end_id) > 0xFFFF
         no = TaskContext.get().partitionId()
         to = f"{out}/part-{no:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 writer = writer or SequenceWriter(_open(to, True), seq_len, wide)
-                writer.add(doc_id, np.concatenate([np.frombuffer(enc.ids(text.as_py()), "<u4"), end]))
+                writer.add(doc_id, enc.ids(text.as_py()) + end)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"file_no": pa.array([no], pa.int32()), "path": [to], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens], "n_sequences": [writer.n_sequences]})

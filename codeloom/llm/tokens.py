@@ -41,13 +41,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         # two generations: what is used again while the younger one fills up stays
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         encode = self.tokenizer.encode_batch_fast
-        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        feed = self.feed
         together = [c for c in chunks if SIMPLE.fullmatch(c)] if len(feed) == 1 else []
         out = {}
         for k in range(0, len(together), 256):
@@ -57,7 +58,8 @@ class Encoder:
             out.update((c, raw[4 * a + 4 : 4 * b]) for c, a, b in zip(part, cuts, cuts[1:], strict=False))
             assert len(cuts) == len(part) + 1
         alone = [c for c in chunks if c not in out]
-        out.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(alone, encode(alone, add_special_tokens=False)))
+        if alone:
+            out.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(alone, encode(alone, add_special_tokens=False)))
         return out
 
     def ids(self, text: str | None) -> bytes:
