@@ -37,8 +37,8 @@ def encode_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = E
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.ids(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.many(text.as_py() for text in batch.column(1))):
+                ids += end
                 n, view = len(ids) // 4, memoryview(ids)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 rows += [(doc_id, k, i, j - i, zlib.crc32(view[4 * i : 4 * j])) for k, (i, j) in enumerate(zip(cuts, cuts[1:]))]

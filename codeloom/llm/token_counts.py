@@ -9,6 +9,7 @@ sections (the line ends) belong to the section before.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import tee
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,9 @@ def section_token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataF
         for batch in batches:
             ids_of: list[int | None] = []
             parts: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = value.as_py() or ""
-                ends = np.cumsum(lengths[np.frombuffer(enc.ids(text), "<u4")])
+            texts, again = tee(value.as_py() or "" for value in batch.column(1))
+            for doc_id, text, ids in zip(batch.column(0).to_pylist(), texts, enc.many(again)):
+                ends = np.cumsum(lengths[np.frombuffer(ids, "<u4")])
                 raw = np.frombuffer(text.encode(), np.uint8)
                 breaks = np.flatnonzero(raw == 0x0A)
                 cuts = np.concatenate([[0], breaks + 1])

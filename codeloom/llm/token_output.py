@@ -106,9 +106,9 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
         no = TaskContext.get().partitionId()
         to = f"{out}/part-{no:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.many(text.as_py() for text in batch.column(1))):
                 writer = writer or SequenceWriter(_open(to, True), seq_len, wide)
-                writer.add(doc_id, enc.ids(text.as_py()) + end)
+                writer.add(doc_id, ids + end)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"file_no": pa.array([no], pa.int32()), "path": [to], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens], "n_sequences": [writer.n_sequences]})

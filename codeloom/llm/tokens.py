@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -23,6 +24,8 @@ CHUNK = re.compile(f"[{_WS}]*(?:[{_LETTER}]++(?=[{_NO_LETTER}]|\\Z)|[^{_WS}]+)|[
 #: Chunks that keep their ids between line feeds
 SIMPLE = re.compile(f" ?[^{_WS}]+")
 CACHE_ENTRIES, LONGEST_CACHED = 250_000, 64
+#: Characters of texts whose new chunks are learned together
+GROUP_CHARS = 1 << 18
 
 
 def default_path() -> str:
@@ -62,19 +65,38 @@ class Encoder:
             out.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(alone, encode(alone, add_special_tokens=False)))
         return out
 
+    def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """ids() of each text. The new chunks of a group of texts are learned together."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            group.append(CHUNK.findall(text or ""))
+            size += len(text or "")
+            if size >= GROUP_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[str]]) -> list[bytes]:
+        distinct = set().union(*group)
+        missing = distinct.difference(self.cache)
+        if len(self.cache) + len(missing) > CACHE_ENTRIES:
+            self.cache, self.older, missing = {}, self.cache, distinct
+        cache = self.cache
+        if missing:
+            held = missing & self.older.keys()
+            cache.update((c, self.older[c]) for c in held)
+            cache.update(self._learn(list(missing - held)))
+        out = [b"".join(map(cache.__getitem__, chunks)) for chunks in group]
+        for c in missing:
+            if len(c) > LONGEST_CACHED:
+                del cache[c]
+        if len(cache) > CACHE_ENTRIES:  # one text with more distinct chunks than the cache takes
+            self.cache = {}
+        return out
+
     def ids(self, text: str | None) -> bytes:
-        chunks = CHUNK.findall(text or "")
-        out = list(map(self.cache.get, chunks))
-        if None in out:
-            missing = {c for c, ids in zip(chunks, out) if ids is None}
-            new = {c: self.older[c] for c in missing if c in self.older}
-            if len(new) < len(missing):
-                new |= self._learn([c for c in missing if c not in new])
-            out = [new[c] if ids is None else ids for c, ids in zip(chunks, out)]
-            if len(self.cache) + len(new) > CACHE_ENTRIES:
-                self.cache, self.older = {}, self.cache
-            self.cache.update((c, ids) for c, ids in new.items() if len(c) <= LONGEST_CACHED)
-        return b"".join(out)
+        return next(self.many([text]))
 
     def byte_lengths(self) -> np.ndarray:
         """UTF-8 bytes that each id stands for: a byte-level piece has one character per byte."""
