@@ -2,7 +2,8 @@ import pytest
 
 import __spark_entry__
 from codeloom.functions import jsonx
-from codeloom.operators import findings, rules, scoring, structure, text_metrics
+from codeloom.operators import findings, reports, rewrite, rules, scoring, structure, text_metrics
+from codeloom.plans.catalog import QUERIES
 from codeloom.schema import grade
 from codeloom.sources import pyast
 from codeloom.sources.tables import lines, read_source_tree
@@ -90,3 +91,26 @@ def test_rules(spark):
     assert sorted((r["file_id"], r["line_no"], r["hit"]) for r in hits.collect()) == [("0", 1, "xx"), ("0", 3, "x"), ("1", 1, "x")]
     assert {r["rule_id"]: r["violations"] for r in rules.counts(hits, rules.rule_table(spark, own)).collect()} == {"a": 3, "b": 0}
     assert sorted(map(tuple, rules.required(f, own).collect())) == [("a", "0"), ("b", "0"), ("b", "1")]
+
+
+def test_token_bucket(spark, data):
+    got = {(r.client, r.request): r.admitted for r in QUERIES["token_bucket_stream"](spark, data).collect()}
+    rows = spark.read.parquet(f"{data}/events.parquet").selectExpr("cast(user_id as string) u", "event_id", "cast(cast(ts as timestamp) as double) t").collect()
+    bucket, want = {}, {}
+    for u, e, t in sorted(map(tuple, rows), key=lambda r: (r[2], r[1])):
+        tokens, last = bucket.get(u, (3.0, t))
+        tokens = min(3.0, tokens + (t - last) * 2 / 86400)
+        want[u, e] = tokens >= 1
+        bucket[u] = (tokens - want[u, e], t)
+    assert got == want and len(set(want.values())) == 2
+
+
+def test_broken_reports_give_nothing(spark):
+    bad = spark.createDataFrame([("no json",), (None,), ("",), ("[]",), ("{}",)], "report string")
+    assert not any(f(bad).count() for f in (reports.bandit, reports.ruff, reports.flake8, reports.coverage))
+
+
+def test_rewrite_of_nothing(spark):
+    files = spark.createDataFrame([("a", None), ("b", ""), ("c", "DEBUG = True \nDEBUGGER=True")], "file_id string, code string")
+    got = {r.file_id: (r.code, r.n_changed) for r in rewrite.fix_lines(files).collect()}
+    assert got == {"a": (None, 0), "b": ("", 0), "c": ("DEBUG = False\nDEBUGGER=True", 1)}

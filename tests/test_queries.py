@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from codeloom.plans.queries import QUERIES, SQL
+from codeloom.plans.catalog import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def plain(rows, columns):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, data, name):
     got = QUERIES[name](spark, data)
     want = duck.sql(SQL[name])
