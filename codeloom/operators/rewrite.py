@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Pattern of a line's part and what takes its place.
+# Pattern of a line and what takes its place.
 FIXES = {
-    "bare_except": (r"\bexcept:", "except Exception:"),
-    "debug_flag": (r"\bDEBUG\s*=\s*True\b", "DEBUG = False"),
-    "trailing_blank": (r"[ \t]+$", ""),
+    "bare_except": (r"^(\s*)except\s*:\s*\z", "$1except Exception:"),
+    "debug_flag": (r"^(\s*)(DEBUG|debug)\s*=\s*True\s*\z", "$1$2 = False"),
+    "trailing_blank": (r"[ \t]+\z", ""),
 }
 
 

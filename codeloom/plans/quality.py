@@ -145,13 +145,13 @@ def taint_flows(spark, d):
     return quality.taint_flows(pyast.nodes(files), ("input", "raw_input"), ("system", "execute"))
 
 
-DIRTY = """(SELECT CAST(doc_id AS VARCHAR) AS file_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: CASE WHEN length(x) % 2 = 0 THEN x || ' ' || chr(9) WHEN length(x) % 3 = 0 THEN 'except:' || x ELSE x END) AS l FROM documents)"""
-CLEAN = "list_transform(l, lambda x: rtrim(replace(x, 'except:', 'except Exception:'), ' ' || chr(9)))"
+DIRTY = """(SELECT CAST(doc_id AS VARCHAR) AS file_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: CASE WHEN length(x) % 2 = 0 THEN x || ' ' || chr(9) WHEN length(x) % 3 = 0 THEN '  except : ' ELSE x END) AS l FROM documents)"""
+CLEAN = "list_transform(l, lambda x: CASE WHEN x = '  except : ' THEN '  except Exception:' ELSE rtrim(x, ' ' || chr(9)) END)"
 
 
 @query(f"SELECT file_id, sha256(array_to_string({CLEAN}, chr(10))) AS sha256, CAST(list_sum(list_transform(list_zip(l, {CLEAN}), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS BIGINT) AS n_changed FROM {DIRTY}")
 def rewrite_lines(spark, d):
-    dirty = F.transform(F.split("code", "\n", -1), lambda x: F.when(F.length(x) % 2 == 0, F.concat(x, F.lit(" \t"))).when(F.length(x) % 3 == 0, F.concat(F.lit("except:"), x)).otherwise(x))
+    dirty = F.transform(F.split("code", "\n", -1), lambda x: F.when(F.length(x) % 2 == 0, F.concat(x, F.lit(" \t"))).when(F.length(x) % 3 == 0, F.lit("  except : ")).otherwise(x))
     files = documents_as_files(spark, d).select("file_id", F.array_join(dirty, "\n").alias("code"))
     return rewrite.fix_lines(files).select("file_id", F.sha2("code", 256).alias("sha256"), "n_changed")
 

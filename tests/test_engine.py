@@ -111,6 +111,6 @@ def test_broken_reports_give_nothing(spark):
 
 
 def test_rewrite_of_nothing(spark):
-    files = spark.createDataFrame([("a", None), ("b", ""), ("c", "DEBUG = True \nDEBUGGER=True")], "file_id string, code string")
+    files = spark.createDataFrame([("a", None), ("b", ""), ("c", "DEBUG = True \nDEBUGGER=True\n debug=True\nx = 1  # except:")], "file_id string, code string")
     got = {r.file_id: (r.code, r.n_changed) for r in rewrite.fix_lines(files).collect()}
-    assert got == {"a": (None, 0), "b": ("", 0), "c": ("DEBUG = False\nDEBUGGER=True", 1)}
+    assert got == {"a": (None, 0), "b": ("", 0), "c": ("DEBUG = False\nDEBUGGER=True\n debug = False\nx = 1  # except:", 2)}
