@@ -11,6 +11,7 @@ training has seen, which takes the weight that is left.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -71,41 +72,89 @@ class Places:
         return at
 
 
+#: Of nodes with the same number of context bytes and decided bits: their numbers in rising order, how often they occur, and the ones
+Nodes = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def levels(keys: np.ndarray, counts: np.ndarray, depths: Iterable[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each depth: the distinct numbers of that many context bytes and a byte, and their counts."""
+    out = []
+    for d in depths:
+        own, index = np.unique(keys & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        out.append((own, np.bincount(index, weights=counts)))
+    return out
+
+
+def nodes_of(own: np.ndarray, count: np.ndarray, bit: int) -> Nodes:
+    path, index = np.unique(own >> (8 - bit), return_inverse=True)
+    return path, np.bincount(index, weights=count), np.bincount(index, weights=count * ((own >> (7 - bit)) & 1))
+
+
+def shorter(path: np.ndarray, depth: int, bit: int) -> np.ndarray:
+    """The numbers of the same nodes with `depth` context bytes."""
+    return path & ((1 << (8 * depth + bit)) - 1)
+
+
+def upward(nodes: list[Nodes], first: int, bit: int, below: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of nodes of the depths from `first` on: each one's parent, each parent's share for stopping there, and the log weights
+    of the first depth. below: those of the last depth, where longer contexts exist."""
+    own = [log_kt(total - ones, ones) for _, total, ones in nodes]
+    below = own[-1] if below is None else below
+    parents, stops = [], []
+    for k in range(len(nodes) - 1, 0, -1):
+        up = np.searchsorted(nodes[k - 1][0], shorter(nodes[k][0], first + k - 1, bit))
+        both = np.logaddexp(own[k - 1], np.bincount(up, weights=below, minlength=len(own[k - 1]))) - math.log(2)
+        parents.insert(0, up)
+        stops.insert(0, np.exp(own[k - 1] - math.log(2) - both))
+        below = both
+    return parents, stops, below
+
+
+def downward(nodes: list[Nodes], parents: list[np.ndarray], stops: list[np.ndarray], gathered: np.ndarray, left: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Numbers and chance of a one of each depth's nodes, then what the last depth's have gathered and the weight that is left
+    to them. gathered, left: those of the first depth."""
+    out, estimate = [], np.empty(0)
+    for k, (path, total, ones) in enumerate(nodes):
+        if k:
+            up = parents[k - 1]
+            gathered, left = (gathered + left * stops[k - 1] * estimate)[up], (left * (1 - stops[k - 1]))[up]
+        estimate = (ones + 0.5) / (total + 1)
+        out.append((path, (gathered + left * estimate).astype(np.float32)))
+    return out, gathered, left
+
+
+def log10_by_nodes(nodes: list[list[tuple[np.ndarray, np.ndarray]]], key: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each byte in its context, from the longest known contexts. nodes: by depth, then by bit."""
+    out = np.zeros(len(key))
+    for bit in range(8):
+        p, open_ = np.full(len(key), 0.5), np.arange(len(key))
+        for d in range(len(nodes) - 1, -1, -1):
+            path, one = nodes[d][bit]
+            if not len(path):
+                continue
+            want = shorter(key[open_] >> (8 - bit), d, bit)
+            at = np.minimum(np.searchsorted(path, want), len(path) - 1)
+            found = path[at] == want
+            p[open_[found]] = one[at[found]]
+            open_ = open_[~found]
+        out += np.log10(np.where((key >> (7 - bit)) & 1, p, 1 - p))
+    return out
+
+
 class ContextTree:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
         """keys: distinct numbers of `depth` context bytes and a byte (see contexts), in rising order; counts: how often."""
         self.depth = depth
         if not len(keys):  # nothing seen: every bit has probability 1/2
             keys, counts = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        levels = []
-        for d in range(depth + 1):
-            own, index = np.unique(keys & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
-            levels.append((own, np.bincount(index, weights=counts)))
+        by_depth = levels(keys, counts, range(depth + 1))
         self.nodes = [[None] * 8 for _ in range(depth + 1)]  # numbers of the nodes, and their chance of a one
         for bit in range(8):
-            paths, estimates, weights = [], [], []
-            for own, count in levels:
-                path, index = np.unique(own >> (8 - bit), return_inverse=True)
-                ones = np.bincount(index, weights=count * ((own >> (7 - bit)) & 1))
-                total = np.bincount(index, weights=count)
-                paths.append(path)
-                estimates.append((ones + 0.5) / (total + 1))
-                weights.append(log_kt(total - ones, ones))
-            parent, stop, below = [None], [None] * depth, weights[depth]
-            for d in range(depth, 0, -1):
-                up = np.searchsorted(paths[d - 1], paths[d] & ((1 << (8 * (d - 1) + bit)) - 1))
-                parent.insert(1, up)
-                longer = np.bincount(up, weights=below, minlength=len(paths[d - 1]))
-                both = np.logaddexp(weights[d - 1], longer) - math.log(2)
-                stop[d - 1] = np.exp(weights[d - 1] - math.log(2) - both)
-                below = both
-            gathered, left = np.zeros(len(paths[0])), np.ones(len(paths[0]))
-            self.nodes[0][bit] = (paths[0], estimates[0].astype(np.float32))
-            for d in range(1, depth + 1):
-                up = parent[d]
-                gathered = (gathered + left * stop[d - 1] * estimates[d - 1])[up]
-                left = (left * (1 - stop[d - 1]))[up]
-                self.nodes[d][bit] = (paths[d], (gathered + left * estimates[d]).astype(np.float32))
+            nodes = [nodes_of(own, count, bit) for own, count in by_depth]
+            parents, stops, _ = upward(nodes, 0, bit)
+            root = len(nodes[0][0])
+            for d, found in enumerate(downward(nodes, parents, stops, np.zeros(root), np.ones(root))[0]):
+                self.nodes[d][bit] = found
         self.keys = keys
         self.places: Places | None = None  # made where it is used, so it is not sent
         self.logs = np.zeros(len(keys))
@@ -122,19 +171,52 @@ class ContextTree:
         out = self.logs[at]
         new = np.flatnonzero(at < 0)
         if len(new):
-            out[new] = self._unseen(key[new])
+            out[new] = log10_by_nodes(self.nodes, key[new])
         return out
 
-    def _unseen(self, key: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(key))
+
+class Trunk:
+    """The nodes of up to `depth` context bytes. What hangs on a node of that depth is a branch: it needs only that node's
+    share of the trunk, and gives the trunk only that node's weight, so branches are counted apart from each other."""
+
+    def __init__(self, depth: int, rows: list[tuple[np.ndarray, ...]]):
+        """rows: by bit, what weights() gives for the nodes of `depth` context bytes of all branches."""
+        self.nodes, self.ends = [[None] * 8 for _ in range(depth)], []
+        for bit, (path, total, ones, weight) in enumerate(rows):
+            order = np.argsort(path)
+            path, total, ones, weight = (x[order] for x in (path, total, ones, weight))
+            nodes = []
+            for d in range(depth):
+                own, index = np.unique(shorter(path, d, bit), return_inverse=True)
+                nodes.append((own, np.bincount(index, weights=total), np.bincount(index, weights=ones)))
+            nodes.append((path, total, ones))
+            parents, stops, _ = upward(nodes, 0, bit, weight)
+            root = len(nodes[0][0])
+            found, gathered, left = downward(nodes, parents, stops, np.zeros(root), np.ones(root))
+            for d in range(depth):
+                self.nodes[d][bit] = found[d]
+            self.ends.append((path, gathered, left))
+
+    @staticmethod
+    def weights(keys: np.ndarray, counts: np.ndarray, first: int, depth: int) -> list[tuple[np.ndarray, ...]]:
+        """By bit: number, total, ones and log weight of the nodes of `first` context bytes in whole branches."""
+        by_depth = levels(keys, counts, range(first, depth + 1))
+        out = []
         for bit in range(8):
-            p, open_ = np.full(len(key), 0.5), np.arange(len(key))
-            for d in range(self.depth, -1, -1):
-                path, one = self.nodes[d][bit]
-                want = (key[open_] & ((1 << (8 * (d + 1))) - 1)) >> (8 - bit)
-                at = np.minimum(np.searchsorted(path, want), len(path) - 1)
-                found = path[at] == want
-                p[open_[found]] = one[at[found]]
-                open_ = open_[~found]
-            out += np.log10(np.where((key >> (7 - bit)) & 1, p, 1 - p))
+            nodes = [nodes_of(own, count, bit) for own, count in by_depth]
+            out.append((*nodes[0], upward(nodes, first, bit)[2]))
         return out
+
+    def log10(self, keys: np.ndarray, counts: np.ndarray, asked: np.ndarray, depth: int) -> np.ndarray:
+        """log10 of the probability of each of `asked`, from the keys and counts of all their branches."""
+        first = len(self.nodes)
+        by_depth = levels(keys, counts, range(first, depth + 1))
+        found: list[list] = [[None] * 8 for _ in by_depth]
+        for bit in range(8):
+            nodes = [nodes_of(own, count, bit) for own, count in by_depth]
+            parents, stops, _ = upward(nodes, first, bit)
+            path, gathered, left = self.ends[bit]
+            at = np.searchsorted(path, nodes[0][0])
+            for k, x in enumerate(downward(nodes, parents, stops, gathered[at], left[at])[0]):
+                found[k][bit] = x
+        return log10_by_nodes(self.nodes + found, asked)

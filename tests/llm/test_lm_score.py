@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from codeloom.llm.ctw import ContextTree, contexts, log_kt
-from codeloom.llm.lm_score import op6_lm_score, scores
+from codeloom.llm.lm_score import op6_lm_score, scores, stream_of
 
 
 def kt(zeros, ones):
@@ -126,3 +126,18 @@ def test_odd_rows(spark):
     out = next(d for d in range(99) if zlib.crc32(str(d).encode()) % 7 == 2)
     alone = scores(spark.createDataFrame([(out, "ab")], "doc_id long, text string")).first()
     assert alone["train_tokens"] == 0 and abs(alone["bits_per_byte"] - 8) < 1e-9
+
+
+def test_full_depth_whatever_is_broadcast(spark, data):
+    """Every row's score is the whole tree's at full depth; a small capacity changes only where contexts are looked up."""
+    df = spark.read.parquet(f"{data}/documents.parquet").limit(40)
+    docs = [(r["doc_id"], r["text"]) for r in df.collect()]
+    found = [contexts(stream_of(t, 6), 6) for _, t in docs]
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in docs]
+    assert any(held)
+    tree = ContextTree(*np.unique(np.concatenate([x for x, h in zip(found, held) if not h]), return_counts=True), 6)
+    want = sorted((d, tree.log10(x).sum()) for (d, _), x in zip(docs, found))
+    for capacity in (1_600_000, 500, 0):
+        got = sorted((r["doc_id"], r["score"]) for r in scores(spark.createDataFrame(docs, "doc_id long, text string"), capacity=capacity).collect())
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9, atol=1e-6)
