@@ -4,9 +4,13 @@ Terms are lower-cased words. A hash of the term draws it into none, one or two o
 terms each, 32 hold 1/1024 each, the latter for long texts. Of these, the lexicons keep terms whose inverse document
 frequency lies in a band. A coordinate of the fingerprint is a hash of the text's sorted distinct terms in one lexicon.
 
-Document frequencies are counted for drawn terms only, with partial sums before the shuffle. The band bounds the
-lexicons' size whatever the corpus: a term is in LEAST of the documents at least, and a document has finitely many
-terms, so there are at most (mean distinct drawn terms) / LEAST of them.
+A text in which few drawn terms are in the band (all too rare, or those of a large group of near copies, all too
+frequent) has its coordinates from all of its drawn terms instead, and from all its words if none is drawn. So every text
+with words has coordinates that an edit elsewhere in it leaves as they are.
+
+Document frequencies are counted over distinct texts, so copies do not push their terms out of the band, and for drawn
+terms only. The band bounds the lexicons' size whatever the corpus: a term is in LEAST of the distinct texts at least, and
+a text has finitely many terms, so there are at most (mean distinct drawn terms) / LEAST of them.
 
 Each document needs a piece of the next one. Ids are ranked by a range sort of ids alone; every document then sends
 the wanted prefix and its fingerprint to the one before. Texts are fingerprinted and shuffled by doc_id once; both joins
@@ -22,22 +26,31 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, input_partitions, materialize
 
-#: Band of document frequency as shares of all documents; the idf band is its negated logarithm.
+#: Band of document frequency as shares of all distinct texts; the idf band is its negated logarithm.
 LEAST, MOST = 0.005, 0.3
 EMPTY = "----"
 #: coordinates in all; coordinates and 1/share of the coarse and the fine lexicons
 COORDS, HALF, COARSE, FINE = 64, 32, 128, 1024
+#: A text keeps to the band if one in so many of its drawn terms is in it
+FEW = 8
 #: Lexicon entries (8 bytes) that go into the plan as a literal
 LEXICON_ROWS = 200_000
 
 
-def drawn_terms(text: Column) -> Column:
-    """Sorted distinct (coordinate * 2^48 + 48 bits of hash) of the terms that are drawn into a lexicon."""
+def term_hashes(text: Column) -> Column:
     words = F.array_remove(F.array_distinct(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+")), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def entry(h: Column, coordinate: Column) -> Column:
+    return F.shiftleft(coordinate, 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
+
+
+def drawn_terms(text: Column) -> Column:
+    """Distinct (coordinate * 2^48 + 48 bits of hash) of the terms that are drawn into a lexicon."""
     place = lambda h, at, share: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(share - 1))
     # the place is below HALF where its upper bits are 0
     upper = lambda at, share: F.lit((share - HALF) << at)
-    entry = lambda h, c: F.shiftleft(c, 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
 
     def of(hashes: Column) -> Column:
         coarse = F.transform(F.filter(hashes, lambda h: h.bitwiseAND(upper(50, COARSE)) == 0), lambda h: entry(h, place(h, 50, COARSE)))
@@ -45,13 +58,20 @@ def drawn_terms(text: Column) -> Column:
         return F.concat(coarse, fine)
 
     # transform() over a one-element array names the hashes, so that they are computed once
-    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), of)[0]
+    return F.transform(F.array(term_hashes(text)), of)[0]
+
+
+def dealt_terms(text: Column) -> Column:
+    """All terms of a text, each dealt to one coordinate."""
+    return F.transform(term_hashes(text), lambda h: entry(h, F.pmod(F.shiftright(h, 48), F.lit(COORDS))))
 
 
 def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
-    """entry: all lexicon entries within the band. The band's lower end is at least two documents."""
-    n = docs.count()
-    entries = docs.select(F.explode(drawn_terms(F.col("text"))).alias("entry"))
+    """entry: all lexicon entries within the band of distinct texts. The band's lower end is at least two of them."""
+    key = (F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    n = docs.select(*key).distinct().count()
+    texts = docs.select(*key, drawn_terms(F.col("text")).alias("terms")).groupBy("h1", "h2").agg(F.first("terms").alias("terms"))
+    entries = texts.select(F.explode("terms").alias("entry"))
     return entries.groupBy("entry").agg(F.count("*").alias("df")).filter(F.col("df").between(max(2, least * n), most * n)).select("entry")
 
 
@@ -68,9 +88,15 @@ def places() -> Column:
 
 
 def fingerprint(text: Column, entries: Column) -> Column:
-    """64 coordinates of four hexadecimal digits, `----` where the text has no term of the lexicon. A text without any term
-    of any lexicon has a hash of itself as its first coordinate."""
-    own = F.array_sort(F.array_intersect(drawn_terms(text), entries))
+    """64 coordinates of four hexadecimal digits, `----` where the text has no term of the lexicon. A text with fewer than one
+    drawn term in FEW in the band has its coordinates from all drawn terms, one without drawn terms from all its words. A
+    text without words has a hash of itself as its first coordinate."""
+
+    def chosen(drawn: Column, within: Column) -> Column:
+        return F.when((F.size(within) > 0) & (FEW * F.size(within) >= F.size(drawn)), within).when(F.size(drawn) > 0, drawn).otherwise(dealt_terms(text))
+
+    # transform() over one-element arrays names the terms, so that they are computed once
+    own = F.array_sort(F.transform(F.array(drawn_terms(text)), lambda drawn: F.transform(F.array(F.array_intersect(drawn, entries)), lambda within: chosen(drawn, within))[0])[0])
     digits = lambda h: F.lpad(F.lower(F.hex(F.pmod(h, F.lit(65_536)))), 4, "0")
 
     def all_coordinates(terms: Column) -> Column:

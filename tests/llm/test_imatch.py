@@ -47,3 +47,41 @@ def test_odd_rows(spark):
     assert fingerprints(df.limit(0)).count() == 0
     one = fingerprints(df.filter("doc_id = 1")).first()
     assert one["edited_sha256"] == hashlib.sha256(b"Ab Ab").hexdigest() and one["near_next"] == 1
+
+
+def alike(a, b):
+    pairs = [(a[i : i + 4], b[i : i + 4]) for i in range(0, 256, 4)]
+    filled = [p for p in pairs if p != ("----", "----")]
+    return sum(x == y for x, y in filled) / len(filled)
+
+
+def words(name, n):
+    return [f"{name}{k}" for k in range(n)]
+
+
+def prints(spark, docs, **band):
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(docs)], "doc_id long, text string")
+    return [r["fingerprint"] for r in sorted(fingerprints(df, **band).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_copies_keep_their_terms(spark):
+    """Half of the rows are copies of one text; its terms stay in the band, and a near copy is like it."""
+    text, others = words("c", 120), [words(f"o{k}x", 40) for k in range(20)]
+    got = prints(spark, [text] * 20 + [text[:-1] + ["new"]] + others)
+    assert len(set(got[:20])) == 1 and alike(got[0], got[20]) > 0.8
+
+
+def test_near_copies_above_the_band(spark):
+    """Near copies are most of the distinct texts, so that none of their shared terms is in the band."""
+    text, others = words("c", 120), [words(f"o{k}x", 40) for k in range(4)]
+    got = prints(spark, [text[:k] + [f"new{k}"] + text[k + 1 :] for k in range(20)] + others)
+    assert all(alike(got[0], x) > 0.5 for x in got[1:20])
+
+
+def test_texts_without_a_term_in_the_band(spark):
+    """Rare vocabulary and short texts: an edit leaves the other coordinates as they are."""
+    rare, short = words("r", 60), words("s", 3)
+    common = [words("c", 30) + words(f"o{k}x", 5) for k in range(20)]
+    got = prints(spark, [rare, rare[:-1] + ["new"], short, short[:-1] + ["t"]] + common, least=0.2)
+    assert alike(got[0], got[1]) > 0.8 and alike(got[0], got[4]) < 0.1
+    assert alike(got[2], got[3]) >= 0.2
