@@ -1,8 +1,8 @@
 """Operator 4: URL filters by association rules. DataFrame functions and Spark's own FP-growth only.
 
 A list of (verdict, host/path) rules decides the URLs that it covers. These are the labels: FP-growth mines the
-combinations of host and path tokens that go with `block` or `allow`. Rules are pruned by support, confidence and
-length, and by any shorter rule inside them that is as sure. An inverted index (token -> rules) finds the rules whose
+combinations of host and path tokens that go with `block` or `allow`. Rules of any length are pruned by support and
+confidence, and by any shorter rule inside them that is as sure. An inverted index (token -> rules) finds the rules whose
 tokens are all in a URL; the surest decides the URLs that the list leaves open, and `allow` where none matches.
 
 URLs with the same tokens are judged once, so a host with a third of all pages costs one judgement per shape of URL.
@@ -18,7 +18,7 @@ from .common import ascii_lower, input_partitions, materialize
 
 #: The list of the query: a rule fits its host and all subdomains if the path starts with its path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-SUPPORT, CONFIDENCE, LONGEST = 0.01, 0.9, 3
+SUPPORT, CONFIDENCE = 0.01, 0.9
 
 
 def host_of(url: Column) -> Column:
@@ -48,7 +48,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(named("h:", F.split(host, "\\.")), named("p:", segments), named("q:", query))))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """rule_id, items, verdict, confidence, support from `labelled` (tokens, verdict). At most (mean tokens)/support items are
     frequent, so the number of rules does not grow with the input."""
     spark = labelled.sparkSession
@@ -59,7 +59,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     # confidence is filtered here, not by FPGrowth, so the model's rules are computed once
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=input_partitions(baskets)).fit(baskets)
     found = model.associationRules.select(F.array_sort("antecedent").alias("items"), F.col("consequent")[0].alias("to"), "confidence", "support")
-    found = found.filter(F.col("to").startswith("=") & (F.size("items") <= longest) & ~F.exists("items", lambda x: x.startswith("=")))
+    found = found.filter(F.col("to").startswith("=") & ~F.exists("items", lambda x: x.startswith("=")))
     found = found.select(F.xxhash64("items", "to").alias("rule_id"), "items", F.substring("to", 2, 99).alias("verdict"), "confidence", "support")
     found = materialize(found, "url-rules")
     short = found.select(F.col("rule_id").alias("short_id"), F.col("items").alias("short"), F.col("verdict").alias("v"), F.col("confidence").alias("c"), F.explode("items").alias("item"))

@@ -60,6 +60,19 @@ def test_url_query(spark):
     assert got == want and {v for *_, v in got.values()} == {"allow", "block"}
 
 
+def test_a_rule_of_four_tokens_decides(spark):
+    """Only all four tokens together mean block; any three of them are allowed as often."""
+    import itertools
+
+    from codeloom.llm.url_filter import judge
+
+    four = ["h:a", "h:b", "p:c", "p:d"]
+    rows = [(four, "block")] * 20 + [(list(t), "allow") for t in itertools.combinations(four, 3)] * 20
+    rules = mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    got = judge(spark.createDataFrame([(1, [*four, "p:e"])], "key long, tokens array<string>"), rules).collect()
+    assert [tuple(r) for r in got] == [(1, "block")]
+
+
 def test_odd_urls(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.NET?x=1", "http://a.net", "http://net/", "x://y://z.org/fr/1", "http://EXAMPLE.com/de/", "http://notexample.com/de/", "http://www.example.net/en/a?b=c#d", "http://É.org/fr/", "http://h.net#/", "http://q.net/" + "a/" * 3000]
     df = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, rule string")
