@@ -9,7 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS = 8, 7, 4, 4096
-WINDOW, STRIDE = 32, 24
+#: With a stride of half the window, every passage of up to WINDOW - STRIDE + 1 words is whole in a window
+WINDOW, STRIDE = 32, 16
 PAD, UNKNOWN = 0, 1
 CACHE_WORDS, BATCH = 150_000, 1024
 

@@ -1,4 +1,4 @@
-"""Operator 2: toxicity of whole texts by the network of gru.py, over all overlapping windows.
+"""Operator 2: toxicity of whole texts by the network of gru.py, over windows that overlap by half.
 
 The network is trained in numpy on the driver, on a sample of labelled documents that SAMPLE bounds for each label; the
 sample is the rows of least doc_id hash, so it does not depend on the order of rows. The trained network is a few

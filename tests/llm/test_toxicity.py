@@ -47,6 +47,13 @@ def test_every_word_is_in_a_window_and_windows_overlap():
     assert windows(0) == []
 
 
+def test_every_passage_of_half_a_window_is_whole_in_a_window():
+    half = gru.WINDOW // 2
+    for n in range(half, 300):
+        own = windows(n)
+        assert all(any(w <= at and at + half <= w + gru.WINDOW for w in own) for at in range(n - half + 1))
+
+
 def test_trigrams():
     buckets, starts = trigrams([b"ab", b"x", b"ab"])
     assert len(buckets) == 5 and starts.tolist() == [0, 2, 3] and buckets[0] == buckets[3] and buckets[1] == buckets[4]
