@@ -110,6 +110,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of raw bytes. Equal spans have equal hashes wherever they stand."""
+    up, down = _powers(len(raw) + 1)
+    run = np.empty(len(raw) + 1, np.uint64)
+    run[0] = 0
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=run[1:])
+    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def hashed_words(text: str | None, kind: str = "white") -> np.ndarray:
     """64-bit hashes of the text's words in order. Equal words have equal hashes wherever they stand."""
     raw = np.frombuffer((text or "").encode().translate(TABLES[kind]), np.uint8)
@@ -120,8 +129,4 @@ def hashed_words(text: str | None, kind: str = "white") -> np.ndarray:
     np.not_equal(raw, 0x20, out=inside[1:-1].view(bool))
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(len(raw) + 1)
-    run = np.empty(len(raw) + 1, np.uint64)
-    run[0] = 0
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return span_hashes(raw, starts, ends)

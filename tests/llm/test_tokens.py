@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from codeloom.llm import tokens
 from codeloom.llm.common import hashed_words, shared_path, words_of
 from codeloom.llm.packing import best_fit, pack
 from codeloom.llm.token_counts import attribute, section_token_counts
@@ -136,3 +137,12 @@ def test_attribution_rule():
     tokens, _ = attribute(np.array([2, 7, 9]), np.array([0, 4, 7]))
     assert tokens.tolist() == [1, 1, 1]
     assert attribute(np.array([], int), np.array([0]))[0].tolist() == [0]
+
+
+@pytest.mark.parametrize(("entries", "group"), [(1, 1), (40, 64), (1_000_000, 1 << 18)])
+def test_ids_at_any_table_size(monkeypatch, entries, group):
+    monkeypatch.setattr(tokens, "GROUP", group)
+    enc = tokens.Encoder(PATH, entries)
+    texts = [*ODD, "ab cd " * 300, "x" * 300 + " " + "yz" * 200, "été, élève; ÷a×b ǅ ɏ!ɐ!", *(f"w{i} z{i % 7}, q" for i in range(400)), *ODD]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.many(texts)] == [plain(t) for t in texts]
+    assert not enc.table.n or enc.table.n <= entries + 5000
