@@ -33,6 +33,8 @@ TRUNK = 2
 END = 0x0A
 #: The end's number among the word hashes
 END_WORD = np.int64(-1)
+#: Numbers that are sorted together
+PENDING = 2_000_000
 #: Bytes that are looked up together
 TOGETHER = 1 << 19
 COUNTS = "kind int, key long, n long"
@@ -90,7 +92,7 @@ def log10_of(streams: Iterable[np.ndarray], common: Common, depth: int) -> Itera
 
 
 class _Sums:
-    """Adds up counts of numbers; pending ones are merged when they outgrow the sum."""
+    """Adds up counts of numbers. Pending ones are sorted and merged into the sums when they are PENDING or as many as these."""
 
     def __init__(self):
         self.keys, self.counts, self.pending, self.size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
@@ -98,19 +100,22 @@ class _Sums:
     def add(self, keys: np.ndarray) -> None:
         self.pending.append(keys)
         self.size += len(keys)
-        if self.size > max(4_000_000, len(self.keys)):
+        if self.size > max(PENDING, len(self.keys)):
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.pending:
+        if self.size:
             new = np.concatenate(self.pending)
+            self.pending, self.size = [], 0
             new.sort()
-            first = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]])) if len(new) else np.empty(0, np.int64)
+            first = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]]))
+            counts = np.concatenate([self.counts, np.diff(first, append=len(new))])
             keys = np.concatenate([self.keys, new[first]])
-            counts = np.concatenate([self.counts, np.diff(np.concatenate([first, [len(new)]]))])
-            self.keys, index = np.unique(keys, return_inverse=True)
-            self.counts = np.bincount(index, weights=counts, minlength=len(self.keys)).astype(np.int64)
-            self.pending, self.size = [], 0
+            del new, first
+            order = np.argsort(keys, kind="stable")  # two sorted runs
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.keys, self.counts = keys[first], np.add.reduceat(counts, first)
         return self.keys, self.counts
 
 
@@ -120,27 +125,28 @@ def count(docs: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("lm")
-        sums, held = (_Sums(), _Sums()), _Sums()
+        # a context is doubled, and 1 added if it is trained on
+        found, words = _Sums(), _Sums()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 trained = 0
                 for value, out in zip(part.column(1), part.column(2)):
-                    text, keys = value.as_py(), contexts(stream_of(value.as_py(), depth), depth)
-                    if out.as_py():
-                        held.add(keys)
-                        continue
-                    sums[0].add(keys)
-                    sums[1].add(hashed_words(text).view(np.int64))
-                    trained += 1
-                sums[1].add(np.full(trained, END_WORD))
-        asked = np.setdiff1d(held.merge()[0], sums[0].merge()[0], assume_unique=True)
-        for kind, keys, counts in (*((k, *s.merge()) for k, s in enumerate(sums)), (0, asked, np.zeros(len(asked), np.int64))):
-            for at in range(0, len(keys), 500_000):
-                n = len(keys[at : at + 500_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(keys[at : at + n]), pa.array(counts[at : at + n])], names=["kind", "key", "n"])
-
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+                    text, learn = value.as_py(), not out.as_py()
+                    found.add(contexts(stream_of(text, depth), depth) << 1 | int(learn))
+                    if learn:
+                        words.add(hashed_words(text).view(np.int64))
+                        trained += 1
+                words.add(np.full(trained, END_WORD))
+        for kind, sums in enumerate((found, words)):
+            keys, counts = sums.merge()
+            for at in range(0, len(keys), 100_000):
+                key, n = keys[at : at + 100_000], counts[at : at + 100_000]
+                key, n = (key, n) if kind else (key >> 1, n * (key & 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
+
+    # tasks have added up their own rows, so there is nothing to add up before the shuffle
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, COUNTS).repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _numbers(df: DataFrame, column: str = "n") -> tuple[np.ndarray, np.ndarray]:
