@@ -84,3 +84,11 @@ def taint_flows(nodes: DataFrame, sources: tuple[str, ...], sinks: tuple[str, ..
     names = F.filter(F.slice("c", F.lit(2), F.size("c")), lambda x: x["child_kind"] == "Name")["child_name"]
     reached = calls.filter(callee.isin(*sinks)).select("file_id", "node_id", "lineno", callee.alias("sink"), F.explode(F.array_distinct(names)).alias("name"))
     return reached.join(tainted, ["file_id", "name"]).filter("node_id > since").select("file_id", "name", "sink", F.col("lineno").cast("long").alias("line_number"))
+
+
+def no_tests(files: DataFrame) -> DataFrame:
+    """One row: whether none of the files (path) is a test file, and the severity of that, else null."""
+    path = F.col("path")
+    name = F.element_at(F.split(path, "/"), -1)
+    test = name.startswith("test_") | name.endswith("_test.py") | path.contains("tests/") | path.contains("/test/")
+    return files.agg((F.count_if(test) == 0).alias("none")).select("none", F.when(F.col("none"), "critical").alias("severity"))

@@ -1,53 +1,87 @@
-"""Detectors over syntax-tree nodes (sources.pyast.nodes), all of them one aggregation by function, class or file."""
+"""Functions and classes of source files: one Arrow pass that folds each file in its task and emits a row per block."""
 
 from __future__ import annotations
 
+import ast
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..detect import architecture, complexity
+from ..detect.engine import parse
+from ..detect.source import FUNCTION, argument_names
+
 FUNCTIONS = ("FunctionDef", "AsyncFunctionDef")
-BRANCHES = ("If", "While", "For", "ExceptHandler")
-COMPREHENSIONS = ("ListComp", "DictComp", "SetComp")
+#: A row per function or class (kind); what a kind does not have is null
+BLOCKS = "file_id string, kind string, name string, line_number int, n_lines int, has_doc boolean, arguments array<string>, cyclomatic long, cognitive long, simple long, npath double, nesting long, n_args long, n_ifs long, missing_else long, methods long, wmc long, cohesion_groups long, responses long"
+_NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
+_TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()), *[pa.int64()] * 3, pa.float64(), *[pa.int64()] * 8]
+
+
+def _row(file_id: str, node: ast.AST) -> tuple:
+    head = (file_id, type(node).__name__, node.name, node.lineno, node.end_lineno - node.lineno + 1, ast.get_docstring(node) is not None)
+    if isinstance(node, ast.ClassDef):
+        return (*head, None, complexity.cyclomatic(node), *[None] * 7, len(architecture.methods(node)), architecture.weight(node), architecture.cohesion_groups(node), architecture.responses(node))
+    ifs = [n for n in ast.walk(node) if isinstance(n, ast.If)]
+    a = node.args
+    positional = [x.arg for x in a.posonlyargs]
+    return (
+        *head, positional + argument_names(node), complexity.cyclomatic(node), complexity.cognitive(node), complexity.simple(node), float(complexity.npath(node.body)), complexity.nesting(node),
+        len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs), len(ifs), sum(not n.orelse for n in ifs), *[None] * 4,
+    )
 
 
-def _functions(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(F.col("kind").isin(*FUNCTIONS)).select("file_id", F.col("node_id").alias("func_id"), F.col("name").alias("func"), "class_id", "n_args", "has_doc", (F.col("end_lineno") - F.col("lineno") + 1).alias("n_lines"))
+def blocks(files: DataFrame) -> DataFrame:
+    """BLOCKS of `files` (file_id, code). Files that do not parse, null and empty code have none."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file_id, code in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    source = parse(file_id, None, code.as_py() or "")
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    continue
+                rows += [_row(file_id, n) for n in source.of(*FUNCTION, ast.ClassDef)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
-def complexity(nodes: DataFrame) -> DataFrame:
-    """file_id, func, cyclomatic, cognitive, nesting, n_args, n_ifs, missing_else of every function. Cyclomatic: 1 + branches +
-    boolean operands beyond the first; cognitive: 1 + nesting per branch or conditional expression, plus flat additions."""
-    k = F.col("kind")
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    flat = F.when(k.isin("With", "Lambda", "Break", "Continue"), 1).when(k == "BoolOp", F.col("n_values") - 1).otherwise(0)
-    cognitive = F.when(k.isin(*BRANCHES, "IfExp"), 1 + F.col("nest")).otherwise(flat)
-    branch = F.when(k.isin(*BRANCHES, "IfExp", "Assert", "comprehension"), 1).when(k == "BoolOp", F.col("n_values") - 1).otherwise(0)
-    inside = nodes.filter("func_id is not null").groupBy("file_id", "func_id").agg(
-        F.sum(branch).alias("branches"), F.sum(cognitive).alias("cognitive"), F.max(F.when(k.isin(*BRANCHES), F.col("nest") + 1)).alias("nesting"),
-        one(k == "If").alias("n_ifs"), one((k == "If") & ~F.col("has_else")).alias("missing_else"),
-    )
-    out = _functions(nodes).join(inside, ["file_id", "func_id"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select("file_id", "func", (zero("branches") + 1).alias("cyclomatic"), zero("cognitive").alias("cognitive"), zero("nesting").alias("nesting"), F.col("n_args").cast("long").alias("n_args"), zero("n_ifs").alias("n_ifs"), zero("missing_else").alias("missing_else"))
+    return files.select("file_id", "code").mapInArrow(run, BLOCKS)
+
+
+def functions(files: DataFrame) -> DataFrame:
+    return blocks(files).filter(F.col("kind").isin(*FUNCTIONS)).withColumnRenamed("name", "func")
+
+
+def classes(files: DataFrame) -> DataFrame:
+    return blocks(files).filter("kind = 'ClassDef'").withColumnRenamed("name", "class")
 
 
-def classes(nodes: DataFrame) -> DataFrame:
-    """file_id, class, methods, wmc (sum of the methods' branches + 1)."""
-    k = F.col("kind")
-    weight = F.when(k.isin(*FUNCTIONS), 1).when(k.isin(*BRANCHES), 1).when(k == "BoolOp", F.col("n_values") - 1).otherwise(0)
-    own = nodes.filter("class_id is not null").groupBy("file_id", F.col("class_id").alias("node_id")).agg(F.sum(F.when(k.isin(*FUNCTIONS), 1).otherwise(0)).alias("methods"), F.sum(weight).alias("wmc"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return nodes.filter("kind = 'ClassDef'").select("file_id", "node_id", F.col("name").alias("class")).join(own, ["file_id", "node_id"], "left").select("file_id", "class", zero("methods").alias("methods"), zero("wmc").alias("wmc"))
+def docstring_coverage(files: DataFrame) -> DataFrame:
+    """Documented share (percent) of functions that are not async, and classes, per file that parses; 100 without any."""
+    own = blocks(files).filter(F.col("kind").isin("FunctionDef", "ClassDef"))
+    share = own.groupBy("file_id").agg((100.0 * F.avg(F.col("has_doc").cast("double"))).alias("pct"))
+    return files.select("file_id").join(share, "file_id", "left").select("file_id", F.coalesce("pct", F.lit(100.0)).alias("pct"))
 
 
-def docstring_coverage(nodes: DataFrame) -> DataFrame:
-    """Documented share (percent) of functions and classes per file; 100 where there is nothing to document."""
-    own = nodes.withColumn("counted", F.col("kind").isin("FunctionDef", "ClassDef"))
-    return own.groupBy("file_id").agg(F.coalesce(100.0 * F.avg(F.when(F.col("counted"), F.col("has_doc").cast("double"))), F.lit(100.0)).alias("pct"))
+def histogram(files: DataFrame) -> DataFrame:
+    """kind, n: nodes of each kind. A task adds up its files before the shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for code in batch.column(0):
+                try:
+                    counts.update(type(n).__name__ for n in parse("", None, code.as_py() or "").nodes)
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    continue
+        if counts:
+            yield pa.RecordBatch.from_pydict({"kind": list(counts), "n": list(counts.values())})
 
-def histogram(nodes: DataFrame) -> DataFrame:
-    return nodes.filter("parse_error is null").groupBy("kind").agg(F.count("*").alias("n"))
+    return files.select("code").mapInArrow(run, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n"))
 
 
 def similar_names(names: DataFrame, most: int = 5) -> DataFrame:

@@ -1,7 +1,7 @@
 """All queries of the engine and their SQL."""
 
-from . import quality, queries
+from . import detectors, quality, queries
 
 QUERIES, SQL = queries.QUERIES, queries.SQL
 
-__all__ = ["QUERIES", "SQL", "quality"]
+__all__ = ["QUERIES", "SQL", "detectors", "quality"]

@@ -87,15 +87,11 @@ METRICS = """(SELECT analyzer, name, value_num, threshold, value_num <= threshol
  CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 100000.0 END AS threshold FROM orders))"""
 SCORES = f"""(SELECT coalesce(i.analyzer, m.analyzer) AS analyzer, 0.7 * coalesce(ratio, 1.0) + 0.3 * (1 - coalesce(penalty, 0)) AS score_7030,
  coalesce(ratio, greatest(0.0, 1 - coalesce(engine_penalty, 0))) AS score_observed
- FROM (SELECT category AS analyzer, least(1.0, sum(CAST({PEN} AS DOUBLE))) AS penalty, least(1.0, sum(CAST(CASE WHEN severity = 'info' THEN 0.0 ELSE {PEN} END AS DOUBLE))) AS engine_penalty FROM {ISSUES} WHERE emit_seq < 20 GROUP BY 1) i
+ FROM (SELECT category AS analyzer, least(1.0, sum(CAST({PEN} AS DOUBLE))) AS penalty, least(1.0, sum(CAST(CASE WHEN severity = 'info' THEN 0.0 ELSE {PEN} END AS DOUBLE))) AS engine_penalty FROM {ISSUES} GROUP BY 1) i
  FULL JOIN (SELECT analyzer, avg(CAST(passed AS DOUBLE)) AS ratio FROM {METRICS} GROUP BY 1) m ON i.analyzer = m.analyzer)"""
 WEIGHT = _case(WEIGHTS, "analyzer", 0.0)
 
 
-def _few_issues(spark, d):
-    return events_as_issues(spark, d).filter("emit_seq < 20")
-
-
 def _metrics(spark, d):
     o = table(spark, d, "orders")
     analyzer = F.when(F.col("o_custkey") % 3 == 0, "security").when(F.col("o_custkey") % 3 == 1, "style").otherwise("architecture")
@@ -120,7 +116,7 @@ def pass_ratio(spark, d):
 
 @query(f"SELECT analyzer, round(score_7030, 9) AS score_7030, round(score_observed, 9) AS score_observed FROM {SCORES}")
 def analyzer_scores(spark, d):
-    return scoring.analyzer_scores(_few_issues(spark, d), _metrics(spark, d)).select("analyzer", F.round("score_7030", 9).alias("score_7030"), F.round("score_observed", 9).alias("score_observed"))
+    return scoring.analyzer_scores(events_as_issues(spark, d), _metrics(spark, d)).select("analyzer", F.round("score_7030", 9).alias("score_7030"), F.round("score_observed", 9).alias("score_observed"))
 
 
 GRADE = "CASE " + " ".join(f"WHEN score >= {x} THEN '{g}'" for g, x in GRADES) + " ELSE 'F' END"
@@ -128,7 +124,7 @@ GRADE = "CASE " + " ".join(f"WHEN score >= {x} THEN '{g}'" for g, x in GRADES) +
 
 @query(f"SELECT round(score, 6) AS score, {GRADE} AS grade FROM (SELECT greatest(0.0, least(100.0, sum(score_observed * CAST({WEIGHT} AS DOUBLE)) / sum(CAST({WEIGHT} AS DOUBLE)) * 100)) AS score FROM {SCORES})")
 def overall_score(spark, d):
-    return scoring.overall(scoring.analyzer_scores(_few_issues(spark, d), _metrics(spark, d))).select(F.round("score", 6).alias("score"), "grade")
+    return scoring.overall(scoring.analyzer_scores(events_as_issues(spark, d), _metrics(spark, d))).select(F.round("score", 6).alias("score"), "grade")
 
 
 @query(f"SELECT c_custkey, score, {GRADE} AS grade FROM (SELECT c_custkey, c_acctbal / 100 AS score FROM customer)")
@@ -139,7 +135,8 @@ def grade_lookup(spark, d):
 # --- lines and text -----------------------------------------------------------------------------------------------
 
 CONSISTENCY = f"""(SELECT file_id, count(*) AS n_lines, count(*) FILTER (length(line) > 88) AS over_88, count(*) FILTER (length(line) > 120) AS over_120,
- count(*) FILTER (regexp_matches(line, '[ \\t]$')) AS trailing, count(*) FILTER (starts_with(ltrim(line), '#')) AS comments, avg(length(line)) AS mean_length FROM {LINES} GROUP BY 1)"""
+ count(*) FILTER (regexp_matches(line, '[ \\t]$')) AS trailing, count(*) FILTER (regexp_matches(line, '^\\s*#')) AS comments, count(*) FILTER (regexp_matches(line, '\\S')) AS filled,
+ avg(length(regexp_replace(line, '\\s+$', ''))) FILTER (regexp_matches(line, '\\S')) AS mean_length FROM {LINES} GROUP BY 1)"""
 
 
 @query(f"SELECT * FROM {CONSISTENCY}")
@@ -147,11 +144,11 @@ def line_consistency(spark, d):
     return text_metrics.line_consistency(lines(documents_as_files(spark, d)))
 
 
-@query(f"""SELECT file_id, CASE WHEN mean_length <= 80 THEN 100 WHEN mean_length <= 100 THEN 80 WHEN mean_length <= 120 THEN 60 ELSE 40 END AS length_score,
- CASE WHEN n_lines = 0 THEN 0 WHEN comments / n_lines BETWEEN 0.1 AND 0.3 THEN 100 WHEN comments / n_lines BETWEEN 0.05 AND 0.4 THEN 80 WHEN comments > 0 THEN 60 ELSE 40 END AS comment_score FROM {CONSISTENCY}""")
+@query(f"""SELECT file_id, CASE WHEN mean_length IS NULL OR mean_length BETWEEN 40 AND 80 THEN 100 WHEN mean_length BETWEEN 30 AND 100 THEN 80 WHEN mean_length BETWEEN 20 AND 120 THEN 60 ELSE 40 END AS length_score,
+ CASE WHEN filled = 0 OR comments / filled < 0.05 THEN 50 WHEN comments / filled < 0.1 THEN 80 WHEN comments / filled <= 0.2 THEN 100 WHEN comments / filled <= 0.3 THEN 70 ELSE 40 END AS comment_score FROM {CONSISTENCY}""")
 def readability_bands(spark, d):
     c = text_metrics.line_consistency(lines(documents_as_files(spark, d)))
-    return c.select("file_id", text_metrics.length_band(F.col("mean_length")).alias("length_score"), text_metrics.density_band(F.col("comments"), F.col("n_lines")).alias("comment_score"))
+    return c.select("file_id", text_metrics.length_band(F.col("mean_length")).alias("length_score"), text_metrics.density_band(F.col("comments"), F.col("filled")).alias("comment_score"))
 
 
 @query(f"SELECT sum(n_lines) AS n_lines, 1000.0 * sum(over_120) / sum(n_lines) AS per_kloc, 100.0 * (1 - sum(over_88) / sum(n_lines)) AS compliance FROM {CONSISTENCY}")
@@ -160,21 +157,12 @@ def kloc_rates(spark, d):
     return c.agg(F.sum("n_lines").alias("n_lines"), (1000.0 * F.sum("over_120") / F.sum("n_lines")).alias("per_kloc"), (100.0 * (1 - F.sum("over_88") / F.sum("n_lines"))).alias("compliance"))
 
 
-@query("""WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, text AS code, unnest(regexp_extract_all(text, '(?i)(?:token|secret)\\s*=\\s*[''"][^''"]{8,}[''"]')) AS hit FROM documents),
- b AS (SELECT *, substr(code, 1, instr(code, hit) - 1) AS before FROM h)
- SELECT file_id, 'token' AS kind, hit, CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS BIGINT) AS line_no FROM b
- WHERE NOT regexp_matches(lower(hit), 'test|demo|example|sample|xxx|dummy|placeholder') AND NOT starts_with(ltrim(string_split(before, chr(10))[-1]), '#')""")
-def secrets_scan(spark, d):
-    return text_metrics.secrets(documents_as_files(spark, d)).filter("kind = 'token'")
-
-
 @query(f"SELECT file_id, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS entropy FROM (SELECT file_id, token, count(*) AS c FROM {TOKENS} GROUP BY 1, 2) GROUP BY 1")
 def identifier_entropy(spark, d):
     return text_metrics.entropy(_tokens(spark, d)).select("file_id", F.round("entropy", 6).alias("entropy"))
 
 
-@query(f"""SELECT file_id, greatest(0.0, least(100.0, 50 + sum(CASE WHEN regexp_full_match(token, '[a-z]') THEN -10 WHEN regexp_full_match(token, '(data|info|temp|the)') THEN -15
- WHEN regexp_full_match(token, '[a-z]{{6,}}') THEN 10 ELSE 0 END) / count(*) * 5)) AS score FROM {TOKENS} GROUP BY 1""")
+@query(f"""SELECT file_id, greatest(0.0, least(100.0, 50 + sum(CASE WHEN length(token) = 1 OR token IN ('tmp', 'temp', 'data', 'val', 'var', 'obj', 'foo', 'bar', 'baz') THEN -10 ELSE 10 END) / count(*) * 5)) AS score FROM {TOKENS} GROUP BY 1""")
 def identifier_quality(spark, d):
     return text_metrics.name_quality(_tokens(spark, d))
 
@@ -285,44 +273,66 @@ def part_code(spark, d):
     return p.select("file_id", code.alias("code"))
 
 
-@query(f"SELECT file_id, CAST(d + 1 AS BIGINT) AS cyclomatic, CAST(d * (d + 1) / 2 AS BIGINT) AS cognitive, CAST(d AS BIGINT) AS nesting, CAST(n AS BIGINT) AS n_args, CAST(d AS BIGINT) AS n_ifs, CAST(d AS BIGINT) AS missing_else FROM {CODE}")
+@query(f"""SELECT file_id, 'work' AS func, CAST(d + 1 AS BIGINT) AS cyclomatic, CAST(d * (d + 1) / 2 AS BIGINT) AS cognitive, CAST(d AS BIGINT) AS nesting, CAST(n AS BIGINT) AS n_args, CAST(d AS BIGINT) AS n_ifs, CAST(d AS BIGINT) AS missing_else FROM {CODE}
+ UNION ALL SELECT file_id, 'm' || CAST(unnest(range(k)) AS VARCHAR), 1, 0, 0, 1, 0, 0 FROM {CODE}""")
 def ast_complexity(spark, d):
-    return structure.complexity(pyast.nodes(part_code(spark, d))).filter("func = 'work'").drop("func")
+    return structure.functions(part_code(spark, d)).select("file_id", "func", "cyclomatic", "cognitive", "nesting", "n_args", "n_ifs", "missing_else")
+
+
+@query(f"SELECT file_id, 'work' AS func, array_to_string(list_transform(range(n), lambda i: 'p' || i), ',') AS arguments FROM {CODE} UNION ALL SELECT file_id, 'm' || CAST(unnest(range(k)) AS VARCHAR), 'self' FROM {CODE}")
+def ast_arguments(spark, d):
+    return structure.functions(part_code(spark, d)).select("file_id", "func", F.array_join("arguments", ",").alias("arguments"))
 
 
 @query(f"SELECT file_id, CASE WHEN d > 6 THEN 'high' ELSE 'medium' END AS severity, 'nesting' AS title FROM {CODE} WHERE d > 4 UNION ALL SELECT file_id, 'low', 'missing else' FROM {CODE} WHERE d > 3 UNION ALL SELECT file_id, 'medium', 'parameters' FROM {CODE} WHERE n > 5 UNION ALL SELECT file_id, 'high', 'methods' FROM {CODE} WHERE k > 10")
 def ast_issues(spark, d):
-    tree = pyast.nodes(part_code(spark, d))
-    c, k = structure.complexity(tree), structure.classes(tree)
-    issue = lambda t, where, severity, title: t.filter(where).select("file_id", severity.alias("severity"), F.lit(title).alias("title"))
-    out = issue(c, "nesting > 4", F.when(F.col("nesting") > 6, "high").otherwise("medium"), "nesting")
-    out = out.unionByName(issue(c, "missing_else > 3", F.lit("low"), "missing else")).unionByName(issue(c, "n_args > 5", F.lit("medium"), "parameters"))
-    return out.unionByName(issue(k, "methods > 10", F.lit("high"), "methods"))
+    issue = lambda where, severity, title: F.when(F.expr(where), F.struct(severity.alias("severity"), F.lit(title).alias("title")))
+    found = F.array_compact(F.array(
+        issue("nesting > 4", F.when(F.col("nesting") > 6, "high").otherwise("medium"), "nesting"), issue("missing_else > 3", F.lit("low"), "missing else"),
+        issue("n_args > 5", F.lit("medium"), "parameters"), issue("methods > 10", F.lit("high"), "methods"),
+    ))
+    return structure.blocks(part_code(spark, d)).select("file_id", F.explode(found).alias("i")).select("file_id", "i.*")
 
 
 @query(f"SELECT file_id, CAST(k AS BIGINT) AS methods, CAST(k AS BIGINT) AS wmc FROM {CODE}")
 def ast_classes(spark, d):
-    return structure.classes(pyast.nodes(part_code(spark, d))).drop("class")
+    return structure.classes(part_code(spark, d)).select("file_id", "methods", "wmc")
 
 
-@query(f"SELECT file_id, CAST(1 + 2 * d AS BIGINT) AS npath FROM {CODE}")
+@query(f"SELECT file_id, 'work' AS func, CAST(1 + 2 * d AS DOUBLE) AS npath FROM {CODE} UNION ALL SELECT file_id, 'm' || CAST(unnest(range(k)) AS VARCHAR), 1 FROM {CODE}")
 def ast_npath(spark, d):
-    return pyast.npath(part_code(spark, d)).filter("func = 'work'").drop("func")
+    return structure.functions(part_code(spark, d)).select("file_id", "func", "npath")
+
+
+@query(f"SELECT file_id, 'work' AS func, CAST(d + 1 AS BIGINT) AS simple FROM {CODE} UNION ALL SELECT file_id, 'm' || CAST(unnest(range(k)) AS VARCHAR), 1 FROM {CODE}")
+def ast_simple_complexity(spark, d):
+    return structure.functions(part_code(spark, d)).select("file_id", "func", "simple")
 
 
 @query(f"SELECT file_id, 100.0 * (k + 1) / (k + 2) AS pct FROM {CODE}")
 def ast_docstrings(spark, d):
-    return structure.docstring_coverage(pyast.nodes(part_code(spark, d)))
+    return structure.docstring_coverage(part_code(spark, d))
+
+
+#: Nodes of each kind in one file
+KINDS = {"Module": "1", "FunctionDef": "1 + k", "arguments": "1 + k", "arg": "n + k", "If": "d", "Compare": "d", "Name": "d", "Load": "d", "Gt": "d", "Constant": "d + 2 + 2 * k", "Return": "1 + k", "ClassDef": "1", "Expr": "1 + k"}
 
 
-@query(f"SELECT 'If' AS kind, CAST(sum(d) AS BIGINT) AS n FROM {CODE} UNION ALL SELECT 'FunctionDef', CAST(sum(k + 1) AS BIGINT) FROM {CODE} UNION ALL SELECT 'ClassDef', count(*) FROM {CODE}")
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS kind, CAST(sum({n}) AS BIGINT) AS n FROM {CODE}" for kind, n in KINDS.items()))
 def ast_histogram(spark, d):
-    return structure.histogram(pyast.nodes(part_code(spark, d))).filter(F.col("kind").isin("If", "FunctionDef", "ClassDef"))
+    return structure.histogram(part_code(spark, d))
+
+
+@query(f"SELECT file_id, CAST(max_depth AS INTEGER) AS block_nest FROM (SELECT file_id, d AS max_depth FROM {CODE})")
+def ast_nodes_nesting(spark, d):
+    tree = pyast.nodes(part_code(spark, d))
+    inside = F.col("block_nest") + F.col("kind").isin("If", "For", "While", "With", "Try").cast("int")
+    return tree.groupBy("file_id").agg(F.max(inside).alias("block_nest"))
 
 
-@query("""WITH w AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS file_id, event_type || CAST(hour(ts) AS VARCHAR) AS name FROM events WHERE hour(ts) < 3)
+@query("""WITH w AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS file_id, event_type || CAST(hour(ts) AS VARCHAR) AS name FROM events)
  SELECT file_id, a, b FROM (SELECT x.file_id, x.name AS a, y.name AS b, row_number() OVER (PARTITION BY x.file_id ORDER BY x.name, y.name) AS r FROM w x JOIN w y ON x.file_id = y.file_id AND x.name < y.name
  WHERE levenshtein(x.name, y.name) <= least(length(x.name), length(y.name)) // 3) WHERE r <= 5""")
 def name_similarity_pairs(spark, d):
-    names = table(spark, d, "events").filter(F.hour("ts") < 3).select(F.col("user_id").cast("string").alias("file_id"), F.concat("event_type", F.hour("ts").cast("string")).alias("name"))
+    names = table(spark, d, "events").select(F.col("user_id").cast("string").alias("file_id"), F.concat("event_type", F.hour("ts").cast("string")).alias("name"))
     return structure.similar_names(names)

@@ -5,78 +5,60 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-NODE = "file_id string, node_id int, parent_id int, bfs_pos int, depth int, kind string, name string, lineno int, end_lineno int, func_id int, class_id int, nest int, n_args int, has_else boolean, has_doc boolean, n_values int, parse_error string"
-NESTING = ("If", "While", "For", "ExceptHandler")
-_BODIES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module)
+from ..detect.engine import parse
+from ..detect.source import BLOCK, FUNCTION, NESTED
+
+#: nest: ancestors within the function that make a branch harder to follow; block_nest: those that open a nested block, anywhere
+NODE = "file_id string, node_id int, parent_id int, depth int, kind string, name string, lineno int, end_lineno int, func_id int, class_id int, nest int, block_nest int, n_args int, has_else boolean, has_doc boolean, n_values int, parse_error string"
+_BODIES = (*FUNCTION, ast.ClassDef, ast.Module)
+_COLUMNS = [c.split() for c in NODE.split(", ")]
+_TYPES = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t] for _, t in _COLUMNS]
+#: Nodes that leave a task together
+TOGETHER = 50_000
 
 
 def _rows(file_id: str, code: str | None) -> list[tuple]:
     try:
-        root = ast.parse(code or "")
+        root = parse(file_id, None, code or "").tree
     except (SyntaxError, ValueError, RecursionError) as e:
-        return [(file_id, *[None] * 15, str(e))]
-    out, queue, number = [], [(root, None, 0, None, None, 0)], 0
-    while number < len(queue):  # breadth first, like ast.walk
-        node, parent, depth, func, cls, nest = queue[number]
-        kind = type(node).__name__
-        is_func, is_class = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)), isinstance(node, ast.ClassDef)
+        return [(file_id, *[None] * (len(_COLUMNS) - 2), str(e))]
+    out, queue, number = [], [(root, None, 0, None, None, 0, 0)], 0
+    while number < len(queue):  # breadth first
+        node, parent, depth, func, cls, nest, block = queue[number]
+        is_func = isinstance(node, FUNCTION)
         name = getattr(node, "name", None) or getattr(node, "id", None) or getattr(node, "attr", None) or getattr(node, "arg", None)
         args = node.args if is_func else None
-        n_args = sum(map(len, (args.posonlyargs, args.args, args.kwonlyargs))) if args else None
-        has_else = bool(node.orelse) if isinstance(node, (ast.If, ast.For, ast.While)) else None
-        has_doc = ast.get_docstring(node) is not None if isinstance(node, _BODIES) else None
-        n_values = len(node.values) if isinstance(node, ast.BoolOp) else None
-        out.append((file_id, number, parent, number, depth, kind, name if isinstance(name, str) else None, getattr(node, "lineno", None), getattr(node, "end_lineno", None), func, cls, nest, n_args, has_else, has_doc, n_values, None))
-        below = (number if is_func else func, number if is_class else cls, 0 if is_func else nest + (kind in NESTING))
+        out.append((
+            file_id, number, parent, depth, type(node).__name__, name if isinstance(name, str) else None, getattr(node, "lineno", None), getattr(node, "end_lineno", None), func, cls, nest, block,
+            sum(map(len, (args.posonlyargs, args.args, args.kwonlyargs))) if args else None, bool(node.orelse) if isinstance(node, (ast.If, ast.For, ast.While)) else None,
+            ast.get_docstring(node) is not None if isinstance(node, _BODIES) else None, len(node.values) if isinstance(node, ast.BoolOp) else None, None,
+        ))
+        below = (number if is_func else func, number if isinstance(node, ast.ClassDef) else cls, 0 if is_func else nest + isinstance(node, NESTED), block + isinstance(node, BLOCK))
         queue += [(child, number, depth + 1, *below) for child in ast.iter_child_nodes(node)]
         number += 1
     return out
 
 
 def nodes(files: DataFrame) -> DataFrame:
-    """One row per node of every file (file_id, code); a file that does not parse is one row with parse_error."""
-    columns = [c.split()[0] for c in NODE.split(", ")]
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
-                rows = [r for f, c in zip(part["file_id"], part["code"]) for r in _rows(f, c)]
-                yield pd.DataFrame(rows, columns=columns, dtype=object)
-
-    return files.select("file_id", "code").mapInPandas(parse, NODE)
-
+    """One row per node of every file (file_id, code), node_id in breadth-first order; a file that does not parse is one row with
+    parse_error. Null code is an empty file."""
 
-def npath(files: DataFrame) -> DataFrame:
-    """file_id, func, npath: the acyclic path count of each function; a fold over statements, so it runs per file."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for f, c in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows += _rows(f, c.as_py())
+                if len(rows) >= TOGETHER:
+                    yield _batch(rows)
+                    rows = []
+        if rows:
+            yield _batch(rows)
 
-    def block(body) -> int:
-        total = 1
-        for node in body:
-            if isinstance(node, ast.If):
-                total += block(node.body) + block(node.orelse)
-            elif isinstance(node, (ast.For, ast.While)):
-                total += block(node.body)
-            elif isinstance(node, ast.Try):
-                total += block(node.body) + sum(block(h.body) for h in node.handlers) + (block(node.finalbody) if node.finalbody else 0)
-            else:
-                for sub in ast.walk(node):
-                    if isinstance(sub, ast.BoolOp):
-                        total *= len(sub.values)
-        return total
+    return files.select("file_id", "code").mapInArrow(run, NODE)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for f, code in zip(pdf["file_id"], pdf["code"]):
-                try:
-                    tree = ast.parse(code or "")
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
-                rows += [(f, n.name, block(n.body)) for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-            yield pd.DataFrame(rows, columns=["file_id", "func", "npath"])
 
-    return files.select("file_id", "code").mapInPandas(fold, "file_id string, func string, npath long")
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=[c for c, _ in _COLUMNS])
