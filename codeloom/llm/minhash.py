@@ -1,6 +1,7 @@
 """Operator 3: near-duplicate documents by an inverted join on MinHash coordinates.
 
-1. Texts with the same shingle set become one class, whose representative is the smallest doc_id.
+1. Texts with the same shingle set become one class. A class has a number of its own, and the least doc_id of its texts;
+   the former is its identity in everything that follows, the latter only its label.
 2. Every class has COORDS MinHash values. (coordinate, value) pairs that only one class has cannot collide and are
    dropped; a class left with fewer than MATCH of them cannot match any other and is out.
 3. Of the others, the pairs are sorted by rising frequency. Two classes that collide in MATCH coordinates must share
@@ -12,6 +13,9 @@ A list of near copies is not expanded into all its pairs. Each list first links
 merge classes into components, and only members of different components still meet. A pair is tried only if the
 shingles of each side that any other class has are numerous enough for the threshold, and if the parities of the sets'
 hash buckets differ in few enough places; both are exact bounds.
+
+A centre meets every member of its list, so its class is one key of the joins that confirm pairs. These joins read written
+pairs and nothing that needs its rows by the same key follows them, so adaptive execution can split such a key over tasks.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def signatures(docs: DataFrame, coords: int) -> DataFrame:
-    """doc_id, n (shingles), k1, k2 (128 bits that equal sets share), sig (null without shingles)."""
+    """doc_id, text_hash, n (shingles), k1, k2 (128 bits that equal sets share), sig (null without shingles)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("minhash")
@@ -50,24 +54,28 @@ def signatures(docs: DataFrame, coords: int) -> DataFrame:
                     for k, row in zip(full, minhash.signatures([sets[k] for k in full])):
                         sig[k] = row
                 keys = [set_key(s) for s in sets]
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*keys)), pa.array(sig, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "k1", "k2", "sig"])
+                columns = [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*keys)), pa.array(sig, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "k1", "k2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, sig array<long>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return own.mapInArrow(sign, "doc_id long, text_hash long, n long, k1 long, k2 long, sig array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """rep, shingles: the sorted shingle hashes of each row of docs (rep, text); odd: which of SKETCH buckets hold an odd number of them."""
+    """doc_id, k1, k2, shingles: the sorted shingle hashes of each row of docs (doc_id, text); odd: which of SKETCH buckets hold an odd
+    number of them."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [shingle_set(t.as_py()).view(np.int64) for t in part.column(1)]
-                odd = [np.packbits(np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64) for s in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in (found, odd))], names=["rep", "shingles", "odd"])
+                found = [shingle_set(t.as_py()) for t in part.column(1)]
+                keys = zip(*map(set_key, found))
+                odd = [np.packbits(np.bincount(s.view(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64) for s in found]
+                columns = [part.column(0), *(pa.array(c, pa.int64()) for c in keys), *(pa.array(c, pa.list_(pa.int64())) for c in ([s.view(np.int64) for s in found], odd))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "shingles", "odd"])
 
-    return docs.mapInArrow(sets, "rep long, shingles array<long>, odd array<long>")
+    return docs.mapInArrow(sets, "doc_id long, k1 long, k2 long, shingles array<long>, odd array<long>")
 
 
 def _can_link(shared: Column, n: Column, other: Column, part: int, whole: int) -> Column:
@@ -88,23 +96,25 @@ def _may_be_close(odd_a: Column, odd_b: Column, n: Column, part: int, whole: int
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int, part: int, whole: int, name: str) -> DataFrame:
     """The pairs (a, b) that collide often enough and whose full sets are similar enough."""
     side = lambda t, col, k: t.select(F.col("rep").alias(k), F.col(col).alias(f"{col}_{k}"))
+    pairs = materialize(pairs, f"{name}-pairs")
     hits = pairs.join(side(classes, "sig", "a"), "a").join(side(classes, "sig", "b"), "b")
     hits = materialize(hits.filter(_collisions("sig_a", "sig_b") >= match).select("a", "b"), f"{name}-matches")
     both = hits.join(side(sets, "shingles", "a"), "a").join(side(sets, "shingles", "b"), "b")
     inter = F.size(F.array_intersect("shingles_a", "shingles_b"))
     both = both.select("a", "b", inter.alias("i"), (F.size("shingles_a") + F.size("shingles_b")).alias("t"))
-    return materialize(both.filter(whole * F.col("i") >= part * (F.col("t") - F.col("i"))).select("a", "b").distinct(), f"{name}-links")
+    return materialize(both.filter(whole * F.col("i") >= part * (F.col("t") - F.col("i"))).select("a", "b"), f"{name}-links")
 
 
 def near_duplicates(docs: DataFrame, part: int = PART, whole: int = WHOLE, coords: int = COORDS, match: int = MATCH) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, text_hash for every row of `docs` (doc_id, text).
 
     Documents are linked if whole * |A & B| >= part * |A | B| for their sets of five-word shingles. component_id is the
     smallest doc_id reachable over links. Null, empty and wordless texts have no shingle and are linked with nothing, as
-    are rows without a doc_id (component_id null, kept). Rows that repeat a doc_id are one document: a link of any of
-    its texts counts for the row that has this text."""
+    are rows without a doc_id (component_id null, kept). Of rows that repeat a doc_id, each has the component of its
+    own text; equal rows have equal results. Very long texts are taken whole, an empty table gives no rows."""
     signed = materialize(signatures(docs, coords), "signatures")
-    classes = materialize(signed.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = signed.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
 
     posted = classes.select("rep", F.posexplode("sig")).select("rep", F.xxhash64("pos", "col").alias("key"))
     frequent = posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
@@ -112,11 +122,15 @@ def near_duplicates(docs: DataFrame, part: int = PART, whole: int = WHOLE, coord
     prefix = F.slice("keys", F.lit(1), F.size("keys") - match + 1)
     family = materialize(of_class.filter(F.size("keys") >= match).select("rep", F.transform(prefix, lambda x: x["key"]).alias("keys")), "postings")
 
-    reps = family.select(F.col("rep").alias("doc_id")).distinct()
-    reps = F.broadcast(reps) if family.count() <= BROADCAST_ROWS else reps
-    sets = materialize(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, "doc_id", "left_semi")), "shingles")
+    few = family.count() <= BROADCAST_ROWS
+    small = F.broadcast if few else lambda t: t
+    wanted = classes.join(small(family.select("rep")), "rep", "left_semi").select(F.col("doc").alias("doc_id"), "k1", "k2", "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    # a doc_id may have other texts besides its class's, and a text may be there twice
+    sets = shingle_sets(texts).join(small(wanted), ["doc_id", "k1", "k2"]).groupBy("rep").agg(F.first("shingles").alias("shingles"), F.first("odd").alias("odd"))
+    sets = materialize(sets, "shingles")
     lone = sets.select("rep", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count("*").alias("lone"))
-    sizes = sets.groupBy("rep").agg(F.max(F.size("shingles")).cast("long").alias("n")).join(lone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
+    sizes = sets.select("rep", F.size("shingles").cast("long").alias("n")).join(lone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
     lists = materialize(family.select("rep", F.explode("keys").alias("key")).join(sizes, "rep").filter(whole * F.col("shared") >= part * F.col("n")), "lists")
 
     member = F.struct("rep", "n", "shared")
@@ -141,11 +155,15 @@ def near_duplicates(docs: DataFrame, part: int = PART, whole: int = WHOLE, coord
     crossing &= _collisions("x.sig", "y.sig") >= match
     more = _confirmed(x.join(y, crossing).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), classes, sets, match, part, whole, "cross")
 
-    labels = components(links.unionByName(more)).withColumnRenamed("node", "rep")
-    named = classes.select("k1", "k2", "rep").join(labels, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("label"))
-    out = signed.drop("sig").join(named, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.least("label", "doc_id")).otherwise(F.col("doc_id")))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    labels = materialize(components(links.unionByName(more)), "labels").withColumnRenamed("node", "rep")
+    linked = labels.join(classes.select("rep", "k1", "k2", "doc"), "rep")
+    least = materialize(linked.groupBy("label").agg(F.min("doc").alias("component")), "least")
+    named = linked.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "label").select("k1", "k2", "component")
+    alone = classes.join(labels.select("rep"), "rep", "left_anti").select("k1", "k2", F.col("doc").alias("component"))
+    out = signed.drop("sig").join(named.unionByName(alone), ["k1", "k2"], "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
+    out = out.withColumn("component_id", own)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ def low(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def brute(docs):
+def brute(docs, part=85):
     sets = []
     for _, text in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", low(text))
@@ -26,7 +26,7 @@ def brute(docs):
     for a in range(len(docs)):
         for b in range(a):
             n = len(sets[a] & sets[b])
-            if n and 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            if n and 100 * n >= part * (len(sets[a]) + len(sets[b]) - n):
                 parent[find(a)] = find(b)
     least = {}
     for k, (d, _) in enumerate(docs):
@@ -34,9 +34,13 @@ def brute(docs):
     return sorted((d, len(sets[k]), least[find(k)], d == least[find(k)]) for k, (d, _) in enumerate(docs))
 
 
+def plain(df):
+    return sorted(tuple(r[:4]) for r in df.collect())
+
+
 def test_query(spark, data):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
-    assert sorted(map(tuple, op3_minhash_dedup(spark, data).collect())) == brute(docs)
+    assert plain(op3_minhash_dedup(spark, data)) == brute(docs)
 
 
 @pytest.fixture(scope="module")
@@ -55,20 +59,42 @@ def family():
 
 def test_large_family(spark, family):
     got = near_duplicates(spark.createDataFrame(family, "doc_id long, text string"))
-    assert sorted(map(tuple, got.collect())) == brute(family)
+    assert plain(got) == brute(family)
 
 
 def test_odd_rows(spark):
     docs = [(9, "One two three"), (4, "one  TWO\nthree"), (2, None), (3, ""), (5, " \t"), (6, "a b c d e"), (7, "a b c d e f"), (8, "x " * 5000), (1, "x " * 9)]
     df = spark.createDataFrame([(*d, "s", 1) for d in docs], "doc_id long, text string, rep string, n int")
-    assert sorted(map(tuple, near_duplicates(df).collect())) == brute(docs)
+    assert plain(near_duplicates(df)) == brute(docs)
     more = df.unionByName(df).unionByName(spark.createDataFrame([(None, "one two three", "s", 1)], df.schema))
     rows = near_duplicates(more).collect()
-    assert len(rows) == 19 and [tuple(r) for r in rows if r["doc_id"] is None] == [(None, 1, None, True)]
-    assert {tuple(r) for r in rows if r["doc_id"]} == set(brute(docs))
+    assert len(rows) == 19 and [tuple(r[:4]) for r in rows if r["doc_id"] is None] == [(None, 1, None, True)]
+    assert {tuple(r[:4]) for r in rows if r["doc_id"]} == set(brute(docs))
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_texts_of_unlike_sizes(spark):
+    few = " ".join(f"b{k}" for k in range(80))
+    docs = [(1, " ".join(f"a{k}" for k in range(4000))), (1, few), (5, few + " more")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert plain(near_duplicates(df)) == brute(docs) and {r["component_id"] for r in near_duplicates(df).collect()} == {1}
+
+
+@pytest.mark.parametrize("part", [80, 85])
+def test_repeated_ids_against_brute_force(spark, part):
+    rng = random.Random(part)
+    bases = [[f"w{rng.randrange(400)}" for _ in range(rng.choice((6, 40, 90, 700)))] for _ in range(12)]
+    docs = []
+    for _ in range(160):
+        words = list(rng.choice(bases))
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(9)}"
+        docs.append((rng.randrange(60), " ".join(words)))
+    match = 28 if part == 85 else 24
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), part=part, match=match)
+    assert plain(got) == brute(docs, part)
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
