@@ -11,28 +11,37 @@ from codeloom.llm.minhash import BROADCAST_ROWS, near_duplicates
 from codeloom.llm.packing import pack
 from codeloom.llm.toxicity import THRESHOLD, fit, score
 
+#: Similarity in percent from which a document is a near duplicate, and the equal coordinates of 48 that a pair must have to be
+#: confirmed: fewer have a chance of 3.4e-6 at that similarity
+PART, MATCH = 80, 25
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold. The network learns from the labels of the documents at hand."""
+    """Documents that score below the threshold. The network learns from the labels of the documents at hand. Null and empty
+    texts are scored like any other; equal rows have equal scores."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).filter(F.col("score") < THRESHOLD).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id. Rows that repeat a doc_id are one document."""
-    gone = materialize(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "duplicates")
+    """Of each group of near duplicates (similarity of PART percent or more), the document with the smallest doc_id. A row goes if
+    its own text is a duplicate, so another text under the same doc_id stays, and equal rows go or stay together. Null, empty
+    and wordless texts and rows without a doc_id stay."""
+    found = near_duplicates(docs, part=PART, match=MATCH).filter("not kept")
+    gone = materialize(found.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct(), "duplicates")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    same = (docs["doc_id"].cast("long") == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_text"])
+    return docs.join(gone, same, "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item. Null and empty texts have no words and stay."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.filter(F.size("found.spans") == 0).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences."""
+    """The pieces of the documents and their places in sequences. Null and empty texts are one end id; equal rows are packed each."""
     return pack(docs)
 
 
@@ -48,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`, each one's result written and read again as the next one's documents."""
+    """All stages on `documents`, each one's result written and read again as the next one's documents. No documents give no
+    sequences. Columns besides doc_id and text pass through all stages but the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
