@@ -9,8 +9,10 @@ frequent) has its coordinates from all of its drawn terms instead, and from all
 with words has coordinates that an edit elsewhere in it leaves as they are.
 
 Document frequencies are counted over distinct texts, so copies do not push their terms out of the band, and for drawn
-terms only. The band bounds the lexicons' size whatever the corpus: a term is in LEAST of the distinct texts at least, and
-a text has finitely many terms, so there are at most (mean distinct drawn terms) / LEAST of them.
+terms only. The band bounds the lexicons' size whatever the corpus: a term is in LEAST of the distinct texts at least, so
+there are at most (mean distinct drawn terms of a text) / LEAST of them. Lexicons of up to LITERAL_ROWS entries are a
+constant of the plan, in buckets, so that a term is looked up in one step; larger ones, as book-length texts give, are a
+table that the drawn terms are joined with. Both ways give the same fingerprints.
 
 Each document needs a piece of the next one. Ids are ranked by a range sort of ids alone; every document then sends
 the wanted prefix and its fingerprint to the one before. Texts are fingerprinted and shuffled by doc_id once; both joins
@@ -20,11 +22,12 @@ read that shuffle.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, input_partitions, materialize
+from .common import input_partitions, materialize
 
 #: Band of document frequency as shares of all distinct texts; the idf band is its negated logarithm.
 LEAST, MOST = 0.005, 0.3
@@ -33,13 +36,14 @@ EMPTY = "----"
 COORDS, HALF, COARSE, FINE = 64, 32, 128, 1024
 #: A text keeps to the band if one in so many of its drawn terms is in it
 FEW = 8
-#: Lexicon entries (8 bytes) that go into the plan as a literal
-LEXICON_ROWS = 200_000
+#: Lexicon entries (8 bytes) that go into the plan as a constant, and the most buckets they are dealt to
+LITERAL_ROWS, BUCKETS = 200_000, 1 << 16
+SPACES = "[\\x20\\x09-\\x0D]+"
 
 
 def term_hashes(text: Column) -> Column:
-    words = F.array_remove(F.array_distinct(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+")), "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    """Hashes of the words of a text, one for each occurrence. That of the empty word may be among them."""
+    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES), lambda w: F.xxhash64(w))
 
 
 def entry(h: Column, coordinate: Column) -> Column:
@@ -50,20 +54,23 @@ def drawn_terms(text: Column) -> Column:
     """Distinct (coordinate * 2^48 + 48 bits of hash) of the terms that are drawn into a lexicon."""
     place = lambda h, at, share: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(share - 1))
     # the place is below HALF where its upper bits are 0
-    upper = lambda at, share: F.lit((share - HALF) << at)
+    within = lambda h, at, share: h.bitwiseAND(F.lit((share - HALF) << at)) == 0
+    coarse, fine = lambda h: within(h, 50, COARSE), lambda h: within(h, 36, FINE)
 
     def of(hashes: Column) -> Column:
-        coarse = F.transform(F.filter(hashes, lambda h: h.bitwiseAND(upper(50, COARSE)) == 0), lambda h: entry(h, place(h, 50, COARSE)))
-        fine = F.transform(F.filter(hashes, lambda h: h.bitwiseAND(upper(36, FINE)) == 0), lambda h: entry(h, place(h, 36, FINE) + HALF))
-        return F.concat(coarse, fine)
+        one = F.transform(F.filter(hashes, coarse), lambda h: entry(h, place(h, 50, COARSE)))
+        two = F.transform(F.filter(hashes, fine), lambda h: entry(h, place(h, 36, FINE) + HALF))
+        return F.concat(one, two)
 
+    few = F.array_distinct(F.filter(term_hashes(text), lambda h: (coarse(h) | fine(h)) & (h != F.xxhash64(F.lit("")))))
     # transform() over a one-element array names the hashes, so that they are computed once
-    return F.transform(F.array(term_hashes(text)), of)[0]
+    return F.transform(F.array(few), of)[0]
 
 
 def dealt_terms(text: Column) -> Column:
-    """All terms of a text, each dealt to one coordinate."""
-    return F.transform(term_hashes(text), lambda h: entry(h, F.pmod(F.shiftright(h, 48), F.lit(COORDS))))
+    """All distinct terms of a text, each dealt to one coordinate."""
+    hashes = F.array_distinct(F.filter(term_hashes(text), lambda h: h != F.xxhash64(F.lit(""))))
+    return F.transform(hashes, lambda h: entry(h, F.pmod(F.shiftright(h, 48), F.lit(COORDS))))
 
 
 def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
@@ -75,39 +82,63 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFr
     return entries.groupBy("entry").agg(F.count("*").alias("df")).filter(F.col("df").between(max(2, least * n), most * n)).select("entry")
 
 
-def literal(lexicon_rows: DataFrame) -> Column:
-    """The lexicons as one constant array. Their size is bounded by the band; a larger result is an error, not a cut."""
-    entries = sorted(r[0] for r in lexicon_rows.limit(LEXICON_ROWS + 1).collect())
-    if len(entries) > LEXICON_ROWS:
-        raise ValueError(f"over {LEXICON_ROWS} lexicon entries: the band's lower end, {LEAST}, is too low for this corpus")
-    return F.from_json(F.lit(json.dumps(entries)), "array<bigint>")
+def literal(entries: list[int]) -> Callable[[Column], Column]:
+    """From an array of drawn terms, those that are lexicon entries: each is looked for in its bucket of a constant."""
+    size = min(BUCKETS, 1 << len(entries).bit_length())
+    buckets: list[list[int]] = [[] for _ in range(size)]
+    for e in entries:
+        buckets[e & (size - 1)].append(e)
+    constant = F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
+    return lambda drawn: F.filter(drawn, lambda t: F.array_contains(F.get(constant, t.bitwiseAND(F.lit(size - 1)).cast("int")), t))
 
 
 def places() -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(COORDS - 1).cast("long"))
 
 
-def fingerprint(text: Column, entries: Column) -> Column:
-    """64 coordinates of four hexadecimal digits, `----` where the text has no term of the lexicon. A text with fewer than one
-    drawn term in FEW in the band has its coordinates from all drawn terms, one without drawn terms from all its words. A
-    text without words has a hash of itself as its first coordinate."""
+def fingerprint(text: Column, drawn: Column, within: Callable[[Column], Column]) -> Column:
+    """64 coordinates of four hexadecimal digits, `----` where the text has no term of the lexicon. drawn: the text's drawn terms;
+    within: which of them are in the band. A text with fewer than one drawn term in FEW in the band has its coordinates from
+    all drawn terms, one without drawn terms from all its words. A text without words has a hash of itself as its first
+    coordinate."""
+    # transform() over one-element arrays names what follows, so that it is computed once
+    named = lambda value, f: F.transform(F.array(value), f)[0]
+    digits = lambda h: F.lpad(F.lower(F.hex(F.pmod(h, F.lit(65_536)))), 4, "0")
 
     def chosen(drawn: Column, within: Column) -> Column:
         return F.when((F.size(within) > 0) & (FEW * F.size(within) >= F.size(drawn)), within).when(F.size(drawn) > 0, drawn).otherwise(dealt_terms(text))
 
-    # transform() over one-element arrays names the terms, so that they are computed once
-    own = F.array_sort(F.transform(F.array(drawn_terms(text)), lambda drawn: F.transform(F.array(F.array_intersect(drawn, entries)), lambda within: chosen(drawn, within))[0])[0])
-    digits = lambda h: F.lpad(F.lower(F.hex(F.pmod(h, F.lit(65_536)))), 4, "0")
+    own = F.array_sort(named(drawn, lambda d: named(within(d), lambda w: chosen(d, w))))
 
-    def all_coordinates(terms: Column) -> Column:
-        filled = F.array_distinct(F.transform(terms, lambda t: F.shiftright(t, 48)))
-        hashes = F.transform(filled, lambda k: digits(F.xxhash64(F.filter(terms, lambda t: F.shiftright(t, 48) == k))))
-        both = F.transform(F.array(F.struct(filled.alias("k"), hashes.alias("h"))), lambda x: F.transform(places(), lambda k: F.coalesce(F.get(x["h"], F.array_position(x["k"], k).cast("int") - 1), F.lit(EMPTY))))
-        return F.array_join(both[0], "")
+    def all_coordinates(terms: Column, at: Column, filled: Column) -> Column:
+        """terms are sorted, so those of a coordinate stand together; at: the coordinate of each."""
+        first = lambda k: F.array_position(at, k).cast("int")
+        after = lambda i: F.coalesce(first(F.get(filled, i + 1)), F.size(terms) + 1)
+        hashes = F.transform(filled, lambda k, i: digits(F.xxhash64(F.slice(terms, first(k), after(i) - first(k)))))
+        both = F.struct(filled.alias("k"), hashes.alias("h"))
+        return F.array_join(named(both, lambda x: F.transform(places(), lambda k: F.coalesce(F.get(x["h"], F.array_position(x["k"], k).cast("int") - 1), F.lit(EMPTY)))), "")
+
+    def of(terms: Column) -> Column:
+        at = F.transform(terms, lambda t: F.shiftright(t, 48))
+        return named(at, lambda a: named(F.array_distinct(a), lambda filled: all_coordinates(terms, a, filled)))
 
     whole = F.concat(digits(F.xxhash64(F.coalesce(text, F.lit("")))), F.lit(EMPTY * (COORDS - 1)))
-    # transform() over a one-element array names `own`, so that it is computed once
-    return F.transform(F.array(own), lambda terms: F.when(F.size(terms) == 0, whole).otherwise(all_coordinates(terms)))[0]
+    return named(own, lambda terms: F.when(F.size(terms) == 0, whole).otherwise(of(terms)))
+
+
+def printer(entries: DataFrame, most: int = LITERAL_ROWS) -> Callable[[DataFrame, str, str], DataFrame]:
+    """(df, text, name) -> df with the fingerprint of the column `text` under a name. entries: the lexicons, in a written table."""
+    if entries.count() <= most:
+        within = literal(sorted(r[0] for r in entries.collect()))
+        return lambda df, text, name: df.withColumn(name, fingerprint(F.col(text), drawn_terms(F.col(text)), within))
+
+    def joined(df: DataFrame, text: str, name: str) -> DataFrame:
+        rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_drawn", drawn_terms(F.col(text))), "drawn")
+        found = rows.select("_row", F.explode("_drawn").alias("entry")).join(entries, "entry").groupBy("_row").agg(F.collect_list("entry").alias("_within"))
+        within = F.coalesce("_within", F.array().cast("array<bigint>"))
+        return rows.join(found, "_row", "left").withColumn(name, fingerprint(F.col(text), F.col("_drawn"), lambda _: within)).drop("_row", "_drawn", "_within")
+
+    return joined
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -135,26 +166,28 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return materialize(ranked.join(behind, "rank").select("doc_id", "prev_id", "prev_n"), "neighbours")
 
 
-def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
+def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST, literal_rows: int = LITERAL_ROWS) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next. The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the
     next document, in ascending doc_id; the last one's next is the first. Null is the empty text. Of rows that repeat a
     doc_id, the document before takes the least text; all of them have the next doc_id as their next. A row without
-    doc_id has no next: its edited text is its first half, its near_next 0."""
+    doc_id has no next: its edited text is its first half, its near_next 0. Texts of any length are taken whole; `literal_rows`
+    decides how lexicons are looked up and does not change results."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    entries = literal(lexicon(own, least, most))
+    printed_by = printer(materialize(lexicon(own, least, most), "lexicon"), literal_rows)
     chain = neighbours(own.select("doc_id", F.length("text").cast("long").alias("n_chars")))
     half = lambda n: F.floor(n / 2).cast("int")
     # the key has no nulls: both joins then read the same columns of the same rows, so texts are shuffled and printed once
     key = lambda c: F.col(c).cast("string")
-    printed = own.select(F.coalesce(key("doc_id"), F.concat(F.lit("n"), F.xxhash64("text").cast("string"))).alias("key"), "text", fingerprint(F.col("text"), entries).alias("fingerprint")).repartition("key")
+    named = own.select(F.coalesce(key("doc_id"), F.concat(F.lit("n"), F.xxhash64("text").cast("string"))).alias("key"), "text")
+    printed = printed_by(named, "text", "fingerprint").repartition("key")
     chain = chain.select(F.coalesce(key("doc_id"), F.lit("")).alias("key"), F.coalesce(key("prev_id"), F.lit("")).alias("prev_key"), "prev_n")
     sent = printed.join(chain, "key", "left").select(F.coalesce("prev_key", F.concat(F.lit("none"), "key")).alias("key"), F.substring("text", F.lit(1), half(F.col("prev_n"))).alias("prefix"), F.col("fingerprint").alias("next_print"))
     sent = sent.repartition("key").groupBy("key").agg(F.min(F.struct("prefix", "next_print")).alias("next"))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - half(n)), F.substring(F.coalesce("next.prefix", F.lit("")), F.lit(1), half(n)))
     out = printed.join(sent, "key", "left").select(F.expr("try_cast(key as bigint)").alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.col("next.next_print").alias("next_print"))
-    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited"), entries).alias("edited_fingerprint"), "next_print")
+    out = printed_by(out, "edited", "edited_fingerprint").select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_print")
     near = lambda other: likeness(F.col("fingerprint"), F.col(other))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), F.coalesce(near("next_print"), F.lit(0.0)).alias("near_next"))
 

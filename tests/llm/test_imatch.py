@@ -1,6 +1,11 @@
 import hashlib
+import random
+import struct
 
-from codeloom.llm.imatch import fingerprints, op8_imatch
+import pytest
+import xxhash
+
+from codeloom.llm.imatch import COARSE, COORDS, EMPTY, FEW, FINE, HALF, fingerprints, op8_imatch
 
 
 def edits(docs):
@@ -85,3 +90,76 @@ def test_texts_without_a_term_in_the_band(spark):
     got = prints(spark, [rare, rare[:-1] + ["new"], short, short[:-1] + ["t"]] + common, least=0.2)
     assert alike(got[0], got[1]) > 0.8 and alike(got[0], got[4]) < 0.1
     assert alike(got[2], got[3]) >= 0.2
+
+
+def h64(data, seed=42):
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute(docs, least=0.005, most=0.3):
+    """fingerprint, edited_fingerprint of each (doc_id, text) in ascending order, term by term."""
+
+    def drawn(text):
+        out = set()
+        for w in (text or "").lower().replace("\t", " ").replace("\n", " ").split(" "):
+            h = h64(w.encode())
+            if w and (k := h >> 50 & (COARSE - 1)) < HALF:
+                out.add(k << 48 | h & (1 << 48) - 1)
+            if w and (k := h >> 36 & (FINE - 1)) < HALF:
+                out.add(k + HALF << 48 | h & (1 << 48) - 1)
+        return out
+
+    texts = {t or "" for _, t in docs}
+    df = {}
+    for t in texts:
+        for e in drawn(t):
+            df[e] = df.get(e, 0) + 1
+    lexicon = {e for e, n in df.items() if max(2, least * len(texts)) <= n <= most * len(texts)}
+
+    def digits(h):
+        return f"{h % 65536:04x}"
+
+    def printed(text):
+        own = drawn(text)
+        within = own & lexicon
+        terms = within if within and FEW * len(within) >= len(own) else own
+        if not own:
+            words = {h64(w.encode()) for w in text.lower().replace("\t", " ").replace("\n", " ").split(" ") if w}
+            terms = {(signed(h) >> 48) % COORDS << 48 | h & (1 << 48) - 1 for h in words}
+        if not terms:
+            return digits(h64(text.encode())) + EMPTY * (COORDS - 1)
+        out = []
+        for k in range(COORDS):
+            seed = 42
+            mine = sorted(e for e in terms if e >> 48 == k)
+            for e in mine:
+                seed = h64(struct.pack("<q", e), seed)
+            out.append(digits(seed) if mine else EMPTY)
+        return "".join(out)
+
+    own = [(d, t or "") for d, t in docs]
+    return [(printed(t), printed(e)) for (_, t), e in zip(own, edits(own))]
+
+
+@pytest.mark.parametrize("literal_rows", [200_000, 0])
+def test_every_coordinate_against_brute_force(spark, literal_rows):
+    rng = random.Random(8)
+    vocabulary = [f"{c}{k}" for c in "aÉzQ" for k in range(400)]
+    docs = [(k, None if k == 3 else rng.choice(" \t\n").join(rng.choice(vocabulary[: rng.choice((60, 600, 1600))]) for _ in range(rng.choice((0, 1, 4, 60, 500))))) for k in range(90)]
+    docs += [(90 + k, docs[7][1]) for k in range(12)] + [(200, "   ")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [(r["fingerprint"], r["edited_fingerprint"]) for r in sorted(fingerprints(df, literal_rows=literal_rows).collect(), key=lambda r: r["doc_id"])]
+    assert got == brute(docs)
+
+
+def test_book_length_texts(spark):
+    """More lexicon entries than the plan takes as a constant: the join gives what the constant gives."""
+    docs = [(k, " ".join(f"w{(k * 17 + j) % 70_000}" for j in range(60_000))) for k in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    cut = lambda rows: sorted((r["doc_id"], r["fingerprint"], r["edited_fingerprint"]) for r in rows)
+    band = {"least": 0.2, "most": 0.9}
+    assert cut(fingerprints(df, literal_rows=100, **band).collect()) == cut(fingerprints(df, literal_rows=10**6, **band).collect())
