@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -126,3 +127,47 @@ def test_pages_without_an_article_lose_what_their_host_repeats(spark):
     got = {r["page_id"]: r["text"] for r in main_text(df).collect()}
     assert got == {0: own[0], 1: own[1], 5: bar, 6: "", 7: "", 8: "m", None: "now"}
     assert main_text(df.limit(0)).count() == 0 and main_text(df.unionByName(df)).count() == 14
+
+
+def test_mirrors_keep_their_text(spark):
+    text_ = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, "http://h.org/a", f"<div>{text_}</div>"), (2, "http://h.org/a?print=1", f"<div>{text_}</div>"), (3, "http://h.org/b", "<div>other</div>")]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: text_, 2: text_, 3: "other"}
+
+
+def brute_unique(pages):
+    """By comparing every run of every page with all runs of every page of the host that reads otherwise."""
+    out = {}
+    for page, (host, blocks) in pages.items():
+        words = [w for b in blocks for w in b.split()]
+        others = [b for h, b in pages.values() if h == host and [w for x in b for w in x.split()] != words]
+        runs = {tuple(w[k : k + 8]) for b in others for w in [[v for x in b for v in x.split()]] for k in range(len(w) - 7)}
+        short = {tuple(x.split()) for b in others for x in b if len(x.split()) < 8}
+        covered = {k + j for k in range(len(words) - 7) if tuple(words[k : k + 8]) in runs for j in range(8)}
+        kept, at = [], 0
+        for b in blocks:
+            own = b.split()
+            left = [] if tuple(own) in short else [w for k, w in enumerate(own, at) if k not in covered]
+            at += len(own)
+            if left:
+                kept.append(" ".join(left))
+        out[page] = "\n".join(kept)
+    return out
+
+
+def test_what_hosts_repeat_against_brute_force(spark):
+    rng = random.Random(9)
+    passages = [[f"{c}{k}" for k in range(14)] for c in "abcde"]
+    pages = {}
+    for page in range(120):
+        blocks = []
+        for _ in range(rng.randrange(1, 6)):
+            words = rng.choice(passages)[rng.randrange(4) :] if rng.random() < 0.5 else [f"u{rng.randrange(4000)}" for _ in range(rng.randrange(1, 12))]
+            cut_at = rng.randrange(len(words) + 1)  # a passage may reach over two blocks
+            blocks += [" ".join(x) for x in (words[:cut_at], words[cut_at:]) if x]
+        pages[page] = (f"h{rng.randrange(3)}.org", blocks)
+    pages[200] = pages[0]
+    rows = [(k, f"http://{host}/{k}", "".join(f"<div>{b}</div>" for b in blocks)) for k, (host, blocks) in pages.items()]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == brute_unique(pages)
