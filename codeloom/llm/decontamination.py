@@ -5,7 +5,8 @@ runs that consist of benchmark words only and are as long as the shortest window
 An FM-index over these runs is searched backwards for all windows at once, occurrences are located by sampled suffix
 positions, mapped to words of documents and merged into spans. Texts are never shuffled.
 
-The benchmark is taken in blocks of bounded size, each broadcast by itself; every block is searched in every shard.
+The benchmark is taken in blocks of bounded size, each read, numbered and broadcast by itself. One pass over the texts
+searches every block in every shard; workers hold all blocks, about five times the benchmark's bytes.
 """
 
 from __future__ import annotations
@@ -22,28 +23,42 @@ from .common import words_of
 from .fmindex import FMIndex
 
 WINDOW = 10
-#: Bytes of benchmark text that one broadcast holds, and words under one FM-index.
-BLOCK_BYTES, SHARD_WORDS = 16_000_000, 2_000_000
+#: Bytes of benchmark text that one broadcast holds, words under one FM-index, and windows that are searched together.
+BLOCK_BYTES, SHARD_WORDS, TOGETHER = 4_000_000, 2_000_000, 1 << 18
 SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 FOUND = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
 
 class Phrases:
-    """The distinct windows of some items, by length, over a vocabulary numbered from 1."""
+    """The distinct windows of some items, by length: places in one array of all the items' words, numbered from 1, and the items
+    that each window is in. A word takes four bytes, a window about twenty."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({item_id for item_id, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        parts, starts, owners, size = [], {}, {}, 0
         for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text, "alnum")]
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text, "alnum")], np.int32)
             width = min(window, len(ids))
-            for k in range(len(ids) - width + 1 if width else 0):
-                found.setdefault(tuple(ids[k : k + width]), set()).add(item_id)
-        self.groups = []
-        for width in sorted({len(x) for x in found}):
-            same = [x for x in found if len(x) == width]
-            self.groups.append((np.array(same, np.int64), [sorted(found[x]) for x in same]))
-        self.shortest = self.groups[0][0].shape[1] if self.groups else 0
+            if width:
+                starts.setdefault(width, []).append(np.arange(size, size + len(ids) - width + 1))
+                owners.setdefault(width, []).append(np.full(len(ids) - width + 1, number[item_id], np.int64))
+            parts.append(ids)
+            size += len(ids)
+        self.ids = np.concatenate([np.empty(0, np.int32), *parts])
+        self.groups = []  # width, places of the distinct windows, and where each one's items begin in the last
+        for width in sorted(starts):
+            at, own = np.concatenate(starts[width]), np.concatenate(owners[width])
+            rows = np.ascontiguousarray(self.ids[at[:, None] + np.arange(width)]).view(np.dtype((np.void, 4 * width))).ravel()
+            _, first, which = np.unique(rows, return_index=True, return_inverse=True)
+            pairs = np.unique(which * len(self.names) + own)
+            edges = np.searchsorted(pairs // len(self.names), np.arange(len(first) + 1))
+            self.groups.append((width, at[first], edges, (pairs % len(self.names)).astype(np.int32)))
+        self.shortest = self.groups[0][0] if self.groups else 0
+
+    def patterns(self, width: int, places: np.ndarray) -> np.ndarray:
+        return self.ids[places[:, None] + np.arange(width)].astype(np.int64)
 
 
 def _runs(ids: np.ndarray, shortest: int) -> list[tuple[int, int]]:
@@ -60,19 +75,20 @@ def _search(shard: list[tuple[int, int, np.ndarray]], phrases: Phrases, spans: l
     sizes = np.array([len(ids) + 1 for _, _, ids in shard])
     starts = np.cumsum(sizes) - sizes
     index = FMIndex(text)
-    for patterns, owners in phrases.groups:
-        low, high = index.search(patterns)
-        times = high - low
-        if not times.sum():
-            continue
-        which = np.repeat(np.arange(len(patterns)), times)
-        rows = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        at = index.locate(rows)
-        run = np.searchsorted(starts, at, "right") - 1
-        for k, w, offset in zip(run.tolist(), which.tolist(), (at - starts[run]).tolist()):
-            doc, first, _ = shard[k]
-            spans[doc].append((first + offset, first + offset + patterns.shape[1]))
-            items[doc].update(owners[w])
+    for width, places, edges, owners in phrases.groups:
+        for part in range(0, len(places), TOGETHER):
+            low, high = index.search(phrases.patterns(width, places[part : part + TOGETHER]))
+            times = high - low
+            if not times.sum():
+                continue
+            which = np.repeat(np.arange(part, part + len(times)), times)
+            rows = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            at = index.locate(rows)
+            run = np.searchsorted(starts, at, "right") - 1
+            for k, w, offset in zip(run.tolist(), which.tolist(), (at - starts[run]).tolist()):
+                doc, first, _ = shard[k]
+                spans[doc].append((first + offset, first + offset + width))
+                items[doc].update(phrases.names[o] for o in owners[edges[w] : edges[w + 1]].tolist())
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -86,32 +102,30 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(phrases) -> object:
-    """For mapInArrow: rows (row, text[, found]) -> the same with `found` of this block merged in."""
+def _scan(blocks: list) -> object:
+    """For mapInArrow: rows (row, text) -> the same with `found`. blocks: broadcast Phrases; each shard of each is searched."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Phrases = phrases.value
-        number, shortest = block.vocabulary.get, max(1, block.shortest)
         for batch in batches:
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             items: list[set] = [set() for _ in range(batch.num_rows)]
-            n_words, shard, size = [], [], 0
-            for doc, text in enumerate(batch.column(1)):
-                words = words_of(text.as_py(), "alnum")
-                n_words.append(len(words))
-                ids = np.fromiter(map(number, words, repeat(0)), np.int64, len(words))
-                for a, b in _runs(ids, shortest) if block.groups else ():
-                    shard.append((doc, a, ids[a:b]))
-                    size += b - a
-                if size >= SHARD_WORDS:
+            n_words: list[int] = []
+            for no, block in enumerate(b.value for b in blocks):
+                number, shortest = block.vocabulary.get, max(1, block.shortest)
+                shard, size = [], 0
+                for doc, text in enumerate(batch.column(1)):
+                    words = words_of(text.as_py(), "alnum")
+                    if not no:
+                        n_words.append(len(words))
+                    ids = np.fromiter(map(number, words, repeat(0)), np.int64, len(words))
+                    for a, b in _runs(ids, shortest) if block.groups else ():
+                        shard.append((doc, a, ids[a:b]))
+                        size += b - a
+                    if size >= SHARD_WORDS:
+                        _search(shard, block, spans, items)
+                        shard, size = [], 0
+                if shard:
                     _search(shard, block, spans, items)
-                    shard, size = [], 0
-            if shard:
-                _search(shard, block, spans, items)
-            if batch.num_columns > 2:
-                for doc, old in enumerate(batch.column(2).to_pylist()):
-                    spans[doc] += [(s["first"], s["last"]) for s in old["spans"]]
-                    items[doc].update(old["items"])
             joined = [merged(s) for s in spans]
             edges = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in joined])]).astype(np.int32))
             flat = np.array([x for s in joined for x in s], np.int64).reshape(-1, 2)
@@ -133,11 +147,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     blocks = total // block_bytes + 1
     out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
     row_type = out.schema["row"].dataType.simpleString()
+    sent = []
     for k in range(blocks):
         # one block, of about block_bytes; an item is never split
         items = [(r["item_id"], r["text"]) for r in tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(Phrases(items, window))), f"row {row_type}, text string, found struct<n_words:long,spans:array<struct<first:long,last:long>>,items:array<string>>")
-    return out
+        sent.append(spark.sparkContext.broadcast(Phrases(items, window)))
+    return out.mapInArrow(_scan(sent), f"row {row_type}, text string, found struct<n_words:long,spans:array<struct<first:long,last:long>>,items:array<string>>")
 
 
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str:
