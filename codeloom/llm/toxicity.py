@@ -1,7 +1,10 @@
 """Operator 2: toxicity of whole texts by the network of gru.py, over windows that overlap by half.
 
 The network is trained in numpy on the driver, on a sample of labelled documents that SAMPLE bounds for each label; the
-sample is the rows of least doc_id hash, so it does not depend on the order of rows. The trained network is a few
+sample is the rows of least doc_id hash, so it does not depend on the order of rows; of a repeated doc_id it has the least
+text, and it leaves out texts over LONGEST bytes, so its size has a bound. The network starts from what the sample says of
+single words: the first dimension of a word's embedding is its smoothed log odds of label 1, clipped, and the windows of the
+first epoch are those with the largest one. A word's characters enter as the mean of its hashed trigrams' embeddings. The trained network is a few
 hundred kilobytes and is broadcast. Scoring reads every word of every text where it is stored; nothing is shuffled.
 """
 
@@ -17,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import kept, words_of
 from .gru import Network, train
 
-#: Labelled documents of each label that training reads, and the score from which a text is toxic.
-SAMPLE, THRESHOLD = {1: 1200, 0: 1800}, 0.3
+#: Labelled documents of each label that training reads, the bytes of the longest one that it reads, and the score from which a
+#: text is toxic.
+SAMPLE, LONGEST, THRESHOLD = {1: 1200, 0: 1800}, 32_768, 0.3
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -39,7 +43,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
         part = usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most sum(sample) rows of 16 bytes
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST))
+    # at most sum(sample) rows of LONGEST bytes
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     y = np.array([r["y"] for r in rows], np.int64)
     if not len(rows) or y.min() == y.max():
