@@ -2,9 +2,11 @@
 
 Documents are encoded where they are read and leave the task as piece descriptions, a few dozen bytes each; texts are
 never shuffled. Whole-length pieces are sequences already. The others are dealt at random to partitions of a fixed
-number of items, each packed by best-fit with lengths in falling order. Nearly full bins are final. Underfull bins
-become items of the next round, over fewer partitions, until one partition holds all that is left. Every round is
-written to the shared folder.
+number of items, each packed by best-fit with lengths in falling order. Nearly full bins are final, and so are bins with
+less room than the least bin that is left takes. The other underfull bins become items of the next round, over as many
+partitions as they fill, until one partition holds them all. As all bins of a partition but one are over half full, few
+are left after a round; should a round leave no fewer than the one before, its bins are final. Items of one length are
+placed in the order of a hash, so ties do not depend on the order of rows. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -110,18 +112,26 @@ def _round(items: DataFrame, partitions: int, number: int, last: bool, capacity:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, items: int = ITEMS) -> DataFrame:
     """Packs `docs` (doc_id, text) into sequences of at most `capacity` ids. One row per piece: doc_id, piece, start, length,
-    ids_crc32, sequence_id, offset. Null and empty texts are one end id; rows that repeat a doc_id are packed each."""
+    ids_crc32, sequence_id, offset. Null and empty texts are one end id; rows that repeat a doc_id are packed each; texts of
+    any length are encoded whole; an empty table gives no rows."""
     pieces = materialize(encode_pieces(docs, tokenizer, end_id, capacity), "pieces")
     whole = pieces.filter(F.col("length") == capacity).select("*", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity)
     rest = rest.select(F.col("length").alias("total"), F.array(F.struct(*rest.columns, F.lit(0).cast("long").alias("offset"))).alias("members"))
+    places = lambda bins: bins.select("sequence_id", F.explode("members").alias("m")).select("m.*", "sequence_id").select(*whole.columns[:5], "sequence_id", F.col("offset"))
     out, number, left, before = [whole], 1, rest.count(), None
     while left:
-        last = left <= items or (before is not None and left > 0.9 * before)
+        last = left <= items or (before is not None and left >= before)
         bins = _round(rest, -(-left // items), number, last, capacity)
-        out.append(bins.filter("final").select("sequence_id", F.explode("members").alias("m")).select("m.*", "sequence_id").select(*whole.columns[:5], "sequence_id", F.col("offset")))
-        rest, number, before = bins.filter("not final"), number + 1, left
-        left = 0 if last else rest.count()
+        out.append(places(bins.filter("final")))
+        rest = bins.filter("not final")
+        least = None if last else rest.agg(F.min("total")).first()[0]
+        if least is None:
+            break
+        takes = F.lit(capacity) - F.col("total") >= least
+        out.append(places(rest.filter(~takes)))
+        rest, number, before = rest.filter(takes), number + 1, left
+        left = rest.count()
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)

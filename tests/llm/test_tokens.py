@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -10,9 +11,9 @@ from tokenizers import Tokenizer
 
 from codeloom.llm import tokens
 from codeloom.llm.common import hashed_words, shared_path, words_of
-from codeloom.llm.packing import best_fit, pack
-from codeloom.llm.token_counts import attribute, section_token_counts
-from codeloom.llm.token_output import read_token_files, write_token_files
+from codeloom.llm.packing import best_fit, op9_best_fit_packing, pack
+from codeloom.llm.token_counts import attribute, op10_token_counts, section_token_counts
+from codeloom.llm.token_output import op1_token_output, read_token_files, write_token_files
 from codeloom.llm.tokens import encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -94,6 +95,14 @@ def test_pack_places_every_piece_once(docs, items):
     assert sorted(seen) == sorted(want)
 
 
+def test_residuals_of_all_partitions_meet(spark):
+    """Three of four items of a third of a sequence fit together, wherever they were dealt."""
+    rows = pack(spark.createDataFrame([(k, "word " * 680) for k in range(90)], "doc_id long, text string"), items=7).collect()
+    lengths = {r["length"] for r in rows}
+    assert len(lengths) == 1 and 3 * max(lengths) <= 2048 < 4 * max(lengths)
+    assert len({r["sequence_id"] for r in rows}) <= 31
+
+
 def test_pack_is_close_to_the_bound(spark, data):
     rows = pack(spark.read.parquet(f"{data}/documents.parquet")).collect()
     bound = -(-sum(r["length"] for r in rows) // 2048)
@@ -131,6 +140,58 @@ def test_section_counts(docs):
     assert got == want
 
 
+def plain_sections(text):
+    """Tokens and crossing tokens of each line: a token's bytes are counted one by one."""
+    raw, e = text.encode(), TOKENIZER.encode(text, add_special_tokens=False)
+    line_of = []
+    for b in raw:
+        line_of.append(line_of[-1] + (raw[len(line_of) - 1] == 10) if line_of else 0)
+    counts = [[0, 0] for _ in range(text.count("\n") + 1)]
+    at = 0
+    for token in e.tokens:
+        own = line_of[at : at + len(token)]
+        at += len(token)
+        best = max(sorted(set(own)), key=own.count)
+        counts[best][0] += 1
+        counts[best][1] += len(set(own)) > 1
+    assert at == len(raw)
+    return [tuple(c) for c in counts]
+
+
+def test_every_section_against_counted_bytes(spark):
+    rng = random.Random(2)
+    alphabet = ["\n", "\n\n", " ", "  ", "word", "é", "漢字", "12", "it's", "\t\n", "\r\n", "!!"]
+    docs = [(k, "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))) for k in range(200)]
+    rows = section_token_counts(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["section"])):
+        got.setdefault(r["doc_id"], []).append((r["n_tokens"], r["n_crossing"]))
+    assert got == {d: plain_sections(t) for d, t in docs} and any(c for x in got.values() for _, c in x)
+
+
+def test_queries(spark, data):
+    """The registered queries of the three operators, row by row."""
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    at, want = 0, []
+    for d, t in docs:
+        ids = plain(t, 2)
+        want.append((d, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert sorted(tuple(r[:4]) for r in op1_token_output(spark, data).collect()) == want
+    pieces = {}
+    for r in op9_best_fit_packing(spark, data).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for d, t in docs:
+        ids = plain(t, 0)
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)] if len(ids) > 2048 else [0, len(ids)]
+        assert sorted(pieces.pop(d)) == [(k, i, j - i, crc(ids[i:j])) for k, (i, j) in enumerate(zip(cuts, cuts[1:]))]
+    assert not pieces
+    counted = {}
+    for r in op10_token_counts(spark, data).collect():
+        counted[r["doc_id"]] = counted.get(r["doc_id"], 0) + r["n_tokens"]
+    assert counted == {d: len(plain(t)) for d, t in docs}
+
+
 def test_attribution_rule():
     tokens, crossing = attribute(np.array([2, 6, 9]), np.array([0, 4, 7]))
     assert tokens.tolist() == [2, 0, 1] and crossing.tolist() == [1, 0, 1]  # token 2-6 is shared 2:2, so the first has it
