@@ -20,6 +20,12 @@ def line_consistency(lines: DataFrame) -> DataFrame:
     )
 
 
+def line_count(text: Column) -> Column:
+    """Lines of a text; a line end at its end opens no further one."""
+    open_end = (text != "") & ~text.endswith("\n")
+    return F.coalesce(_breaks(text) + open_end.cast("int"), F.lit(0)).cast("long")
+
+
 def length_band(mean: Column) -> Column:
     """Score of the mean length of the lines that are not blank."""
     return F.when(mean.isNull() | mean.between(40, 80), 100).when(mean.between(30, 100), 80).when(mean.between(20, 120), 60).otherwise(40)

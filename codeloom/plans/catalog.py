@@ -1,7 +1,7 @@
 """All queries of the engine and their SQL."""
 
-from . import detectors, quality, queries
+from . import detectors, quality, queries, reporting
 
 QUERIES, SQL = queries.QUERIES, queries.SQL
 
-__all__ = ["QUERIES", "SQL", "detectors", "quality"]
+__all__ = ["QUERIES", "SQL", "detectors", "quality", "reporting"]

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import fnmatch
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SEVERITIES, lookup
+from .trees import LARGEST_KB, PATTERNS, listed, read_files
 
-FILE = "file_id string, path string, name string, stem string, suffix string, size_bytes long, code string"
-# What a tree scan takes and leaves out by default.
-PATTERNS, LARGEST_KB = ("**/*.py",), 1000
 EVENT_SEVERITY = {"error": "critical", "purchase": "high", "signup": "medium", "click": "low", "view": "info"}
 
 
@@ -20,28 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_source_tree(spark: SparkSession, root: str, patterns=PATTERNS, ignore=(), largest_kb: int = LARGEST_KB) -> DataFrame:
-    """Files under `root` as source_file rows. Paths are listed on the driver (names starting with `_` or `.` included, which
-    Spark's own listing hides); contents are read by the tasks. Unreadable files have null code; line ends become \\n."""
-    top = Path(root)
-    found = {p for pattern in patterns for p in top.rglob(pattern.removeprefix("**/")) if p.is_file()} if top.is_dir() else {top}
-    kept = sorted(str(p) for p in found if not any(fnmatch.fnmatch(str(p.relative_to(top)) if p != top else p.name, g) for g in ignore) and p.stat().st_size / 1024 <= largest_kb)
-    paths = spark.createDataFrame([(p,) for p in kept], "path string")
-
-    def read(batches):
-        for pdf in batches:
-            rows = []
-            for path in pdf["path"]:
-                raw = Path(path).read_bytes()
-                try:
-                    code = raw.decode().replace("\r\n", "\n").replace("\r", "\n")
-                except UnicodeDecodeError:
-                    code = None
-                p = Path(path)
-                rows.append((path, path, p.name, p.stem, p.suffix, len(raw), code))
-            yield pdf.__class__(rows, columns=["file_id", "path", "name", "stem", "suffix", "size_bytes", "code"])
-
-    return paths.mapInPandas(read, FILE)
+def read_source_tree(spark: SparkSession, root: str, patterns=PATTERNS, ignore=(), largest_kb: float = LARGEST_KB) -> DataFrame:
+    """Files under a directory (see trees.listed) or one file as source_file rows. Paths are listed on the driver, contents are
+    read by the tasks."""
+    return read_files(spark, listed(root, patterns, ignore, largest_kb) if Path(root).is_dir() else [root])
 
 
 def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
