@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 from .complexity import simple
-from .source import FUNCTION, Fact, Source, called, calls_name, measure, name_of
+from .source import FUNCTION, Fact, Source, called, calls_name, measure, name_of, walk
 
 NAME = "architecture"
 #: Fixed values
@@ -42,7 +42,7 @@ def methods(cls: ast.ClassDef) -> list:
 
 
 def self_attributes(root: ast.AST) -> set[str]:
-    return {n.attr for n in ast.walk(root) if isinstance(n, ast.Attribute) and name_of(n.value) == "self"}
+    return {n.attr for n in walk(root) if isinstance(n, ast.Attribute) and name_of(n.value) == "self"}
 
 
 def cohesion_groups(cls: ast.ClassDef) -> int:
@@ -67,7 +67,7 @@ def weight(cls: ast.ClassDef) -> int:
 
 def responses(root: ast.AST) -> int:
     """Distinct names of functions defined and called."""
-    nodes = list(ast.walk(root))
+    nodes = walk(root)
     return len({n.name for n in nodes if isinstance(n, FUNCTION)} | {called(n) for n in nodes if isinstance(n, ast.Call) and called(n)})
 
 
@@ -106,7 +106,7 @@ def substitution(source: Source) -> Iterator[Fact]:
     """Raised NotImplementedError() calls in methods; of classes with one name, the last counts."""
     for cls in {c.name: c for c in source.classes}.values():
         for m in methods(cls):
-            for n in ast.walk(m):
+            for n in walk(m):
                 if isinstance(n, ast.Raise) and calls_name(n.exc, "NotImplementedError"):
                     yield _violation("LSP", f"{cls.name}.{m.name}", n.lineno)
 
@@ -135,7 +135,7 @@ def _smell(name: str, line: int, detail: str) -> Fact:
 def god_classes(source: Source) -> Iterator[Fact]:
     """A class is judged with the classes inside it: their weights add up, their cohesion is averaged."""
     for cls in source.classes:
-        family = [c for c in ast.walk(cls) if isinstance(c, ast.ClassDef)]
+        family = [c for c in walk(cls) if isinstance(c, ast.ClassDef)]
         found = (("WMC", sum(map(weight, family)), GOD_WMC), ("LCOM", sum(map(cohesion_groups, family)) / len(family), GOD_LCOM), ("RFC", responses(cls), GOD_RFC))
         if reasons := [f"{k}={v:g}" for k, v, most in found if v > most]:
             yield _smell("God Class", cls.lineno, ", ".join(reasons))
@@ -145,7 +145,7 @@ def feature_envy(source: Source) -> Iterator[Fact]:
     """The first other object that a method touches more often than self and more than ENVY times."""
     for cls in source.classes:
         for m in methods(cls):
-            touched = Counter(name_of(n.value) for n in ast.walk(m) if isinstance(n, ast.Attribute) and name_of(n.value))
+            touched = Counter(name_of(n.value) for n in walk(m) if isinstance(n, ast.Attribute) and name_of(n.value))
             own = touched.pop("self", 0)
             for other, n in touched.items():
                 if n > max(own, ENVY):

@@ -6,7 +6,7 @@ import ast
 import math
 from collections.abc import Iterator
 
-from .source import BLOCK, FUNCTION, NESTED, Fact, Source, inside, measure
+from .source import BLOCK, FUNCTION, NESTED, Fact, Source, children, inside, measure, walk
 
 NAME = "complexity"
 #: Rule, measure, bound, severity, second bound, severity beyond it, title. A file's title takes its name.
@@ -44,12 +44,12 @@ def decisions(node: ast.AST) -> int:
 
 def _own(root: ast.AST) -> Iterator[ast.AST]:
     """The nodes of a block that no inner function or class holds."""
-    stack = list(ast.iter_child_nodes(root))
+    stack = list(children(root))
     while stack:
         node = stack.pop()
         if not isinstance(node, (*FUNCTION, ast.ClassDef)):
             yield node
-            stack.extend(ast.iter_child_nodes(node))
+            stack.extend(children(node))
 
 
 def cyclomatic(root: ast.AST) -> int:
@@ -64,7 +64,7 @@ def cyclomatic(root: ast.AST) -> int:
 
 def simple(root: ast.AST) -> int:
     """1 and the branches, loops, handlers and further operands of a whole subtree."""
-    return 1 + sum(isinstance(n, NESTED) or (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in ast.walk(root))
+    return 1 + sum(isinstance(n, NESTED) or (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in walk(root))
 
 
 def cognitive(function: ast.AST) -> int:
@@ -103,7 +103,7 @@ def npath(body: list[ast.AST]) -> int:
         elif isinstance(node, ast.BoolOp):
             paths *= len(node.values)
         else:
-            queue.extend(reversed(list(ast.iter_child_nodes(node))))
+            queue.extend(reversed(children(node)))
     return paths
 
 

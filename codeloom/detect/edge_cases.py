@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from itertools import islice
 
-from .source import Fact, Source, calls_name, measure, name_of, number
+from .source import Fact, Source, calls_name, measure, name_of, number, walk
 
 NAME = "edge_cases"
 #: Fixed values
@@ -58,7 +58,7 @@ def off_by_one(source: Source) -> Iterator[Fact]:
     """Loops over range(len(x)), once for each subscript with arithmetic in them; slices from 1 to len()."""
     for loop in source.of(ast.For):
         if calls_name(loop.iter, "range") and len(loop.iter.args) == 1 and calls_name(loop.iter.args[0], "len"):
-            for n in ast.walk(loop):
+            for n in walk(loop):
                 if isinstance(n, ast.Subscript) and isinstance(n.slice, ast.BinOp):
                     yield _issue("EDGE_OBOE001", "high", "Potential Off-by-One Error: potential_oboe_in_loop", loop.lineno)
     for n in source.of(ast.Subscript):
@@ -76,7 +76,7 @@ def validation(source: Source) -> Iterator[Fact]:
         text = "\n".join(source.lines[f.lineno - 1 : f.end_lineno])
         if not any(p.search(text) for p in (*TYPE_CHECK, *NONE_CHECK)):
             yield _issue("EDGE_VAL001", "medium", f"Incomplete Input Validation in '{f.name}'", f.lineno)
-        inner = list(ast.walk(f))
+        inner = walk(f)
         checked = {name_of(n.left) for n in inner if isinstance(n, ast.Compare) and any(isinstance(op, (ast.Is, ast.IsNot)) for op in n.ops)}
         for name in islice((n for n in names if n not in checked), NONE_CHECKS):
             yield _issue("EDGE_NULL001", "medium", f"Missing None Check: {name}", f.lineno)

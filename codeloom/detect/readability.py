@@ -11,7 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 from .complexity import cyclomatic, nesting
-from .source import FUNCTION, Fact, Source, measure, opens_with_constant, percent
+from .source import FUNCTION, Fact, Source, measure, opens_with_constant, percent, walk
 
 NAME = "cognitive_load"
 #: Fixed values. The first class that has a matching pattern is a name's; case counts in the patterns without (?i)
@@ -67,11 +67,11 @@ def flat_cognitive(function: ast.AST) -> int:
     def total(root: ast.AST, level: int) -> int:
         out = 0
         owner = {}  # the outermost function, in walking order, that holds a call
-        for f in ast.walk(root):
+        for f in walk(root):
             if isinstance(f, FUNCTION):
-                for n in ast.walk(f):
+                for n in walk(f):
                     owner.setdefault(id(n), f.name)
-        for n in ast.walk(root):
+        for n in walk(root):
             if isinstance(n, (ast.If, ast.While, ast.For, ast.ExceptHandler)):
                 out += 1 + level
             elif isinstance(n, ast.BoolOp):

@@ -6,7 +6,7 @@ import ast
 import re
 from collections.abc import Iterator
 
-from .source import Fact, Source, dotted
+from .source import Fact, Source, children, dotted, walk
 
 NAME = "security"
 #: Fixed values. Secrets, searched without regard to case in the whole text
@@ -123,7 +123,7 @@ def taint(source: Source) -> Iterator[Fact]:
             return ends(ast.unparse(node), SOURCES) or dirty(node.value, names)
         if isinstance(node, (ast.Lambda, *ast_scopes)):
             return False
-        return any(dirty(child, names) for child in ast.iter_child_nodes(node) if isinstance(child, (ast.expr, ast.FormattedValue)))
+        return any(dirty(child, names) for child in children(node) if isinstance(child, (ast.expr, ast.FormattedValue)))
 
     for scope in (source.tree, *source.functions):
         names: set[str] = set()
@@ -131,7 +131,7 @@ def taint(source: Source) -> Iterator[Fact]:
             if isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and node.value is not None:
                 now = dirty(node.value, names)
                 for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
-                    for t in ast.walk(target):
+                    for t in walk(target):
                         if isinstance(t, ast.Name):
                             if now:
                                 names.add(t.id)
@@ -159,7 +159,7 @@ def _own_nodes(scope: ast.AST) -> Iterator[ast.AST]:
             continue
         if hasattr(node, "lineno"):
             yield node
-        stack.extend(ast.iter_child_nodes(node))
+        stack.extend(children(node))
 
 
 def detect(source: Source) -> Iterator[Fact]:

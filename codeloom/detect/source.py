@@ -13,6 +13,30 @@ BLOCK = (ast.If, ast.For, ast.While, ast.With, ast.Try)
 NESTED = (ast.If, ast.While, ast.For, ast.ExceptHandler)
 
 
+def children(node: ast.AST) -> list[ast.AST]:
+    """The nodes right below, in the order of the fields. A node keeps them: every detector walks the same tree."""
+    try:
+        return node.below
+    except AttributeError:
+        out: list[ast.AST] = []
+        for name in node._fields:
+            value = getattr(node, name, None)
+            if value.__class__ is list:
+                out += [x for x in value if isinstance(x, ast.AST)]
+            elif isinstance(value, ast.AST):
+                out.append(value)
+        node.below = out
+        return out
+
+
+def walk(root: ast.AST) -> list[ast.AST]:
+    """A node and all below it, breadth first."""
+    out = [root]
+    for node in out:
+        out += children(node)
+    return out
+
+
 @dataclass(frozen=True)
 class Fact:
     """kind "issue": name is the rule, value unused. kind "measure": name and value, scope is what was measured (null: the
@@ -55,7 +79,7 @@ class Source:
     @cached_property
     def nodes(self) -> list[ast.AST]:
         """Breadth first, children in the order of their fields."""
-        return list(ast.walk(self.tree))
+        return walk(self.tree)
 
     @cached_property
     def functions(self) -> list:
@@ -82,7 +106,7 @@ def inside(root: ast.AST, kinds: tuple[type, ...]) -> Iterator[tuple[ast.AST, in
         node, depth, owner = stack.pop()
         yield node, depth, owner
         depth += isinstance(node, kinds)
-        for child in ast.iter_child_nodes(node):
+        for child in children(node):
             stack.append((child, depth, child.name if isinstance(child, FUNCTION) else owner))
 
 

@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 from itertools import combinations
 
-from .source import FUNCTION, Fact, Source, measure
+from .source import FUNCTION, Fact, Source, measure, walk
 
 NAME = "test_quality"
 #: Fixed values. Assertions by what they say; all but the weak ones are strong
@@ -41,7 +41,7 @@ def _silent(node: ast.AST) -> bool:
 
 def kinds(function: ast.AST) -> str:
     """The kinds of a function's nodes in breadth-first order, as one string."""
-    return "".join(type(n).__name__ for n in ast.walk(function))
+    return "".join(type(n).__name__ for n in walk(function))
 
 
 def likeness(a: str, b: str) -> float:
@@ -52,7 +52,7 @@ def likeness(a: str, b: str) -> float:
 def detect(source: Source) -> Iterator[Fact]:
     tests = [f for f in source.functions if f.name.startswith("test_")]
     for f in tests:
-        nodes = list(ast.walk(f))
+        nodes = walk(f)
         made = [(kind, n) for n in nodes if (kind := _asserts(n))]
         weak, silent = sum(kind == "weak" for kind, _ in made), sum(_silent(n) for _, n in made)
         yield measure(NAME, "assertions", len(made), f.name, f.lineno)

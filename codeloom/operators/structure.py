@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..detect import architecture, complexity
 from ..detect.engine import parse
-from ..detect.source import FUNCTION, argument_names
+from ..detect.source import FUNCTION, argument_names, walk
 
 FUNCTIONS = ("FunctionDef", "AsyncFunctionDef")
 #: A row per function or class (kind); what a kind does not have is null
@@ -25,7 +25,7 @@ def _row(file_id: str, node: ast.AST) -> tuple:
     head = (file_id, type(node).__name__, node.name, node.lineno, node.end_lineno - node.lineno + 1, ast.get_docstring(node) is not None)
     if isinstance(node, ast.ClassDef):
         return (*head, None, complexity.cyclomatic(node), *[None] * 7, len(architecture.methods(node)), architecture.weight(node), architecture.cohesion_groups(node), architecture.responses(node))
-    ifs = [n for n in ast.walk(node) if isinstance(n, ast.If)]
+    ifs = [n for n in walk(node) if isinstance(n, ast.If)]
     a = node.args
     positional = [x.arg for x in a.posonlyargs]
     return (

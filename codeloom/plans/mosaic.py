@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,7 @@ class Piece:
 def files(spark, d: str, pieces: list[Piece], prefix: str = "src/m") -> DataFrame:
     code = F.concat(*(F.when(F.expr(p.here), F.lit(p.code)).otherwise(F.lit("")) for p in pieces))
     key = F.col("p_partkey").cast("string")
-    return table(spark, d, "part").select(key.alias("file_id"), F.concat(F.lit(prefix), key, F.lit(".py")).alias("path"), code.alias("code"))
+    return spread(table(spark, d, "part").select("p_partkey")).select(key.alias("file_id"), F.concat(F.lit(prefix), key, F.lit(".py")).alias("path"), code.alias("code"))
 
 
 def _text(value: str) -> str:

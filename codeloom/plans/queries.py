@@ -9,7 +9,7 @@ from ..functions import jsonx
 from ..operators import findings, graph, rules, scoring, structure, text_metrics
 from ..schema import CATEGORIES, GRADES, PENALTY, RISK, SEVERITIES, WEIGHTS, grade
 from ..sources import pyast
-from ..sources.tables import documents_as_files, events_as_issues, lines, table
+from ..sources.tables import documents_as_files, events_as_issues, lines, spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -264,7 +264,7 @@ def json_cascade(spark, d):
 
 def part_code(spark, d):
     """A function with p_size % 12 parameters and p_size % 7 nested ifs, and a class with p_size % 13 methods."""
-    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file_id"), *((F.col("p_size") % m).alias(c) for c, m in (("d", 7), ("n", 12), ("k", 13))))
+    p = spread(table(spark, d, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").cast("string").alias("file_id"), *((F.col("p_size") % m).alias(c) for c, m in (("d", 7), ("n", 12), ("k", 13))))
     many = lambda c, f: F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(13)), lambda i: i < F.col(c)), f), "")
     args = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(13)), lambda i: i < F.col("n")), lambda i: F.concat(F.lit("p"), i.cast("string"))), ", ")
     ifs = many("d", lambda i: F.concat(F.repeat(F.lit(" "), i + 1), F.lit("if flag > "), i.cast("string"), F.lit(":\n")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..detect.engine import parse
-from ..detect.source import BLOCK, FUNCTION, NESTED
+from ..detect.source import BLOCK, FUNCTION, NESTED, children
 
 #: nest: ancestors within the function that make a branch harder to follow; block_nest: those that open a nested block, anywhere
 NODE = "file_id string, node_id int, parent_id int, depth int, kind string, name string, lineno int, end_lineno int, func_id int, class_id int, nest int, block_nest int, n_args int, has_else boolean, has_doc boolean, n_values int, parse_error string"
@@ -37,7 +37,7 @@ def _rows(file_id: str, code: str | None) -> list[tuple]:
             ast.get_docstring(node) is not None if isinstance(node, _BODIES) else None, len(node.values) if isinstance(node, ast.BoolOp) else None, None,
         ))
         below = (number if is_func else func, number if isinstance(node, ast.ClassDef) else cls, 0 if is_func else nest + isinstance(node, NESTED), block + isinstance(node, BLOCK))
-        queue += [(child, number, depth + 1, *below) for child in ast.iter_child_nodes(node)]
+        queue += [(child, number, depth + 1, *below) for child in children(node)]
         number += 1
     return out
 

@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Short rows that become code, dealt to all cores: a small table is one split, and parsing its code takes far longer than
+    reading it."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def read_source_tree(spark: SparkSession, root: str, patterns=PATTERNS, ignore=(), largest_kb: float = LARGEST_KB) -> DataFrame:
     """Files under a directory (see trees.listed) or one file as source_file rows. Paths are listed on the driver, contents are
     read by the tasks."""
@@ -46,4 +53,4 @@ def events_as_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = ["documents_as_files", "events_as_issues", "lines", "lookup", "read_source_tree", "table"]
+__all__ = ["documents_as_files", "events_as_issues", "lines", "lookup", "read_source_tree", "spread", "table"]
