@@ -102,18 +102,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(blocks: list) -> object:
-    """For mapInArrow: rows (row, text) -> the same with `found`. blocks: broadcast Phrases; each shard of each is searched."""
+def _scan(blocks: list, at_text: int) -> object:
+    """For mapInArrow: rows (row, with the text as field at_text) -> the same with `found`. blocks: broadcast Phrases; each shard of each is searched."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             items: list[set] = [set() for _ in range(batch.num_rows)]
             n_words: list[int] = []
+            texts = batch.column(0).field(at_text)
             for no, block in enumerate(b.value for b in blocks):
                 number, shortest = block.vocabulary.get, max(1, block.shortest)
                 shard, size = [], 0
-                for doc, text in enumerate(batch.column(1)):
+                for doc, text in enumerate(texts):
                     words = words_of(text.as_py(), "alnum")
                     if not no:
                         n_words.append(len(words))
@@ -131,13 +132,13 @@ def _scan(blocks: list) -> object:
             flat = np.array([x for s in joined for x in s], np.int64).reshape(-1, 2)
             pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(SPAN))
             found = pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(edges, pairs), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["n_words", "spans", "items"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["row", "text", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["row", "found"])
 
     return scan
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """row (all columns of `docs`, which has text), text, found (n_words, spans of words [first, last) to remove, items with an
+    """row (all columns of `docs`, which has text), found (n_words, spans of words [first, last) to remove, items with an
     occurring window, sorted as strings). Words are lower-cased (A-Z) runs outside ASCII non-alphanumerics. A window is
     `window` consecutive words of an item (item_id, text), or all of a shorter one. Null and empty texts have no words;
     rows that repeat an item_id are one item, a null item_id is the empty string; an empty benchmark finds nothing."""
@@ -145,14 +146,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // block_bytes + 1
-    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     row_type = out.schema["row"].dataType.simpleString()
     sent = []
     for k in range(blocks):
         # one block, of about block_bytes; an item is never split
         items = [(r["item_id"], r["text"]) for r in tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
         sent.append(spark.sparkContext.broadcast(Phrases(items, window)))
-    return out.mapInArrow(_scan(sent), f"row {row_type}, text string, found struct<n_words:long,spans:array<struct<first:long,last:long>>,items:array<string>>")
+    return out.mapInArrow(_scan(sent, docs.columns.index("text")), f"row {row_type}, found struct<n_words:long,spans:array<struct<first:long,last:long>>,items:array<string>>")
 
 
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str:

@@ -55,7 +55,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
 
 def score(docs: DataFrame, model: Network | float) -> DataFrame:
     """row (all columns of `docs`, which has text) and score. Null, empty and wordless texts have the score of the network's bias."""
-    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    # the text is sent once, within its row
+    out, at_text = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), docs.columns.index("text")
     if not isinstance(model, Network):
         return out.select("row", F.lit(float(model)).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -64,7 +65,8 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
         kept("toxicity")
         net = sent.value
         for batch in batches:
-            scores = [net.score([words_of(t.as_py(), "alnum") for t in batch.column(1).slice(at, 128)]) for at in range(0, batch.num_rows, 128)]
+            texts = batch.column(0).field(at_text)
+            scores = [net.score([words_of(t.as_py(), "alnum") for t in texts.slice(at, 128)]) for at in range(0, batch.num_rows, 128)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.empty(0), *scores]))], names=["row", "score"])
 
     return out.mapInArrow(run, f"row {out.schema['row'].dataType.simpleString()}, score double")
