@@ -40,6 +40,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch. Spark's default of 10,000 rows bounds no bytes: of long texts, a batch and its copies on both sides
+#: of a Python worker are hundreds of megabytes.
+BATCH_ROWS = 2_000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, for a scan of its texts in Python: sets the session to batches of BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def input_partitions(df: DataFrame) -> int:
     """Partitions of a scan: grows with the input and follows the cluster's settings."""
     return max(1, df._jdf.rdd().getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

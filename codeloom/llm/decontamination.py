@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import in_batches, words_of
 from .fmindex import FMIndex
 
 WINDOW = 10
@@ -146,7 +146,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // block_bytes + 1
-    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = in_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     row_type = out.schema["row"].dataType.simpleString()
     sent = []
     for k in range(blocks):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_words, kept, materialize, words_of
+from .common import hashed_words, in_batches, kept, materialize, words_of
 from .ctw import DEPTH, Places, Trunk, contexts
 
 #: Contexts and words that are broadcast
@@ -216,7 +216,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, capacity: int = CAPACITY, most:
     trained on; repeated rows count and are scored each. Without training rows every bit has probability 1/2. `capacity` and
     `most` bound what is broadcast and do not change results."""
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
+    own = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     counted = materialize(count(own, depth), "lm-counts")
     known = materialize(logs(counted.filter("kind = 0"), depth), "lm-logs")
     words = counted.filter("kind = 1").select("key", "n")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, materialize
+from .common import in_batches, kept, materialize
 from .components import components
 from .shingles import MinHash, set_key, shingle_set
 
@@ -57,7 +57,7 @@ def signatures(docs: DataFrame, coords: int) -> DataFrame:
                 columns = [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*keys)), pa.array(sig, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "k1", "k2", "sig"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    own = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     return own.mapInArrow(sign, "doc_id long, text_hash long, n long, k1 long, k2 long, sig array<long>")
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_batches, materialize
 from .tokens import default_path, encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -48,7 +48,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = E
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, PIECES)
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

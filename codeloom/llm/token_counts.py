@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .tokens import default_path, encoder
 
 COUNTS = "doc_id long, section long, start long, n_chars long, n_tokens long, n_crossing long"
@@ -69,7 +70,7 @@ def section_token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataF
                 columns = [pa.array(ids_of, pa.int64()), *(pa.array(np.concatenate(x).astype(np.int64)) for x in parts)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "section", "start", "n_chars", "n_tokens", "n_crossing"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, COUNTS)
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, COUNTS)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

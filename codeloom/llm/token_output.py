@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import input_partitions, materialize, shared_path
+from .common import in_batches, input_partitions, materialize, shared_path
 from .tokens import default_path, encoder
 
 SEQ_LEN, BATCH_SEQUENCES, END_ID = 2048, 256, 2
@@ -113,7 +113,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
             writer.close()
             yield pa.RecordBatch.from_pydict({"file_no": pa.array([no], pa.int32()), "path": [to], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens], "n_sequences": [writer.n_sequences]})
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    src = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
     dealt = src.repartitionByRange(input_partitions(src), "doc_id", tie).sortWithinPartitions("doc_id", tie)
     return materialize(dealt.mapInArrow(write, MANIFEST), "token-manifest")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, words_of
+from .common import in_batches, kept, words_of
 from .gru import Network, train
 
 #: Labelled documents of each label that training reads, the bytes of the longest one that it reads, and the score from which a
@@ -56,7 +56,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
 def score(docs: DataFrame, model: Network | float) -> DataFrame:
     """row (all columns of `docs`, which has text) and score. Null, empty and wordless texts have the score of the network's bias."""
     # the text is sent once, within its row
-    out, at_text = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), docs.columns.index("text")
+    out, at_text = in_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), docs.columns.index("text")
     if not isinstance(model, Network):
         return out.select("row", F.lit(float(model)).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
