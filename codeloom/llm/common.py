@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes that end a word, for the two word definitions in use. Bytes over 0x7F always belong to a word,
@@ -19,16 +20,6 @@ WHITE = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = bytes(b for b in range(0x80) if not chr(b).isalnum())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
 

@@ -168,4 +168,4 @@ def near_duplicates(docs: DataFrame, part: int = PART, whole: int = WHOLE, coord
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents`."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")

@@ -99,3 +99,16 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 150), 100)}
+
+
+@pytest.mark.parametrize("name", ["op3_minhash_dedup", "op7_decontamination"])
+def test_queries_against_their_sql(spark, data, name):
+    import duckdb
+
+    from codeloom.llm import queries
+
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, data), duck.sql(queries.oracle_sql()[name])
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
