@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.store import shared_dir
+
 OUT, STATE = "client string, request long, admitted boolean", "tokens double, last double"
 
 
@@ -42,8 +43,7 @@ def limit(requests: DataFrame, rate: float, burst: float) -> DataFrame:
 
 def run_on_files(spark: SparkSession, path: str, schema, rate: float, burst: float) -> DataFrame:
     """All event files of a path (event_id, ts, user_id; a glob for a single file) through the limiter, one trigger after the other, as a table."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
-    to = f"{shared.rstrip('/')}/codeloom/bucket-{uuid.uuid4().hex}"
+    to = f"{shared_dir(spark)}/codeloom/bucket-{uuid.uuid4().hex}"
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
     requests = events.select(F.col("user_id").cast("string").alias("client"), F.col("event_id").cast("long").alias("request"), F.col("ts").cast("timestamp").cast("double").alias("at"))
     stream = limit(requests, rate, burst).writeStream.format("parquet").option("path", f"{to}/out").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start()
