@@ -31,6 +31,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one run, in a folder of their own below the shared one."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, shared_path(spark, name), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As materialize() does."""
+        self.tables += 1
+        path = f"{self.path}/{self.tables:02d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Writes the run's result and deletes all other tables."""
+        out = materialize(df, "result")
+        self.drop()
+        return out
+
+    def drop(self) -> None:
+        """Deletes the folder. Nothing that is still to run may read from it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of one Arrow batch. Spark's default of 10,000 rows bounds no bytes: of long texts, a batch and its copies on both sides
 #: of a Python worker are hundreds of megabytes.
 BATCH_ROWS = 2_000
