@@ -34,8 +34,9 @@ from .token_output import _open
 
 #: Plain bytes from which a frame ends, and from which a bundle does
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 28
-#: Neighbouring frames that one opening of a bundle reads
-FRAMES_A_READ = 16
+#: Neighbouring frames that one opening of a bundle reads, and such runs that one task reads: places are small rows that stand
+#: for much work, so the number of tasks must not follow their bytes
+FRAMES_A_READ, RUNS_A_TASK = 16, 8
 #: Payloads with fewer bytes are always written
 LEAST_REVISIT = 100
 LEVEL = 3
@@ -222,7 +223,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
                         yield _batch([_row(*r) for r in parsed(bundle.frame(frame))], RECORDS)
 
     runs = index.groupBy("bundle", F.floor(F.col("frame") / FRAMES_A_READ).alias("run")).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
-    return runs.select("bundle", "first", "last").mapInArrow(read, RECORDS)
+    tasks = -(-runs.count() // RUNS_A_TASK)
+    return runs.select("bundle", "first", "last").repartition(max(1, tasks), "bundle", "first").mapInArrow(read, RECORDS)
 
 
 def _row(fields: dict[str, str], http: bytes, payload: bytes) -> tuple:
@@ -233,7 +235,7 @@ def _row(fields: dict[str, str], http: bytes, payload: bytes) -> tuple:
     return _number(fields["WARC-Record-ID"]), size, digest, kind, _number(fields.get("WARC-Refers-To")), fields.get("WARC-Target-URI")
 
 
-def fetch(index: DataFrame, wanted: DataFrame) -> DataFrame:
+def fetch(index: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id and payload (binary) of the wanted record identifiers (column record_id): only their frames are read, each once. A
     revisit's payload is that of the response it refers to: its identifier has the same digest."""
     places = index.join(wanted.select("record_id").distinct(), "record_id", "left_semi")
@@ -254,8 +256,9 @@ def fetch(index: DataFrame, wanted: DataFrame) -> DataFrame:
                 payloads.append(next(parsed(plain[r["start"] : r["start"] + r["length"]]))[2])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(payloads, pa.binary())], names=["page_id", "payload"])
 
-    wanted_places = own.unionByName(others)
-    return wanted_places.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "start").mapInArrow(read, "page_id long, payload binary")
+    found = scratch.write(own.unionByName(others), "places")
+    tasks = -(-found.select("bundle", "frame").distinct().count() // (FRAMES_A_READ * RUNS_A_TASK))
+    return found.repartition(max(1, tasks), "bundle", "frame").sortWithinPartitions("bundle", "frame", "start").mapInArrow(read, "page_id long, payload binary")
 
 
 def op13_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

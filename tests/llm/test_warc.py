@@ -60,8 +60,10 @@ def archive(spark):
 
 def test_random_access(spark, archive):
     """Any record is reached by its identifier, a revisit through its response."""
+    scratch = Scratch(spark, "warc-fetch")
     wanted = archive.filter("page_id % 3 = 0")
-    got = sorted((r[0], bytes(r[1])) for r in warc.fetch(archive, wanted).collect())
+    got = sorted((r[0], bytes(r[1])) for r in warc.fetch(archive, wanted, scratch).collect())
+    scratch.drop()
     assert got == sorted((i, (h or "").encode()) for i, _, h in ROWS if i is not None and i % 3 == 0)
 
 
