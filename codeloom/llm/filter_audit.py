@@ -51,7 +51,8 @@ def masks(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     seen = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("text")).withColumn("split", words(F.col("text")))
     own = bits(*text_failures(F.col("text"), F.col("split")))
     rows = scratch.write(seen.select("doc_id", "part", own.alias("own"), F.unhex(F.sha2("text", 256)).alias("digest")), "masks")
-    least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1 and least is not null").select("digest", "least")
+    least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1 and least is not null")
+    least = scratch.write(least.select("digest", "least"), "copies")  # written, so that a join may split a text with many copies
     marked = labels.groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     copy = F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("least")))
     all_bits = F.col("own") + F.when(copy, 1 << FILTERS.index("E")).otherwise(0)
