@@ -7,7 +7,8 @@ read off the cells' sums; documents are never passed through the filters order b
 
 Null texts are empty. Rows of one doc_id and one text are no copies of each other ("smaller" is meant strictly); a row without
 a doc_id is a copy if any numbered row has its text. A null part is named by the empty string, together with an empty one.
-A document is good (toxic) if any row of labels says so; labels of unknown documents count nowhere. An empty table has no part,
+A document is good (toxic) if any row of labels says so; labels of unknown documents count nowhere, and
+a row without a doc_id has none. An empty table has no part,
 so no rows. Columns besides those that are named are not read."""
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def expected(docs, labels):
-    good, toxic = {d for d, q, _ in labels if q == 1}, {d for d, _, t in labels if t == 1}
+    good, toxic = {d for d, q, _ in labels if q == 1} - {None}, {d for d, _, t in labels if t == 1} - {None}
     failed = []
     for doc_id, text, source in docs:
         t = text or ""
