@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 from .complexity import simple
-from .source import FUNCTION, Fact, Source, called, calls_name, measure, name_of, walk
+from .source import FUNCTION, Fact, Source, apart, called, calls_name, measure, name_of, walk
 
 NAME = "architecture"
 #: Fixed values
@@ -153,7 +153,7 @@ def feature_envy(source: Source) -> Iterator[Fact]:
                     break
 
 
-def detect(source: Source) -> Iterator[Fact]:
+def modules(source: Source) -> Iterator[Fact]:
     roots = imports(source.nodes)
     for target in sorted(set(roots)):
         yield Fact(NAME, "edge", target, scope=source.stem)
@@ -167,5 +167,6 @@ def detect(source: Source) -> Iterator[Fact]:
     yield measure(NAME, "all_classes", len(classes))
     yield measure(NAME, "all_methods", sum(len(methods(c)) for c in classes))
     yield measure(NAME, "abstract_methods", sum(bool(_abstract_marks(m)) for c in classes for m in methods(c)))
-    for found in (single_responsibility, open_closed, substitution, segregation, inversion, god_classes, feature_envy):
-        yield from found(source)
+
+
+detect = apart(NAME, modules, single_responsibility, open_closed, substitution, segregation, inversion, god_classes, feature_envy)

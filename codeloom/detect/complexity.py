@@ -6,7 +6,7 @@ import ast
 import math
 from collections.abc import Iterator
 
-from .source import BLOCK, FUNCTION, NESTED, Fact, Source, children, inside, measure, walk
+from .source import BLOCK, FUNCTION, NESTED, Fact, Source, apart, children, identity, inside, measure, walk
 
 NAME = "complexity"
 #: Rule, measure, bound, severity, second bound, severity beyond it, title. A file's title takes its name.
@@ -90,21 +90,29 @@ def nesting(root: ast.AST) -> int:
 def npath(body: list[ast.AST]) -> int:
     """Paths through statements one after the other, from 1 on: a statement with branches adds their paths, `and`/`or` outside
     a branch's header multiplies what has come together so far by its operands."""
-    paths = 1
-    queue = list(reversed(body))
-    while queue:
+    blocks: list[list] = [[1, list(reversed(body)), None]]  # paths so far, what is still to come, the block around it
+    while True:
+        block = blocks[-1]
+        paths, queue, around = block
+        if not queue:
+            blocks.pop()
+            if around is None:
+                return paths
+            around[0] += paths
+            continue
         node = queue.pop()
+        inner: list[list[ast.AST]] = []
         if isinstance(node, ast.If):
-            paths += npath(node.body) + npath(node.orelse)
+            inner = [node.body, node.orelse]
         elif isinstance(node, (ast.For, ast.While)):
-            paths += npath(node.body)
+            inner = [node.body]
         elif isinstance(node, ast.Try):
-            paths += npath(node.body) + sum(npath(h.body) for h in node.handlers) + npath(node.finalbody)
+            inner = [node.body, *(h.body for h in node.handlers), node.finalbody]
         elif isinstance(node, ast.BoolOp):
-            paths *= len(node.values)
+            block[0] *= len(node.values)
         else:
             queue.extend(reversed(children(node)))
-    return paths
+        blocks += [[1, list(reversed(x)), block] for x in inner]
 
 
 def essential(block: int, structured: int) -> int:
@@ -117,11 +125,12 @@ def halstead_counts(tree: ast.AST) -> tuple[int, int, int, int]:
     An operand is a name, an attribute's last part, a literal's value or an expression's text, told apart by function."""
     operators: list[str] = []
     operands: list[tuple] = []
+    known: dict = {}
 
     def take(ops: list, values: list, owner: str | None) -> None:
         operators.extend(type(op).__name__ for op in ops)
         for v in values:
-            key = v.id if isinstance(v, ast.Name) else v.attr if isinstance(v, ast.Attribute) else (type(v.value).__name__, v.value) if isinstance(v, ast.Constant) else ast.dump(v)
+            key = v.id if isinstance(v, ast.Name) else v.attr if isinstance(v, ast.Attribute) else (type(v.value).__name__, v.value) if isinstance(v, ast.Constant) else (ast.AST, identity(v, known))
             operands.append((owner, key))
 
     for node, _, owner in inside(tree, ()):
@@ -145,26 +154,38 @@ def halstead(h1: int, h2: int, n1: int, n2: int) -> dict[str, float]:
     return {"volume": volume, "difficulty": difficulty, "effort": volume * difficulty, "time": volume * difficulty / 18, "bugs": volume / 3000}
 
 
-def measures(source: Source) -> Iterator[Fact]:
+def blocks(source: Source) -> Iterator[Fact]:
     structured = len(source.of(*BLOCK))
     for block in source.of(*FUNCTION, ast.ClassDef):
         cc = cyclomatic(block)
         yield measure(NAME, "cyclomatic", cc, block.name, block.lineno)
         yield measure(NAME, "essential", essential(cc, structured), block.name, block.lineno)
+
+
+def functions(source: Source) -> Iterator[Fact]:
     for f in source.functions:
         yield measure(NAME, "cognitive", cognitive(f), f.name, f.lineno)
         yield measure(NAME, "npath", npath(f.body), f.name, f.lineno)
+
+
+def whole(source: Source) -> Iterator[Fact]:
     yield measure(NAME, "nesting", nesting(source.tree))
+
+
+def counts(source: Source) -> Iterator[Fact]:
     for name, value in halstead(*halstead_counts(source.tree)).items():
         yield measure(NAME, f"halstead_{name}", value)
 
 
+measures = apart(NAME, blocks, functions, whole, counts)
+
+
 def detect(source: Source) -> Iterator[Fact]:
     """Every measure, and an issue for each one beyond its bound."""
     bounds = {b[1]: b for b in BOUNDS}
     for fact in measures(source):
         yield fact
-        if fact.name in bounds and fact.value > bounds[fact.name][2]:
+        if fact.kind == "measure" and fact.name in bounds and fact.value > bounds[fact.name][2]:
             rule, _, _, severity, second, worse, title = bounds[fact.name]
             severity = worse if second is not None and fact.value > second else severity
             yield Fact(NAME, "issue", rule, severity, title.format(fact.scope or source.file_name), fact.line_number)

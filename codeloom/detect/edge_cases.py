@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from itertools import islice
 
-from .source import Fact, Source, calls_name, measure, name_of, number, walk
+from .source import Fact, Source, apart, calls_name, measure, name_of, number, walk
 
 NAME = "edge_cases"
 #: Fixed values
@@ -99,7 +99,8 @@ def empty_collections(source: Source) -> Iterator[Fact]:
         yield _issue("EDGE_EMPTY001", "low", "Collection access without length check", n.lineno)
 
 
-def detect(source: Source) -> Iterator[Fact]:
+def counted(source: Source) -> Iterator[Fact]:
     yield measure(NAME, "functions", len(source.functions))
-    for found in (comparisons, partitions, off_by_one, validation, arithmetic):
-        yield from found(source)
+
+
+detect = apart(NAME, counted, comparisons, partitions, off_by_one, validation, arithmetic)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import architecture, complexity, edge_cases, readability, security, style, test_code
-from .source import Fact, Source, is_test
+from .source import Fact, Source, failure, is_test
 
 FACTS = "file_id string, seq long, analyzer string, kind string, name string, severity string, title string, line_number int, scope string, value double, detail string"
 DETECTORS: dict[str, Callable[[Source], Iterator[Fact]]] = {m.NAME: m.detect for m in (complexity, security, style, architecture, edge_cases, test_code, readability)}
@@ -28,22 +28,25 @@ def parse(file_id: str, path: str | None, code: str) -> Source:
 
 
 def facts_of(file_id: str, path: str | None, code: str | None, detectors: Iterable[tuple[str, Callable]]) -> Iterator[Fact]:
-    """A file that does not parse has one fact, of kind "parse_error"; a detector that fails has one of kind "failure", and the
-    others go on. Null and empty code have no facts."""
+    """A file that does not parse has one fact, of kind "parse_error"; one that is well-formed but too deep for the parser has what
+    the text alone shows besides. A part of a detector that fails has one fact, of kind "failure", and all else goes on. Null
+    and empty code have no facts."""
     if not code:
         return
     try:
         source = parse(file_id, path, code)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         yield Fact("parser", "parse_error", type(e).__name__, title=str(e)[:200], line_number=getattr(e, "lineno", None))
+        if isinstance(e, (RecursionError, MemoryError)) and any(name == security.NAME for name, _ in detectors):
+            yield from security.in_text(Source(file_id, path or file_id, code, ast.Module([], [])))
         return
     for name, detect in detectors:
         if name == test_code.NAME and path is not None and not is_test(path):
             continue
         try:
-            yield from list(detect(source))
+            yield from detect(source)
         except Exception as e:  # as data: one detector must not cost the others
-            yield Fact(name, "failure", type(e).__name__, title=str(e)[:200])
+            yield failure(name, e)
 
 
 def facts(files: DataFrame, *names: str, extra: dict[str, Callable[[Source], Iterator[Fact]]] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 from .architecture import imports
-from .source import Fact, Source, argument_names, called, name_of, number
+from .source import Fact, Source, argument_names, called, identity, name_of, number
 
 NAME = "custom_rules"
 #: Fixed values
@@ -102,12 +102,13 @@ def structural(pattern: str) -> Callable[[ast.AST], dict[str, ast.AST] | None]:
     tree = ast.parse(re.sub(r"\$([A-Z][A-Z0-9_]*)", _META + r"\1", pattern)).body
     want = tree[0].value if len(tree) == 1 and isinstance(tree[0], ast.Expr) else tree[0]
     dots = lambda x: isinstance(x, ast.Constant) and x.value is Ellipsis
+    known: dict = {}  # of the node at hand
 
     def one(p: Any, n: Any, bound: dict[str, ast.AST]) -> dict[str, ast.AST] | None:
         if isinstance(p, ast.Name) and p.id.startswith(_META) and isinstance(n, ast.expr):
             key = p.id.removeprefix(_META)
             if key in bound:
-                return bound if ast.dump(bound[key]) == ast.dump(n) else None
+                return bound if identity(bound[key], known) == identity(n, known) else None
             return bound | {key: n}
         if dots(p) and isinstance(n, ast.expr):
             return bound
@@ -133,7 +134,18 @@ def structural(pattern: str) -> Callable[[ast.AST], dict[str, ast.AST] | None]:
             return None
         return many(p[1:], n[1:], b)
 
-    return lambda node: one(want, node, {})
+    def test(node: ast.AST) -> dict[str, ast.AST] | None:
+        known.clear()
+        return one(want, node, {})
+
+    return test
+
+
+def written(node: ast.AST, code: str) -> str:
+    try:
+        return ast.unparse(node)
+    except RecursionError:
+        return ast.get_source_segment(code, node) or ""
 
 
 def _tests(rule: Rule) -> Callable[[ast.AST], dict[str, ast.AST] | None]:
@@ -183,7 +195,7 @@ def by_tree(rule: Rule, source: Source) -> Iterator[Fact]:
         if (bound := test(node)) is not None:
             text = rule.message or rule.description
             for name, value in bound.items():
-                text = text.replace(f"${name}", ast.unparse(value))
+                text = text.replace(f"${name}", written(value, source.code))
             yield _found(rule, getattr(node, "lineno", 0), detail=text)
 
 

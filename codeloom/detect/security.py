@@ -6,7 +6,7 @@ import ast
 import re
 from collections.abc import Iterator
 
-from .source import Fact, Source, children, dotted, walk
+from .source import Fact, Source, apart, attribute_tail, children, dotted, walk
 
 NAME = "security"
 #: Fixed values. Secrets, searched without regard to case in the whole text
@@ -52,11 +52,6 @@ SANITIZERS = ("escape", "html.escape", "quote", "quote_plus", "validate", "sanit
 #: Fixed values. Category of each rule's prefix in the two catalogues
 OWASP = {"TAINT_": "A04_Injection", "SECRET_": "A05_Cryptographic_Failures", "CRYPTO_": "A05_Cryptographic_Failures", "CWE-": "A04_Injection", "OWASP_A01": "A01_Broken_Access_Control", "OWASP_A02": "A02_Security_Misconfiguration"}
 CWE = {"TAINT_SQL": "CWE-89", "TAINT_COMMAND": "CWE-78", "SECRET_": "CWE-798", "CRYPTO_": "CWE-327", "CWE-89": "CWE-89", "CWE-78": "CWE-78", "CWE-94": "CWE-94"}
-CWE_NAMES = {
-    "CWE-89": "SQL Injection", "CWE-79": "XSS", "CWE-78": "OS Command Injection", "CWE-77": "Command Injection", "CWE-20": "Improper Input Validation",
-    "CWE-119": "Buffer Overflow", "CWE-125": "Out-of-bounds Read", "CWE-787": "Out-of-bounds Write", "CWE-22": "Path Traversal", "CWE-352": "CSRF",
-    "CWE-434": "Unrestricted Upload", "CWE-94": "Code Injection", "CWE-798": "Hardcoded Credentials", "CWE-327": "Broken Crypto", "CWE-330": "Insufficient Randomness",
-}
 
 _SECRETS = {kind: re.compile(p, re.I) for kind, p in SECRETS.items()}
 _INJECTIONS = tuple((rule, re.compile(p, re.I), title) for rule, p, title in INJECTIONS)
@@ -111,19 +106,26 @@ def taint(source: Source) -> Iterator[Fact]:
     ends = lambda name, known: any(name == k or name.endswith("." + k) for k in known)
 
     def dirty(node: ast.AST, names: set[str]) -> bool:
-        if isinstance(node, ast.Name):
-            return node.id in names
-        if isinstance(node, ast.Call):
-            name = dotted(node)
-            if ends(name, SANITIZERS):
-                return False
-            passed = [*node.args, *(k.value for k in node.keywords), *([node.func.value] if isinstance(node.func, ast.Attribute) else [])]
-            return ends(name, SOURCES) or any(dirty(a, names) for a in passed)
-        if isinstance(node, ast.Attribute):
-            return ends(ast.unparse(node), SOURCES) or dirty(node.value, names)
-        if isinstance(node, (ast.Lambda, *ast_scopes)):
-            return False
-        return any(dirty(child, names) for child in children(node) if isinstance(child, (ast.expr, ast.FormattedValue)))
+        stack = [node]
+        while stack:
+            at = stack.pop()
+            if isinstance(at, ast.Name):
+                if at.id in names:
+                    return True
+            elif isinstance(at, ast.Call):
+                name = dotted(at)
+                if ends(name, SANITIZERS):
+                    continue
+                if ends(name, SOURCES):
+                    return True
+                stack += [*at.args, *(k.value for k in at.keywords), *([at.func.value] if isinstance(at.func, ast.Attribute) else [])]
+            elif isinstance(at, ast.Attribute):
+                if ends(attribute_tail(at), SOURCES):
+                    return True
+                stack.append(at.value)
+            elif not isinstance(at, (ast.Lambda, *ast_scopes)):
+                stack += [c for c in children(at) if isinstance(c, ast.expr)]
+        return False
 
     for scope in (source.tree, *source.functions):
         names: set[str] = set()
@@ -162,6 +164,6 @@ def _own_nodes(scope: ast.AST) -> Iterator[ast.AST]:
         stack.extend(children(node))
 
 
-def detect(source: Source) -> Iterator[Fact]:
-    for found in (taint, secrets, cryptography, injections, misconfiguration):
-        yield from found(source)
+detect = apart(NAME, taint, secrets, cryptography, injections, misconfiguration)
+#: What needs no tree
+in_text = apart(NAME, secrets, injections, misconfiguration)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -110,6 +110,57 @@ def inside(root: ast.AST, kinds: tuple[type, ...]) -> Iterator[tuple[ast.AST, in
             stack.append((child, depth, child.name if isinstance(child, FUNCTION) else owner))
 
 
+def failure(analyzer: str, error: BaseException, part: str | None = None) -> Fact:
+    return Fact(analyzer, "failure", type(error).__name__, title=str(error)[:200], scope=part)
+
+
+def apart(analyzer: str, *parts: Callable[[Source], Iterator[Fact]]) -> Callable[[Source], Iterator[Fact]]:
+    """A detector of several parts. One that fails is a fact of kind "failure" with the part's name as scope; what it has found
+    before and what the others find stays."""
+
+    def detect(source: Source) -> Iterator[Fact]:
+        for part in parts:
+            try:
+                yield from part(source)
+            except Exception as e:  # as data: one part must not cost the others
+                yield failure(analyzer, e, part.__name__)
+
+    return detect
+
+
+def identity(node: ast.AST, known: dict[ast.AST | tuple, int]) -> int:
+    """A number that two expressions share if and only if they are written alike. `known` has those of a file; no recursion,
+    and no node is looked at twice."""
+    stack = [node]
+    while stack:
+        at = stack[-1]
+        waiting = [] if at in known else [c for c in children(at) if c not in known]
+        if waiting:
+            stack += waiting
+            continue
+        stack.pop()
+        if at not in known:
+            parts: list = [type(at)]
+            for name in at._fields:
+                value = getattr(at, name, None)
+                for x in value if isinstance(value, list) else (value,):
+                    parts.append((name, known[x]) if isinstance(x, ast.AST) else (name, type(x), x))
+            known[at] = known.setdefault(tuple(parts), len(known))
+    return known[node]
+
+
+def attribute_tail(node: ast.Attribute, most: int = 3) -> str:
+    """The last parts of a chain of attributes, with the name it starts from if it is that short."""
+    parts: list[str] = []
+    at: ast.AST = node
+    while isinstance(at, ast.Attribute) and len(parts) < most:
+        parts.append(at.attr)
+        at = at.value
+    if isinstance(at, ast.Name):
+        parts.append(at.id)
+    return ".".join(reversed(parts))
+
+
 def dotted(call: ast.Call) -> str:
     """a.b.c of a call a.b.c(...); of x().b.c(...) only b.c; empty if what is called has no name."""
     parts, at = [], call.func

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from itertools import combinations
 
-from .source import Fact, Source, measure, percent
+from .source import Fact, Source, apart, measure, percent
 
 NAME = "style"
 SNAKE, PASCAL = re.compile(r"[a-z_][a-z0-9_]*"), re.compile(r"[A-Z][a-zA-Z0-9]*")
@@ -111,6 +111,4 @@ def consistency(source: Source) -> Iterator[Fact]:
         yield _issue("PEP8_TRAILING_WHITESPACE", "info", f"{trailing} lines with trailing whitespace", 1)
 
 
-def detect(source: Source) -> Iterator[Fact]:
-    for found in (naming, docstrings, type_hints, consistency):
-        yield from found(source)
+detect = apart(NAME, naming, docstrings, type_hints, consistency)

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeloom.detect import complexity, edge_cases, engine, readability, rules, security, style, test_code
+from codeloom.detect import source as source_module
 from codeloom.operators import graph, project, responses, results, structure, text_metrics
 from codeloom.sources import pyast
 
@@ -239,3 +240,78 @@ def test_responses(spark):
     got = df.select(responses.recommendations(F.col("t")), responses.issues(F.col("t")), responses.valid(F.col("t")), responses.valid(F.col("t"), ("score", "none"), True), responses.summary(F.col("t"))).collect()
     assert got[0][0] == ["a", "b", "c"] and got[0][1] == ['{"k":1}', '{"description":"d"}'] and got[0][2:4] == (True, False) and got[0][4] == "score 80.0; 3 recommendations; 2 issues"
     assert [list(r[:4]) for r in got[1:]] == [[[], [], False, False]] * 3
+
+
+DEEP = {
+    "sum": "x = " + " + ".join(["'a'"] * 5_000),
+    "elif": "def g(k):\n    if k == 0:\n        pass\n" + "".join(f"    elif k == {i}:\n        pass\n" for i in range(2_000)),
+    "chain": "def g(k):\n    return k" + ".b" * 4_000 + "()\n",
+    "signs": "y = " + "-" * 4_000 + "x",
+    "call": "cursor.execute(" + " + ".join(["'a'"] * 5_000) + " + name)",
+}
+
+
+@pytest.mark.parametrize("kind", DEEP)
+def test_deep_code_keeps_all_findings(kind):
+    """Nothing fails on deep trees, and what stands beside them is found."""
+    code = 'password = "hunter22!"\ndef f(q):\n    d = input()\n    db.execute(d)\n' + DEEP[kind] + "\n"
+    got = list(engine.facts_of("a", "src/a.py", code, list(engine.DETECTORS.items())))
+    assert not [f for f in got if f.kind in ("failure", "parse_error")]
+    names = {f.name for f in got}
+    assert {"SECRET_PASSWORD", "TAINT_SQL", "halstead_volume", "npath"} <= names
+
+
+def test_code_too_deep_for_the_parser_keeps_what_the_text_shows():
+    code = 'password = "hunter22!"\nx = ' + " + ".join(["'a'"] * 40_000)
+    got = list(engine.facts_of("a", "src/a.py", code, list(engine.DETECTORS.items())))
+    assert [(f.kind, f.name) for f in got] == [("parse_error", "RecursionError"), ("issue", "SECRET_PASSWORD")]
+
+
+def test_a_failing_part_costs_no_other():
+    def half(source):
+        yield engine.Fact("x", "measure", "before", value=1.0)
+        raise KeyError("k")
+
+    def whole(source):
+        yield engine.Fact("x", "measure", "after", value=1.0)
+
+    got = [(f.kind, f.name, f.scope) for f in engine.facts_of("a", None, "x = 1", [("x", source_module.apart("x", half, whole)), ("y", half)])]
+    assert got == [("measure", "before", None), ("failure", "KeyError", "half"), ("measure", "after", None), ("measure", "before", None), ("failure", "KeyError", None)]
+
+
+def plain_npath(body):
+    paths, queue = 1, list(reversed(body))
+    while queue:
+        node = queue.pop()
+        match node:
+            case ast.If():
+                paths += plain_npath(node.body) + plain_npath(node.orelse)
+            case ast.For() | ast.While():
+                paths += plain_npath(node.body)
+            case ast.Try():
+                paths += plain_npath(node.body) + sum(plain_npath(h.body) for h in node.handlers) + plain_npath(node.finalbody)
+            case ast.BoolOp():
+                paths *= len(node.values)
+            case _:
+                queue.extend(reversed(list(ast.iter_child_nodes(node))))
+    return paths
+
+
+@given(st.recursive(st.sampled_from(["a and b", "pass", "x = a or b or c"]), lambda inner: st.tuples(st.sampled_from(["if a:", "while b and c:", "try:", "for i in x:"]), inner, inner, inner), max_leaves=25))
+@settings(deadline=None, max_examples=60)
+def test_npath_against_recursion(tree):
+    def text(t, pad):
+        if isinstance(t, str):
+            return f"{pad}{t}\n"
+        head, *rest = t
+        first, second, third = (text(x, pad + " ") for x in rest)
+        tail = f"{pad}except E:\n{second}{pad}finally:\n{third}" if head == "try:" else f"{pad}else:\n{second}{third}" if head == "if a:" else f"{second}{third}"
+        return f"{pad}{head}\n{first}{tail}"
+
+    body = ast.parse(text(tree, "")).body
+    assert complexity.npath(body) == plain_npath(body)
+    exprs = [n for n in ast.walk(ast.Module(body, [])) if isinstance(n, ast.expr)]
+    known = {}
+    ids = [source_module.identity(n, known) for n in exprs]
+    dumps = [ast.dump(n) for n in exprs]
+    assert all((a == b) == (x == y) for a, x in zip(ids, dumps) for b, y in zip(ids, dumps))
