@@ -292,3 +292,12 @@ def ranked_smells(found: DataFrame) -> DataFrame:
     """rule_id, n of test smells, the most frequent first."""
     own = found.filter((F.col("kind") == "issue") & F.col("name").startswith("TEST_SMELL_"))
     return own.groupBy(F.col("name").alias("rule_id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule_id")
+
+
+def health(files: DataFrame, found: DataFrame) -> DataFrame:
+    """file_id, state (parsed, syntax, too deep, empty), issues, failures (parts of detectors that failed) of every file."""
+    error = F.max(F.when(F.col("kind") == "parse_error", F.when(F.col("name").isin("RecursionError", "MemoryError"), "too deep").otherwise("syntax")))
+    counts = found.groupBy("file_id").agg(error.alias("error"), F.count_if(F.col("kind") == "issue").alias("issues"), F.count_if(F.col("kind") == "failure").alias("failures"))
+    code = files.select("file_id", (F.coalesce(F.length("code"), F.lit(0)) == 0).alias("empty"))
+    state = F.coalesce("error", F.when(F.col("empty"), "empty").otherwise("parsed"))
+    return code.join(counts, "file_id", "left").select("file_id", state.alias("state"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("issues", "failures")))

@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL."""
 
-from . import detectors, quality, queries, reporting
+from . import across, detectors, quality, queries, reporting
 
 QUERIES, SQL = queries.QUERIES, queries.SQL
 

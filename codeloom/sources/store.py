@@ -34,3 +34,25 @@ def forget(df: DataFrame) -> None:
         spark = df.sparkSession
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+class Tables:
+    """stored() for the steps of one operator, which deletes them once its result is stored."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(stored(df, name))
+        return self.made[-1]
+
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        self.drop()
+        return out
+
+    def drop(self, keep: DataFrame | None = None) -> None:
+        for df in self.made:
+            if df is not keep:
+                forget(df)
+        self.made = []
