@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import architecture, complexity, edge_cases, flows, readability, security, style, symbols, test_code
+from . import architecture, complexity, edge_cases, flows, readability, security, style, symbols, test_code, values
 from .source import Fact, Source, failure, is_test
 
 FACTS = "file_id string, seq long, analyzer string, kind string, name string, severity string, title string, line_number int, scope string, value double, detail string"
 DETECTORS: dict[str, Callable[[Source], Iterator[Fact]]] = {m.NAME: m.detect for m in (complexity, security, style, architecture, edge_cases, test_code, readability)}
-#: Detectors whose facts only operators over many files make sense of; they run if they are named
-OVER_FILES: dict[str, Callable[[Source], Iterator[Fact]]] = {m.NAME: m.detect for m in (symbols, flows)}
+#: Detectors that run if they are named: of names and flows, of which operators over many files make sense, and of paths
+ON_DEMAND: dict[str, Callable[[Source], Iterator[Fact]]] = {m.NAME: m.detect for m in (symbols, flows, values)}
 _TYPES = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int32(), pa.string(), pa.float64(), pa.string()]
 _NAMES = [c.split()[0] for c in FACTS.split(", ")]
 #: Facts that leave a task together
@@ -54,7 +54,7 @@ def facts_of(file_id: str, path: str | None, code: str | None, detectors: Iterab
 def facts(files: DataFrame, *names: str, extra: dict[str, Callable[[Source], Iterator[Fact]]] | None = None) -> DataFrame:
     """FACTS of `files` (file_id, code, and path where there is one) by the named detectors, all of DETECTORS if none is named,
     and by `extra` ones. seq numbers a file's facts from 0. Test quality looks at test files alone where there is a path."""
-    chosen = [(n, d) for n, d in DETECTORS.items() if n in names or not (names or extra)] + [(n, d) for n, d in OVER_FILES.items() if n in names] + list((extra or {}).items())
+    chosen = [(n, d) for n, d in DETECTORS.items() if n in names or not (names or extra)] + [(n, d) for n, d in ON_DEMAND.items() if n in names] + list((extra or {}).items())
     path = F.col("path") if "path" in files.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
