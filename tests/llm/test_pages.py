@@ -102,6 +102,54 @@ def test_blocks():
     assert text(page) == ["A & B", "One two three é", "Four five", "item", "item 2", "q", "c1 c2", "tail"]
 
 
+KEPT = {
+    # names that only hold a mark's word remove nothing, nor does a mark on what holds the article
+    '<div id="page" class="site has-sidebar"><article><p>Main text.</p></article></div>': ["Main text."],
+    '<div class="no-sidebar with-comments search-results social-policy"><article><p>Main text.</p></article></div>': ["Main text."],
+    '<div class="search"><div><article><p>Main text.</p></article></div></div>': ["Main text."],
+    '<form id="all"><article><p>Main text.</p></article></form>': ["Main text."],
+    '<div class="sidebar"><article>Teaser</article></div><article><p>Main text.</p></article>': ["Main text."],
+    '<article><section class="related-work"><p>Others.</p></section><section class="search-algorithms">Sorts.</section></article>': ["Others.", "Sorts."],
+    '<article><p>One <span class="alert">important</span> word <span class="ad">buy</span>.</p></article>': ["One important word ."],
+    # end tags that may be left out
+    '<article><ul><li class="share">Share<li>item</ul><p>Main text.</p></article>': ["item", "Main text."],
+    '<article><ul><li class="share"><ul><li>a<li>b</ul>c<li>item</ul><p>Main text.</p></article>': ["item", "Main text."],
+    '<article><dl><dt class="menu">M<dd>def<dt>T</dl><p>Main text.</p></article>': ["def", "T", "Main text."],
+    '<article><table><tr class="ad"><td>x<tr><td>y<td class="ad">z<td>w</table>Main text.</article>': ["y w", "Main text."],
+    '<article><p class="ad">Buy<p>Main text.</article>': ["Main text."],
+    # what is not closed ends with what is around it
+    '<article><p>First.</p><div class="ad">Buy <b>now</article><p>out</p><article><p>Second.</p></article>': ["First.", "Second."],
+    '<article><p>First <span class="share">tell</p><p>Second.</p></article>': ["First", "Second."],
+    '<article><div class="ad">Buy<div>more</div>and</div><p>Main text.</p></article>': ["Main text."],
+    '<article><p>First.</p></div></section><p>Second.</p></article>': ["First.", "Second."],
+    '<div><article><p>First.</div><p>Second.</p></article></div>': ["First.", "Second."],
+    # whole names, alone and joined
+    '<article><div class="cookie-notice">c</div><div class="x ad_300x250">a</div><div id="comments-section">b</div><div class="share-buttons">s</div><p>Main text.</article>': ["Main text."],
+    '<article>One<textarea>typed <p></textarea> two</article>': ["One two"],
+    '<article>One<div class="ad"><textarea></div></textarea>x</div> two</article>': ["One", "two"],
+}
+
+
+@pytest.mark.parametrize("page", KEPT)
+def test_articles_are_not_lost(page):
+    assert text(page) == KEPT[page]
+
+
+def test_main_part_in_a_marked_element():
+    assert blocks_of('<div class="overlay"><p>x</p><div role="main"><p>Main text.</p></div></div>') == [("Main text.", 1)]
+    assert blocks_of('<main><div class="ad"><article>buy</article></div><p>Main text.</p></main>') == [("Main text.", 1)]
+
+
+def test_many_open_elements():
+    """Neither deep nor unclosed nor unopened elements cost more than their number."""
+    import time
+
+    began = time.time()
+    for page in ("<article>" + "<div>" * 60_000 + "x", "<article>" + "<b>" * 60_000 + "</i>" * 60_000 + "x", "<article>x" + "</p>" * 100_000, "<article>x<div class=ad>" + "<p>" * 60_000 + "</b>" * 60_000, "<section><article>" + "<b>" * 60_000 + "</section>" * 60_000 + "x"):
+        assert text(page) == ["x"]
+    assert time.time() - began < 20
+
+
 @pytest.mark.parametrize("page", ["<article><p>one<p>two <a href='/x", "<article>one<br/><p>two<", "<ARTICLE><P>one</P>two</ARTICLE>", "<article>one<p>two<script>x</article>"])
 def test_broken_pages(page):
     got = text(page)
