@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..detect import engine, rules, security
 from ..operators import graph, project
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import mosaic, pieces
 from .mosaic import found_sql, line_total, total
 from .queries import QUERIES, SQL, query
@@ -118,15 +118,17 @@ def architecture_modules(spark, d):
     return engine.file_measures(facts(spark, d, A, "architecture"), "lcom", "cbo", "rfc", "wmc").withColumn("lcom", F.round("lcom", 9))
 
 
-#: Modules a, b, c ... that import one another: a file is one of 26 modules, and imports two others
-IMPORTS = "(SELECT DISTINCT chr(CAST(97 + p_partkey % 26 AS INTEGER)) AS src, unnest([chr(CAST(97 + p_partkey * 7 % 26 AS INTEGER)), chr(CAST(97 + (p_partkey // 26) % 26 AS INTEGER))]) AS dst FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 26 < 9)"
+#: A file is one of 90 modules. It imports the one of a third of its number, and, of each ten of the first fifty, the next one of
+#: them; above, the one of half of its number. So the first fifty are five rings, and no other module is imported by those that it imports.
+MODULE = "p_partkey % 90"
+IMPORTED = (f"({MODULE}) // 3", f"CASE WHEN {MODULE} < 50 THEN ({MODULE}) // 10 * 10 + ({MODULE} + 1) % 10 ELSE ({MODULE}) // 2 END")
+IMPORTS = f"(SELECT DISTINCT 'm' || ({MODULE}) AS src, unnest(['m' || ({IMPORTED[0]}), 'm' || ({IMPORTED[1]})]) AS dst FROM part)"
 
 
 def import_facts(spark, d):
-    p = table(spark, d, "part").filter("p_partkey % 3 = 0 OR p_partkey % 26 < 9")
-    letter = lambda e: F.chr(F.expr(f"97 + {e}"))
-    code = F.concat(F.lit("import "), letter("p_partkey * 7 % 26"), F.lit(".inner\nfrom "), letter("(p_partkey div 26) % 26"), F.lit(" import x\nfrom . import y\n"))
-    files = p.select(F.col("p_partkey").cast("string").alias("file_id"), F.concat(F.lit("src/"), letter("p_partkey % 26"), F.lit(".py")).alias("path"), code.alias("code"))
+    name = lambda e: F.concat(F.lit("m"), F.expr(e.replace("//", "div")).cast("string"))
+    code = F.concat(F.lit("import "), name(IMPORTED[0]), F.lit(".inner\nfrom "), name(IMPORTED[1]), F.lit(" import x\nfrom . import y\n"))
+    files = spread(table(spark, d, "part")).select(F.col("p_partkey").cast("string").alias("file_id"), F.concat(F.lit("src/"), name(MODULE), F.lit(".py")).alias("path"), code.alias("code"))
     return engine.facts(files, "architecture")
 
 
