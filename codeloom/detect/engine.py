@@ -16,7 +16,7 @@ from .source import Fact, Source, failure, is_test
 FACTS = "file_id string, seq long, analyzer string, kind string, name string, severity string, title string, line_number int, scope string, value double, detail string"
 DETECTORS: dict[str, Callable[[Source], Iterator[Fact]]] = {m.NAME: m.detect for m in (complexity, security, style, architecture, edge_cases, test_code, readability)}
 #: Detectors that run if they are named: of names and flows, of which operators over many files make sense, and of paths
-ON_DEMAND: dict[str, Callable[[Source], Iterator[Fact]]] = {m.NAME: m.detect for m in (symbols, flows, values)}
+ON_DEMAND: dict[str, Callable[[Source], Iterator[Fact]]] = {m.NAME: m.detect for m in (symbols, flows, values)} | {"test_shapes": test_code.shapes}
 _TYPES = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int32(), pa.string(), pa.float64(), pa.string()]
 _NAMES = [c.split()[0] for c in FACTS.split(", ")]
 #: Facts that leave a task together

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import ast
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
-from .source import FUNCTION, Fact, Source, measure, walk
+from .source import FUNCTION, Fact, Source, children, measure, walk
 
 NAME = "test_quality"
 #: Fixed values. Assertions by what they say; all but the weak ones are strong
@@ -80,3 +81,22 @@ def detect(source: Source) -> Iterator[Fact]:
     yield measure(NAME, "duplication", mean)
     if mean > DUPLICATED:
         yield _issue("TEST_SMELL_007", "medium", f"Test Code Duplication in {source.file_name}", None)
+
+
+def edges_of(function: ast.AST) -> list[str]:
+    """A tree's shape: every kind of node below every other kind, numbered where it stands there several times."""
+    seen: Counter = Counter()
+    out = []
+    for node in walk(function):
+        for child in children(node):
+            edge = f"{type(node).__name__}>{type(child).__name__}"
+            seen[edge] += 1
+            out.append(f"{edge}#{seen[edge]}")
+    return out
+
+
+def shapes(source: Source) -> Iterator[Fact]:
+    """The shape of every test, as a fact of kind "shape": its edges, joined by spaces."""
+    for f in source.functions:
+        if f.name.startswith("test_"):
+            yield Fact(NAME, "shape", f.name, line_number=f.lineno, detail=" ".join(edges_of(f)))

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..detect import engine
-from ..operators import project, symbols, taint
+from ..operators import many_rules, project, similar, symbols, taint
 from ..sources.fact_store import FactStore
 from ..sources.store import shared_dir
-from ..sources.tables import spread, table
+from ..sources.tables import documents_as_files, spread, table
 from .queries import query
 
 
@@ -171,3 +171,49 @@ def analysis_health(spark, d):
     files = _files(spark, d, code, "odd")
     each = project.health(files, engine.facts(files, "security", "complexity"))
     return each.groupBy("state").agg(F.count("*").alias("files"), F.count_if(F.col("issues") > 0).alias("secrets"), F.sum("failures").alias("failures"))
+
+
+# --- pairs over files ---------------------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT DISTINCT event_type || '_' || CAST(hour(ts) AS VARCHAR) || '_' || CAST(user_id % 10 AS VARCHAR) AS name FROM events)
+ SELECT x.name AS a, y.name AS b, CAST(levenshtein(x.name, y.name) AS INTEGER) AS distance FROM w x JOIN w y ON x.name < y.name WHERE levenshtein(x.name, y.name) <= least(2, least(length(x.name), length(y.name)) // 3)""")
+def names_similar_in_project(spark, d):
+    name = F.concat_ws("_", "event_type", F.hour("ts").cast("string"), (F.col("user_id") % 10).cast("string"))
+    return similar.similar_names(table(spark, d, "events").select(name.alias("name")))
+
+
+#: A test of a file has so many of each of these statements
+STATEMENTS = ((" assert x\n", "p % 7"), (" work()\n", "p % 5 + 1"), (" y = 1\n", "p % 3"))
+#: What one of each adds to the shape
+EDGES_OF = ({"FunctionDef>Assert": 1, "Assert>Name": 1, "Name>Load": 1}, {"FunctionDef>Expr": 1, "Expr>Call": 1, "Call>Name": 1, "Name>Load": 1}, {"FunctionDef>Assign": 1, "Assign>Name": 1, "Assign>Constant": 1, "Name>Store": 1})
+_COUNTS = {edge: " + ".join(["0", *(f"{c}.{n}" for n, of in zip("xyz", EDGES_OF) if edge in of for c in ("{t}",))]) for of in EDGES_OF for edge in of}
+_BOTH = {how: " + ".join(["1", *(f"{how}({c.format(t='a')}, {c.format(t='b')})" for c in _COUNTS.values())]) for how in ("least", "greatest")}
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS p, p_partkey % 7 AS x, p_partkey % 5 + 1 AS y, p_partkey % 3 AS z FROM part), c AS (SELECT x, y, z, min(CAST(p AS VARCHAR)) AS file_id, count(*) AS n FROM t GROUP BY 1, 2, 3),
+ pairs AS (SELECT a.file_id AS f, b.file_id AS g, a.n AS n, b.n AS m, {_BOTH['least']} AS shared, {_BOTH['greatest']} AS every FROM c a JOIN c b ON a.file_id < b.file_id)
+ SELECT f AS file_id, g AS other_file, n AS tests, m AS other_tests, CAST(shared AS INTEGER) AS shared, CAST(every AS INTEGER) AS "all" FROM pairs WHERE 100 * shared >= 80 * every""")
+def tests_duplicated_across_files(spark, d):
+    """Pairs of classes of tests, each by its least file and its size."""
+    body = [F.repeat(F.lit(text), F.expr(n).cast("int")) for text, n in STATEMENTS]
+    found = engine.facts(_files(spark, d, F.concat(F.lit("def test_it():\n"), *body), "tests"), "test_shapes")
+    members, pairs = similar.duplicated_tests(similar.shapes(found))
+    each = members.groupBy("class").agg(F.min("file_id").alias("file_id"), F.count("*").alias("tests"))
+    both = pairs.join(each, "class").join(each.select(F.col("class").alias("other"), F.col("file_id").alias("other_file"), F.col("tests").alias("other_tests")), "other")
+    swapped = lambda a, b: F.when(F.col("file_id") < F.col("other_file"), F.col(a)).otherwise(F.col(b))
+    return both.select(F.least("file_id", "other_file").alias("file_id"), F.greatest("file_id", "other_file").alias("other_file"), swapped("tests", "other_tests").alias("tests"), swapped("other_tests", "tests").alias("other_tests"), "shared", "all")
+
+
+#: Words that begin with two letters and hold -in-, and lines that begin with a capital
+LETTERS = "aehinorst"
+MANY = [{"id": f"{a}{b}", "pattern": rf"\b{a}{b}[a-z]*in"} for a in LETTERS for b in LETTERS] + [{"id": "capital", "pattern": "^[A-Z]", "excludes": ["the"]}]
+
+
+@query("""WITH rules AS (SELECT a || b AS rule_id, '\\b' || a || b || '[a-z]*in' AS pattern FROM (SELECT unnest(string_split('aehinorst', '')) AS a), (SELECT unnest(string_split('aehinorst', '')) AS b)),
+ lines AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+ hits AS (SELECT rule_id, file_id FROM rules JOIN lines ON regexp_matches(line, pattern) UNION ALL SELECT 'capital', file_id FROM lines WHERE regexp_matches(line, '^[A-Z]') AND NOT contains(line, 'the'))
+ SELECT rule_id, count(*) AS hits, count(DISTINCT file_id) AS files FROM hits GROUP BY 1""")
+def rules_many(spark, d):
+    found = many_rules.many_hits(documents_as_files(spark, d), MANY)
+    return found.groupBy("rule_id").agg(F.count("*").alias("hits"), F.count_distinct("file_id").alias("files"))
