@@ -7,6 +7,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from pathlib import Path
 from typing import Any
 
 from .architecture import imports
@@ -70,6 +71,11 @@ def load_rules(path: str) -> list[Rule]:
     return [r for r in map(Rule.load, found.get("rules") or []) if r.enabled]
 
 
+def default_rules() -> list[Rule]:
+    """The rules that come with the library."""
+    return load_rules(str(Path(__file__).with_name("default_rules.yaml")))
+
+
 def loose(pattern: str) -> Callable[[ast.AST], bool]:
     """Whether a node's name or text agrees with a pattern's text in lower case: a called name or method that the pattern's text
     holds (before the parenthesis exactly, if the pattern has a $); an assignment of such a call; a literal that holds the

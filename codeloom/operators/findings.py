@@ -47,3 +47,14 @@ def severity_share(issues: DataFrame) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy())  # five rows
     pct = F.when(total > 0, F.col("n") * 100.0 / total).otherwise(0.0)
     return counts.select("severity", "n", pct.alias("pct"), F.floor(pct / 2.5).cast("int").alias("bar"))
+
+
+def with_snippets(issues: DataFrame, files: DataFrame, around: int = 0) -> DataFrame:
+    """issues (file_id, line_number, and more) with `snippet`: the line, with so many before and after it, without the white space
+    at both ends; empty where there is no such line. Only the lines shown leave a file's row."""
+    wanted = issues.filter("line_number > 0").select("file_id", "line_number").distinct()
+    n, lines = F.col("line_number"), F.split("code", "\n", -1)
+    first = F.greatest(n - around, F.lit(1))
+    shown = F.array_join(F.slice(lines, first, n + around - first + 1), "\n")
+    cut = files.join(wanted, "file_id").select("file_id", "line_number", F.when(n <= F.size(lines), F.regexp_replace(shown, r"^\s+|\s+$", "")).alias("snippet"))
+    return issues.join(cut, ["file_id", "line_number"], "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))

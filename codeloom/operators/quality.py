@@ -86,9 +86,17 @@ def taint_flows(nodes: DataFrame, sources: tuple[str, ...], sinks: tuple[str, ..
     return reached.join(tainted, ["file_id", "name"]).filter("node_id > since").select("file_id", "name", "sink", F.col("lineno").cast("long").alias("line_number"))
 
 
+def _is_test(path: Column) -> Column:
+    name = F.element_at(F.split(path, "/"), -1)
+    return name.startswith("test_") | name.endswith("_test.py") | path.contains("tests/") | path.contains("/test/")
+
+
 def no_tests(files: DataFrame) -> DataFrame:
     """One row: whether none of the files (path) is a test file, and the severity of that, else null."""
-    path = F.col("path")
-    name = F.element_at(F.split(path, "/"), -1)
-    test = name.startswith("test_") | name.endswith("_test.py") | path.contains("tests/") | path.contains("/test/")
-    return files.agg((F.count_if(test) == 0).alias("none")).select("none", F.when(F.col("none"), "critical").alias("severity"))
+    return files.agg((F.count_if(_is_test(F.col("path"))) == 0).alias("none")).select("none", F.when(F.col("none"), "critical").alias("severity"))
+
+
+def projects_without_tests(files: DataFrame) -> DataFrame:
+    """project, severity of those none of whose files (project, path) is a test file."""
+    counts = files.groupBy("project").agg(F.count_if(_is_test(F.col("path"))).alias("n"))
+    return counts.filter("n = 0").select("project", F.lit("critical").alias("severity"))

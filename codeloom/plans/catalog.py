@@ -1,7 +1,7 @@
 """All queries of the engine and their SQL."""
 
-from . import across, detectors, paths, quality, queries, reporting
+from . import across, detectors, insights, paths, quality, queries, reporting
 
 QUERIES, SQL = queries.QUERIES, queries.SQL
 
-__all__ = ["QUERIES", "SQL", "across", "detectors", "paths", "quality", "reporting"]
+__all__ = ["QUERIES", "SQL", "across", "detectors", "insights", "paths", "quality", "reporting"]

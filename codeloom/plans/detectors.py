@@ -225,12 +225,14 @@ def test_smell_ranking(spark, d):
     return project.ranked_smells(facts(spark, d, T, "test_quality", TESTS_AT).filter("name <> 'TEST_SMELL_007'"))
 
 
-@query("""SELECT n_files = 0 AS none, CASE WHEN n_files = 0 THEN 'critical' END AS severity FROM (SELECT count(*) FILTER (p_size > 1000) AS n_files FROM part)""")
+@query("""SELECT p_brand AS project, 'critical' AS severity FROM part GROUP BY 1 HAVING count(*) FILTER (p_partkey % 40 = 7 OR p_partkey % 60 = 11) = 0""")
 def test_files_missing(spark, d):
-    from ..operators.quality import no_tests
+    """Projects without a test file, of all brands."""
+    from ..operators.quality import projects_without_tests
 
-    files = table(spark, d, "part").select(F.when(F.col("p_size") > 1000, "tests/test_x.py").otherwise("src/x.py").alias("path"))
-    return no_tests(files)
+    p = F.col("p_partkey")
+    path = F.when(p % 40 == 7, "tests/check.py").when(p % 60 == 11, "src/shape_test.py").when(p % 3 == 0, "src/contest.py").otherwise("src/latest/x.py")
+    return projects_without_tests(table(spark, d, "part").select(F.col("p_brand").alias("project"), path.alias("path")))
 
 
 # --- cognitive load -----------------------------------------------------------------------------------------------

@@ -315,3 +315,26 @@ def test_npath_against_recursion(tree):
     ids = [source_module.identity(n, known) for n in exprs]
     dumps = [ast.dump(n) for n in exprs]
     assert all((a == b) == (x == y) for a, x in zip(ids, dumps) for b, y in zip(ids, dumps))
+
+
+SHIPPED = {
+    "BARE_PRINT": "print(a, b)\n",
+    "MUTABLE_DEFAULT": "def f(a, b=[]):\n    pass\n",
+    "SELF_COMPARISON": "if a.b == a.b:\n    pass\n",
+    "SHELL_CALL": "run(a, shell=True)\n",
+    "YAML_LOAD": "yaml.load(a)\n",
+    "OPEN_TASK": "x = 1  # TODO: tidy\n",
+    "LONG_FUNCTION": "def tall():\n" + "    go()\n" * 60,
+    "MANY_PARAMETERS": "def f(a, b, c, d, e, f, g):\n    pass\n",
+    "UNREACHABLE": "def f():\n    return 1\n    go()\n",
+    "REQUEST_TO_QUERY": "q = get_json()\ndb.executescript(q)\n",
+}
+
+
+def test_shipped_rules_find_their_example_and_nothing_in_plain_code():
+    detect = rules.detector(rules.default_rules())
+    assert {r.id for r in rules.default_rules()} == SHIPPED.keys()
+    for rule, code in SHIPPED.items():
+        assert rule in {f.name for f in detect(source(code)) if f.kind == "issue"}, rule
+    plain = "import yaml\n\ndef f(a, b=None):\n    log(yaml.load(a, Loader=yaml.SafeLoader))\n    if a == b:\n        return run([a])\n"
+    assert not [f for f in detect(source(plain)) if f.kind == "issue"]
