@@ -19,11 +19,11 @@ SHOWN, LISTED, TITLE = 5, 10, 50
 
 
 def first_issues(issues: DataFrame, n: int = SHOWN) -> DataFrame:
-    """The first n issues of each analyzer, severest first, and how many more it has."""
+    """The first n issues of each analyzer, severest first, with their snippets if the issues have any, and how many more it has."""
     ranked = issues.withColumn("rank", severity_rank(F.col("severity")))
     kept = ranked.groupBy("analyzer").agg(F.count("*").alias("n"))
     top = findings.cap(ranked.withColumn("order", F.struct("rank", "emit_seq")).drop("emit_seq").withColumnRenamed("order", "emit_seq"), "analyzer", n)
-    return top.join(F.broadcast(kept), "analyzer").select("analyzer", "place", "severity", F.substring("title", 1, TITLE).alias("title"), "file_path", "line_number", (F.col("n") - F.least("n", F.lit(n))).alias("more"))
+    return top.join(F.broadcast(kept), "analyzer").select("analyzer", "place", "severity", F.substring("title", 1, TITLE).alias("title"), "file_path", "line_number", *(c for c in ("snippet",) if c in top.columns), (F.col("n") - F.least("n", F.lit(n))).alias("more"))
 
 
 class Reporter(ABC):
@@ -80,7 +80,7 @@ class HtmlReporter(Reporter):
         parts = ["<h1>Report</h1>", table(summary.items()), f"<h2>Severities</h2><table>{bars}</table>"]
         for a in sorted({i["analyzer"] for i in issues} | insights.keys()):
             own = [i for i in issues if i["analyzer"] == a]
-            parts.append(f"<h2>{html.escape(a)}</h2>" + table((i["severity"], i["title"], i["file_path"], i["line_number"]) for i in own))
+            parts.append(f"<h2>{html.escape(a)}</h2>" + table((i["severity"], i["title"], i["file_path"], i["line_number"], *([i["snippet"]] if "snippet" in i else [])) for i in own))
             parts.append(f"<p>... and {own[0]['more']} more</p>" if own and own[0]["more"] else "")
             parts.append("<ul>" + "".join(f"<li>{html.escape(t)}</li>" for t in insights.get(a, [])) + "</ul>")
         return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Report</title></head><body>{''.join(parts)}</body></html>"
