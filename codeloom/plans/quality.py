@@ -161,7 +161,20 @@ def rewrite_ascii(spark, d):
     return rewrite.ascii_only(documents_as_files(spark, d)).select("file_id", F.sha2("code", 256).alias("sha256"), "n_removed")
 
 
-@query()
+#: A client's requests one after the other: tokens flow in, a request takes one if there is one
+BUCKETS = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client, event_id AS request, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ b AS (SELECT client, request, t, n, 3.0::DOUBLE - 1 AS tokens, true AS admitted FROM e WHERE n = 1
+  UNION ALL SELECT client, request, t, n, tokens - CASE WHEN tokens >= 1 THEN 1 ELSE 0 END, tokens >= 1 FROM (SELECT e.client, e.request, e.t, e.n, least(3.0::DOUBLE, b.tokens + greatest(0.0, e.t - b.t) * (2.0::DOUBLE / 86400)) AS tokens FROM b JOIN e ON e.client = b.client AND e.n = b.n + 1))
+ SELECT client, request, admitted FROM b"""
+
+
+@query(BUCKETS)
 def token_bucket_stream(spark, d):
     """The limiter on all events, 2 requests a day and bursts of 3 per user; tests/test_engine.py holds it against a plain loop."""
     return token_bucket.run_on_files(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema, 2 / 86400, 3.0)
+
+
+@query(BUCKETS)
+def token_bucket_timers(spark, d):
+    """The same by timers, which let the state of idle users go."""
+    return token_bucket.run_with_timers(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema, 2 / 86400, 3.0)[0]
