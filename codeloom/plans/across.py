@@ -9,11 +9,12 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..detect import engine
+from ..detect import engine, table_function
 from ..operators import many_rules, project, similar, symbols, taint
 from ..sources.fact_store import FactStore
 from ..sources.store import shared_dir
 from ..sources.tables import documents_as_files, spread, table
+from . import mosaic, pieces
 from .queries import query
 
 
@@ -217,3 +218,18 @@ MANY = [{"id": f"{a}{b}", "pattern": rf"\b{a}{b}[a-z]*in"} for a in LETTERS for
 def rules_many(spark, d):
     found = many_rules.many_hits(documents_as_files(spark, d), MANY)
     return found.groupBy("rule_id").agg(F.count("*").alias("hits"), F.count_distinct("file_id").alias("files"))
+
+
+# --- detectors from SQL -------------------------------------------------------------------------------------------
+
+
+@query(mosaic.found_sql(pieces.SECURITY, lambda rule: rule.startswith(("SECRET_", "CRYPTO_"))))
+def facts_by_sql(spark, d):
+    """Findings of a SQL text."""
+    table_function.register(spark)
+    files = mosaic.files(spark, d, pieces.SECURITY)
+    return spark.sql(
+        """SELECT f.file_id, i.name AS rule_id, i.severity, i.title, i.line_number FROM {files} f,
+        LATERAL code_facts(f.code, f.path, detectors => 'security', columns => 'kind, name, severity, title, line_number') i WHERE i.kind = 'issue' AND i.name RLIKE '^(SECRET|CRYPTO)_'""",
+        files=files,
+    )
