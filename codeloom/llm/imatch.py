@@ -4,9 +4,9 @@ Terms are lower-cased words. A hash of the term draws it into none, one or two o
 terms each, 32 hold 1/1024 each, the latter for long texts. Of these, the lexicons keep terms whose inverse document
 frequency lies in a band. A coordinate of the fingerprint is a hash of the text's sorted distinct terms in one lexicon.
 
-A text in which few drawn terms are in the band (all too rare, or those of a large group of near copies, all too
-frequent) has its coordinates from all of its drawn terms instead, and from all its words if none is drawn. So every text
-with words has coordinates that an edit elsewhere in it leaves as they are.
+A coordinate whose drawn terms are all out of the band (too rare, or those of a large group of near copies, too frequent) is
+a hash of the least of them, and a text without drawn terms has its coordinates from all its words. This is decided for
+each coordinate on its own, so an edit changes those alone into whose lexicon it brings a term, or from which it takes one.
 
 Document frequencies are counted over distinct texts, so copies do not push their terms out of the band, and for drawn
 terms only. The band bounds the lexicons' size whatever the corpus: a term is in LEAST of the distinct texts at least, so
@@ -34,8 +34,6 @@ LEAST, MOST = 0.005, 0.3
 EMPTY = "----"
 #: coordinates in all; coordinates and 1/share of the coarse and the fine lexicons
 COORDS, HALF, COARSE, FINE = 64, 32, 128, 1024
-#: A text keeps to the band if one in so many of its drawn terms is in it
-FEW = 8
 #: Lexicon entries (8 bytes) that go into the plan as a constant, and the most buckets they are dealt to
 LITERAL_ROWS, BUCKETS = 200_000, 1 << 16
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -98,17 +96,21 @@ def places() -> Column:
 
 def fingerprint(text: Column, drawn: Column, within: Callable[[Column], Column]) -> Column:
     """64 coordinates of four hexadecimal digits, `----` where the text has no term of the lexicon. drawn: the text's drawn terms;
-    within: which of them are in the band. A text with fewer than one drawn term in FEW in the band has its coordinates from
-    all drawn terms, one without drawn terms from all its words. A text without words has a hash of itself as its first
-    coordinate."""
+    within: which of them are in the band. A coordinate without a term in the band has its least drawn term; a text without drawn
+    terms has its coordinates from all its words. A text without words has a hash of itself as its first coordinate."""
     # transform() over one-element arrays names what follows, so that it is computed once
     named = lambda value, f: F.transform(F.array(value), f)[0]
     digits = lambda h: F.lpad(F.lower(F.hex(F.pmod(h, F.lit(65_536)))), 4, "0")
 
+    place = lambda t: F.shiftright(t, 48)
+
     def chosen(drawn: Column, within: Column) -> Column:
-        return F.when((F.size(within) > 0) & (FEW * F.size(within) >= F.size(drawn)), within).when(F.size(drawn) > 0, drawn).otherwise(dealt_terms(text))
+        """drawn: sorted, so the least term of a coordinate is the one before which another coordinate ends."""
+        least = F.filter(drawn, lambda t, i: (i == 0) | (place(F.get(drawn, i - 1)) != place(t)))
+        rest = named(F.transform(within, place), lambda at: F.filter(least, lambda t: ~F.array_contains(at, place(t))))
+        return F.when(F.size(drawn) > 0, F.concat(within, rest)).otherwise(dealt_terms(text))
 
-    own = F.array_sort(named(drawn, lambda d: named(within(d), lambda w: chosen(d, w))))
+    own = F.array_sort(named(F.array_sort(drawn), lambda d: named(within(d), lambda w: chosen(d, w))))
 
     def all_coordinates(terms: Column, at: Column, filled: Column) -> Column:
         """terms are sorted, so those of a coordinate stand together; at: the coordinate of each."""
@@ -119,7 +121,7 @@ def fingerprint(text: Column, drawn: Column, within: Callable[[Column], Column])
         return F.array_join(named(both, lambda x: F.transform(places(), lambda k: F.coalesce(F.get(x["h"], F.array_position(x["k"], k).cast("int") - 1), F.lit(EMPTY)))), "")
 
     def of(terms: Column) -> Column:
-        at = F.transform(terms, lambda t: F.shiftright(t, 48))
+        at = F.transform(terms, place)
         return named(at, lambda a: named(F.array_distinct(a), lambda filled: all_coordinates(terms, a, filled)))
 
     whole = F.concat(digits(F.xxhash64(F.coalesce(text, F.lit("")))), F.lit(EMPTY * (COORDS - 1)))

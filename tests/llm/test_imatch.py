@@ -5,7 +5,7 @@ import struct
 import pytest
 import xxhash
 
-from codeloom.llm.imatch import COARSE, COORDS, EMPTY, FEW, FINE, HALF, fingerprints, op8_imatch
+from codeloom.llm.imatch import COARSE, COORDS, EMPTY, FINE, HALF, fingerprints, op8_imatch
 
 
 def edits(docs):
@@ -126,7 +126,8 @@ def brute(docs, least=0.005, most=0.3):
     def printed(text):
         own = drawn(text)
         within = own & lexicon
-        terms = within if within and FEW * len(within) >= len(own) else own
+        banded = {e >> 48 for e in within}
+        terms = within | {min(e for e in own if e >> 48 == k) for k in {e >> 48 for e in own} - banded}
         if not own:
             words = {h64(w.encode()) for w in text.lower().replace("\t", " ").replace("\n", " ").split(" ") if w}
             terms = {(signed(h) >> 48) % COORDS << 48 | h & (1 << 48) - 1 for h in words}
