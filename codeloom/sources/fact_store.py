@@ -19,6 +19,8 @@ _KEYS = "key string"
 _KEPT = "key string, " + engine.FACTS.removeprefix("file_id string, ")
 #: Change it with any change of what detectors find
 VERSION = "3"
+#: Times that a run tries to name its folder while others do so too
+TRIES = 20
 
 
 class FactStore:
@@ -52,15 +54,20 @@ class FactStore:
         rows = self.spark.read.text(f"{self.path}/lists/{numbers[-1]:09d}").collect()  # a line for each folder
         return sorted(r.value for r in rows if r.value)
 
-    def _commit(self, folders: list[str]) -> None:
-        """A new list, in one rename. Another run that took the same number makes this one fail."""
-        fs, number = self._fs(), max([0, *self._numbers()]) + 1
+    def _commit(self, folders: list[str], alone: bool = False) -> None:
+        """A new list, in one rename: the folders besides those in force, or alone. Where another run takes the number first, what
+        that run has named is kept and the next number is tried."""
+        fs = self._fs()
         fs.mkdirs(self._at("lists"))
-        draft = self._at(f"drafts/{uuid.uuid4().hex}")
-        self.spark.createDataFrame([(f,) for f in folders] or [("",)], "value string").coalesce(1).write.text(draft.toString())
-        to = self._at(f"lists/{number:09d}")
-        if fs.exists(to) or not fs.rename(draft, to):
-            raise RuntimeError(f"list {number} of {self.path} is taken by another run")
+        for _ in range(TRIES):
+            number = max([0, *self._numbers()]) + 1
+            named = folders if alone else [*self.folders(), *folders]
+            draft, to = self._at(f"drafts/{uuid.uuid4().hex}"), self._at(f"lists/{number:09d}")
+            self.spark.createDataFrame([(f,) for f in named] or [("",)], "value string").coalesce(1).write.text(draft.toString())
+            if not fs.exists(to) and fs.rename(draft, to):
+                return
+            fs.delete(draft, True)
+        raise RuntimeError(f"the lists of {self.path} are taken by other runs")
 
     def _read(self, part: str, schema: str, folders: list[str]) -> DataFrame:
         if not folders:
@@ -97,8 +104,8 @@ class FactStore:
             split = F.pmod(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), F.lit(self.splits))
             self._write(found.withColumn("split", split), folder, "facts")
             self._write(new.select("key", "split"), folder, "keys")
+            self._commit([folder])
             folders = [*folders, folder]
-            self._commit(folders)
         kept = self._read("facts", _KEPT, folders)
         return keyed.select("file_id", "key", "split").join(kept, ["key", "split"]).select(*(c.split()[0] for c in engine.FACTS.split(", ")))
 
@@ -110,7 +117,7 @@ class FactStore:
         before, folder = keys.count(), uuid.uuid4().hex
         self._write(self._read("facts", _KEPT, folders).join(needed, ["key", "split"], "left_semi"), folder, "facts")
         self._write(keys.join(needed, ["key", "split"], "left_semi").distinct(), folder, "keys")
-        self._commit([folder])
+        self._commit([folder], alone=True)
         fs = self._fs()
         for f in folders:
             for part in ("facts", "keys"):
