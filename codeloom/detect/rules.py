@@ -7,11 +7,13 @@ import re
 from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import count
 from pathlib import Path
 from typing import Any
 
 from .architecture import imports
-from .source import Fact, Source, argument_names, called, identity, name_of, number
+from .pattern_tree import META, UNCOMPARED, PatternTree, dots
+from .source import Fact, Source, argument_names, called, failure, identity, name_of, number
 
 NAME = "custom_rules"
 #: Fixed values
@@ -99,20 +101,21 @@ def loose(pattern: str) -> Callable[[ast.AST], bool]:
     return test
 
 
-_META = "METAVARIABLE_"
+def parsed(pattern: str) -> ast.AST:
+    """A pattern's expression or statement, with metavariables as names."""
+    tree = ast.parse(re.sub(r"\$([A-Z][A-Z0-9_]*)", META + r"\1", pattern)).body
+    return tree[0].value if len(tree) == 1 and isinstance(tree[0], ast.Expr) else tree[0]
 
 
 def structural(pattern: str) -> Callable[[ast.AST], dict[str, ast.AST] | None]:
     """What the metavariables of a pattern stand for in a node, or null if it does not match. A metavariable is one expression,
     the same one wherever it stands; `...` is any number of arguments or elements, or any expression."""
-    tree = ast.parse(re.sub(r"\$([A-Z][A-Z0-9_]*)", _META + r"\1", pattern)).body
-    want = tree[0].value if len(tree) == 1 and isinstance(tree[0], ast.Expr) else tree[0]
-    dots = lambda x: isinstance(x, ast.Constant) and x.value is Ellipsis
+    want = parsed(pattern)
     known: dict = {}  # of the node at hand
 
     def one(p: Any, n: Any, bound: dict[str, ast.AST]) -> dict[str, ast.AST] | None:
-        if isinstance(p, ast.Name) and p.id.startswith(_META) and isinstance(n, ast.expr):
-            key = p.id.removeprefix(_META)
+        if isinstance(p, ast.Name) and p.id.startswith(META) and isinstance(n, ast.expr):
+            key = p.id.removeprefix(META)
             if key in bound:
                 return bound if identity(bound[key], known) == identity(n, known) else None
             return bound | {key: n}
@@ -125,7 +128,7 @@ def structural(pattern: str) -> Callable[[ast.AST], dict[str, ast.AST] | None]:
         if type(p) is not type(n):
             return None
         for name in p._fields:
-            if name in ("ctx", "type_comment", "type_params"):
+            if name in UNCOMPARED:
                 continue
             if (bound := one(getattr(p, name, None), getattr(n, name, None), bound)) is None:
                 return None
@@ -195,14 +198,54 @@ def by_text(rule: Rule, source: Source) -> Iterator[Fact]:
             yield _found(rule, no, detail=text)
 
 
+def _bound(rule: Rule, source: Source, node: ast.AST, bound: dict[str, ast.AST]) -> Fact:
+    text = rule.message or rule.description
+    for name, value in bound.items():
+        text = text.replace(f"${name}", written(value, source.code))
+    return _found(rule, getattr(node, "lineno", 0), detail=text)
+
+
 def by_tree(rule: Rule, source: Source) -> Iterator[Fact]:
     test = _tests(rule)
     for node in source.nodes:
         if (bound := test(node)) is not None:
-            text = rule.message or rule.description
-            for name, value in bound.items():
-                text = text.replace(f"${name}", written(value, source.code))
-            yield _found(rule, getattr(node, "lineno", 0), detail=text)
+            yield _bound(rule, source, node, bound)
+
+
+class Structures:
+    """Rules of type "structure", all matched in one walk over a file. A rule is tried at nodes that may match one of its
+    patterns_any, the first of its patterns_all or its pattern. One whose pattern is not Python is a fact of kind "failure" with
+    its id as scope in each file, and the others go on."""
+
+    def __init__(self, rules: Iterable[Rule]):
+        self.rules = tuple(rules)
+        self.tests: list[Callable | None] = []
+        self.broken: dict[int, Exception] = {}
+        first: dict[str, list[int]] = {}
+        for k, rule in enumerate(self.rules):
+            try:
+                self.tests.append(_tests(rule))
+                for pattern in dict.fromkeys(rule.patterns_any or rule.patterns_all[:1] or filter(None, (rule.pattern,))):
+                    first.setdefault(pattern, []).append(k)
+            except (SyntaxError, ValueError, IndexError, RecursionError, MemoryError) as e:
+                self.tests.append(None)
+                self.broken[k] = e
+        #: By pattern: rules that look where it may match
+        self.wanted = list(first.values())
+        self.tree = PatternTree(map(parsed, first))
+
+    def __reduce__(self):
+        return Structures, (self.rules,)  # built anew in each task
+
+    def facts(self, source: Source) -> dict[int, list[Fact]]:
+        """By a rule's place, in the order of source.nodes."""
+        out = {k: [failure(NAME, e, self.rules[k].id)] for k, e in self.broken.items()}
+        candidates = self.tree.candidates(source.tree) if self.wanted else {}
+        for node in source.nodes if candidates else ():
+            for k in sorted({k for p in candidates.get(id(node), ()) for k in self.wanted[p]}):
+                if (bound := self.tests[k](node)) is not None:
+                    out.setdefault(k, []).append(_bound(self.rules[k], source, node, bound))
+        return out
 
 
 def god_functions(source: Source) -> Iterator[tuple[int, str]]:
@@ -279,12 +322,15 @@ KINDS = {"regex": by_text, "smell": by_smell, "taint": by_taint}
 
 def detector(rules: Iterable[Rule], taint: bool = True, smells: bool = True) -> Callable[[Source], Iterator[Fact]]:
     rules = [r for r in rules if r.enabled]
+    trees = Structures(r for r in rules if r.type == "structure")
 
     def detect(source: Source) -> Iterator[Fact]:
         roots = set(imports(source.nodes))
+        places, found = count(), trees.facts(source)
         for rule in rules:
+            place = next(places) if rule.type == "structure" else None
             if roots.issuperset(rule.requires) and not any(p in source.path for p in rule.exclude_paths):
-                yield from KINDS.get(rule.type, by_tree)(rule, source)
+                yield from KINDS.get(rule.type, by_tree)(rule, source) if place is None else found.get(place, ())
         if taint:
             for sink, line in flows(source):
                 yield Fact(NAME, "issue", "TAINT001", "high" if sink in WORST_SINKS else "medium", "Security: Untrusted Data Flow", line, detail=sink)

@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..detect import engine, table_function
+from ..detect import engine, rules, table_function
 from ..operators import many_rules, project, similar, symbols, taint
 from ..sources.fact_store import FactStore
 from ..sources.store import shared_dir
@@ -220,6 +220,31 @@ def rules_many(spark, d):
     return found.groupBy("rule_id").agg(F.count("*").alias("hits"), F.count_distinct("file_id").alias("files"))
 
 
+#: Calls with a first argument and a keyword, calls by their last argument, and comparisons of two calls
+TREES = [
+    rules.Rule.load({"type": "structure", **r})
+    for r in (
+        *({"id": f"first_{a}_{b}", "pattern": f"call_{a}({b}, ..., key=$V)", "message": "$V"} for a in range(20) for b in range(11)),
+        *({"id": f"last_{a}_{c}", "pattern": f"call_{a}(..., $N, k{c})", "message": "$N"} for a in range(20) for c in range(4)),
+        {"id": "same", "pattern": "$X == $X", "message": "$X"},
+        {"id": "differ", "patterns-all": ["$F(y, $N, ...) == $G(y, $N, ...)", "$X == $Y"], "patterns-not": ["$X == $X"], "message": "$N"},
+    )
+]
+
+
+@query("""WITH p AS (SELECT p_partkey AS p FROM part), hits AS (SELECT 'first_' || (p % 20) || '_' || (p % 11) AS rule_id, 'k' || (p % 4) AS detail FROM p
+ UNION ALL SELECT 'last_' || (p % 20) || '_' || (p % 4), CAST(p % 7 AS VARCHAR) FROM p UNION ALL SELECT 'last_' || (p % 13) || '_' || (p % 5), CAST(p % 7 AS VARCHAR) FROM p WHERE p % 5 < 4
+ UNION ALL SELECT 'same', 'call_' || (p % 20) || '(y, ' || (p % 7) || ', k' || (p % 4) || ')' FROM p WHERE p % 20 = p % 13 AND p % 4 = p % 5
+ UNION ALL SELECT 'differ', CAST(p % 7 AS VARCHAR) FROM p WHERE p % 20 <> p % 13 OR p % 4 <> p % 5)
+ SELECT rule_id, detail, count(*) AS hits FROM hits GROUP BY 1, 2""")
+def rules_many_trees(spark, d):
+    mod = lambda n: (F.col("p") % n).cast("string")
+    call = lambda a, c: F.concat(F.lit("call_"), mod(a), F.lit("(y, "), mod(7), F.lit(", k"), mod(c), F.lit(")"))
+    code = F.concat(F.lit("def f(y):\n    call_"), mod(20), F.lit("("), mod(11), F.lit(", y, key=k"), mod(4), F.lit(")\n    return "), call(20, 4), F.lit(" == "), call(13, 5), F.lit("\n"))
+    found = engine.facts(_files(spark, d, code, "trees"), extra={"custom_rules": rules.detector(TREES, taint=False, smells=False)})
+    return engine.issues(found).groupBy("rule_id", "detail").agg(F.count("*").alias("hits"))
+
+
 # --- detectors from SQL -------------------------------------------------------------------------------------------
 
 
