@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, kept, materialize
+from .common import Scratch, in_batches, kept
 from .components import components
 from .shingles import MinHash, set_key, shingle_set
 
@@ -93,16 +93,16 @@ def _may_be_close(odd_a: Column, odd_b: Column, n: Column, part: int, whole: int
     return (part + whole) * (n - apart) >= 2 * part * n
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int, part: int, whole: int, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int, part: int, whole: int, name: str, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that collide often enough and whose full sets are similar enough."""
     side = lambda t, col, k: t.select(F.col("rep").alias(k), F.col(col).alias(f"{col}_{k}"))
-    pairs = materialize(pairs, f"{name}-pairs")
+    pairs = scratch.write(pairs, f"{name}-pairs")
     hits = pairs.join(side(classes, "sig", "a"), "a").join(side(classes, "sig", "b"), "b")
-    hits = materialize(hits.filter(_collisions("sig_a", "sig_b") >= match).select("a", "b"), f"{name}-matches")
+    hits = scratch.write(hits.filter(_collisions("sig_a", "sig_b") >= match).select("a", "b"), f"{name}-matches")
     both = hits.join(side(sets, "shingles", "a"), "a").join(side(sets, "shingles", "b"), "b")
     inter = F.size(F.array_intersect("shingles_a", "shingles_b"))
     both = both.select("a", "b", inter.alias("i"), (F.size("shingles_a") + F.size("shingles_b")).alias("t"))
-    return materialize(both.filter(whole * F.col("i") >= part * (F.col("t") - F.col("i"))).select("a", "b"), f"{name}-links")
+    return scratch.write(both.filter(whole * F.col("i") >= part * (F.col("t") - F.col("i"))).select("a", "b"), f"{name}-links")
 
 
 def near_duplicates(docs: DataFrame, part: int = PART, whole: int = WHOLE, coords: int = COORDS, match: int = MATCH) -> DataFrame:
@@ -111,16 +111,18 @@ def near_duplicates(docs: DataFrame, part: int = PART, whole: int = WHOLE, coord
     Documents are linked if whole * |A & B| >= part * |A | B| for their sets of five-word shingles. component_id is the
     smallest doc_id reachable over links. Null, empty and wordless texts have no shingle and are linked with nothing, as
     are rows without a doc_id (component_id null, kept). Of rows that repeat a doc_id, each has the component of its
-    own text; equal rows have equal results. Very long texts are taken whole, an empty table gives no rows."""
-    signed = materialize(signatures(docs, coords), "signatures")
+    own text; equal rows have equal results. Very long texts are taken whole, an empty table gives no rows. The result is
+    a written table; all others that it took are deleted."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    signed = scratch.write(signatures(docs, coords), "signatures")
     classes = signed.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
+    classes = scratch.write(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
 
     posted = classes.select("rep", F.posexplode("sig")).select("rep", F.xxhash64("pos", "col").alias("key"))
     frequent = posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     of_class = posted.join(frequent, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("keys"))
     prefix = F.slice("keys", F.lit(1), F.size("keys") - match + 1)
-    family = materialize(of_class.filter(F.size("keys") >= match).select("rep", F.transform(prefix, lambda x: x["key"]).alias("keys")), "postings")
+    family = scratch.write(of_class.filter(F.size("keys") >= match).select("rep", F.transform(prefix, lambda x: x["key"]).alias("keys")), "postings")
 
     few = family.count() <= BROADCAST_ROWS
     small = F.broadcast if few else lambda t: t
@@ -128,42 +130,43 @@ def near_duplicates(docs: DataFrame, part: int = PART, whole: int = WHOLE, coord
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
     # a doc_id may have other texts besides its class's, and a text may be there twice
     sets = shingle_sets(texts).join(small(wanted), ["doc_id", "k1", "k2"]).groupBy("rep").agg(F.first("shingles").alias("shingles"), F.first("odd").alias("odd"))
-    sets = materialize(sets, "shingles")
+    sets = scratch.write(sets, "shingles")
     lone = sets.select("rep", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count("*").alias("lone"))
     sizes = sets.select("rep", F.size("shingles").cast("long").alias("n")).join(lone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
-    lists = materialize(family.select("rep", F.explode("keys").alias("key")).join(sizes, "rep").filter(whole * F.col("shared") >= part * F.col("n")), "lists")
+    lists = scratch.write(family.select("rep", F.explode("keys").alias("key")).join(sizes, "rep").filter(whole * F.col("shared") >= part * F.col("n")), "lists")
 
     member = F.struct("rep", "n", "shared")
     centres = lists.groupBy("key").agg(F.max_by(member, F.struct(F.col("shared") / F.col("n"), -F.col("rep"))).alias("c1"), F.min_by(member, F.xxhash64("rep", "key")).alias("c2"), F.count("*").alias("c")).filter("c > 1")
     met = lists.join(centres.select("key", "c1", "c2"), "key").select("rep", "n", "shared", F.explode(F.array("c1", "c2")).alias("c"))
     met = met.filter((F.col("rep") != F.col("c.rep")) & _can_link(F.least("shared", "c.shared"), F.col("n"), F.col("c.n"), part, whole))
-    links = _confirmed(met.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct(), classes, sets, match, part, whole, "centre")
+    links = _confirmed(met.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct(), classes, sets, match, part, whole, "centre", scratch)
 
-    labels = materialize(components(links), "labels").withColumnRenamed("node", "rep")
+    labels = scratch.write(components(links, scratch), "labels").withColumnRenamed("node", "rep")
     labelled = lists.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_lists = lambda t: t.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).filter("lo <> hi").select("key", "least")
     rest = labelled.join(open_lists(labelled), "key").filter(_can_link(F.col("shared"), F.col("n"), F.col("least"), part, whole)).drop("least")
     rest = rest.join(open_lists(rest), "key").drop("least")
     # a pair counts its collisions in the first list that both are posted in, and skips the other lists
     held = family.join(classes.select("rep", "sig"), "rep").join(sets.select("rep", "odd"), "rep")
-    rest = materialize(rest.join(held, "rep"), "open")
+    rest = scratch.write(rest.join(held, "rep"), "open")
     x, y = rest.alias("x"), rest.alias("y")
     crossing = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
     crossing &= _can_link(F.least("x.shared", "y.shared"), F.col("x.n"), F.col("y.n"), part, whole)
     crossing &= F.col("x.key") == F.array_intersect("x.keys", "y.keys")[0]
     crossing &= _may_be_close(F.col("x.odd"), F.col("y.odd"), F.col("x.n") + F.col("y.n"), part, whole)
     crossing &= _collisions("x.sig", "y.sig") >= match
-    more = _confirmed(x.join(y, crossing).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), classes, sets, match, part, whole, "cross")
+    more = _confirmed(x.join(y, crossing).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), classes, sets, match, part, whole, "cross", scratch)
 
-    labels = materialize(components(links.unionByName(more)), "labels").withColumnRenamed("node", "rep")
+    labels = scratch.write(components(links.unionByName(more), scratch), "labels").withColumnRenamed("node", "rep")
     linked = labels.join(classes.select("rep", "k1", "k2", "doc"), "rep")
-    least = materialize(linked.groupBy("label").agg(F.min("doc").alias("component")), "least")
+    least = scratch.write(linked.groupBy("label").agg(F.min("doc").alias("component")), "least")
     named = linked.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "label").select("k1", "k2", "component")
     alone = classes.join(labels.select("rep"), "rep", "left_anti").select("k1", "k2", F.col("doc").alias("component"))
     out = signed.drop("sig").join(named.unionByName(alone), ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     out = out.withColumn("component_id", own)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+    return scratch.last(out)
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 import random
 import re
+from pathlib import Path
 
 import pytest
 
+from codeloom.llm import components as stars
+from codeloom.llm.common import Scratch
 from codeloom.llm.components import components
 from codeloom.llm.minhash import near_duplicates, op3_minhash_dedup
 
@@ -97,10 +100,39 @@ def test_repeated_ids_against_brute_force(spark, part):
 
 def test_components_of_a_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7)]
-    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 150), 100)}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Random links of which a third ends in one node, with few links and with many that make a hub."""
+    rng = random.Random(8)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(333, rng.randrange(400)) for _ in range(80)] + [(900, k) for k in range(901, 960)] + [(959, 960)] * 3
+    label = {x: x for pair in links for x in pair}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    want = {x: y for x, y in label.items() if any(x in p and p[0] != p[1] for p in links)}
+    pairs = spark.createDataFrame(links, "a long, b long")
+    for hub in (0, 3, 30, 10_000):
+        monkeypatch.setattr(stars, "LEAST_HUB", hub)
+        scratch = Scratch(spark, "test")
+        got = components(pairs, scratch).collect()
+        assert len(got) == len(want) and {r["node"]: r["label"] for r in got} == want
+        scratch.drop()
+    assert components(pairs.filter("a = b"), Scratch(spark, "test")).count() == 0
+
+
+def test_only_the_result_stays(spark, family):
+    from codeloom.sources.store import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "codeloom"
+    before = set(folder.glob("*")) if folder.exists() else set()
+    got = near_duplicates(spark.createDataFrame(family[:20], "doc_id long, text string"))
+    left = [p.name.rpartition("-")[0] for p in folder.glob("*") if p not in before]
+    assert left == ["result"] and got.count() == 20
+
+
 @pytest.mark.parametrize("name", ["op3_minhash_dedup", "op7_decontamination"])
 def test_queries_against_their_sql(spark, data, name):
     import duckdb
