@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +165,38 @@ def _documents(path: str, base: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], names=names)
 
 
+class SequenceReader:
+    """Sequence i of all files of a manifest, in ascending order of file_no. Local files are mapped, so ids are a view of the file and
+    a sequence costs the pages that it lies on; of other stores its batch is read. Only `most` files are open at once. The
+    manifest's rows (one a file) are gathered; len() is the number of sequences. An index that no sequence has is an
+    IndexError."""
+
+    def __init__(self, manifest: DataFrame, most: int = 64):
+        rows = manifest.orderBy("file_no").select("path", "n_sequences").collect()
+        self.paths = [r["path"] for r in rows]
+        self.firsts = [0, *accumulate(r["n_sequences"] for r in rows)]
+        self.file = lru_cache(most)(self._file)
+
+    def __len__(self) -> int:
+        return self.firsts[-1]
+
+    def _file(self, path: str) -> tuple[pa.RecordBatchFileReader, list[int]]:
+        """A file and the first sequence of each of its batches: they have as many as were full when they were written."""
+        file = pa.ipc.open_file(_open(path, False))
+        return file, [0, *accumulate(file.get_batch(k).num_rows for k in range(file.num_record_batches))]
+
+    def __getitem__(self, i: int) -> dict[str, pa.Array]:
+        """ids, valid, starts and doc_ids of a sequence."""
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        no = bisect_right(self.firsts, i) - 1
+        file, firsts = self.file(self.paths[no])
+        at = i - self.firsts[no]
+        k = bisect_right(firsts, at) - 1
+        batch = file.get_batch(k)
+        return {name: batch.column(name)[at - firsts[k]].values for name in batch.schema.names}
+
+
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents` through the file format and back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -13,7 +13,7 @@ from codeloom.llm import tokens
 from codeloom.llm.common import hashed_words, shared_path, words_of
 from codeloom.llm.packing import best_fit, op9_best_fit_packing, pack
 from codeloom.llm.token_counts import attribute, op10_token_counts, section_token_counts
-from codeloom.llm.token_output import op1_token_output, read_token_files, write_token_files
+from codeloom.llm.token_output import SequenceReader, op1_token_output, read_token_files, write_token_files
 from codeloom.llm.tokens import encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -207,3 +207,32 @@ def test_ids_at_any_table_size(monkeypatch, entries, group):
     texts = [*ODD, "ab cd " * 300, "x" * 300 + " " + "yz" * 200, "été, élève; ÷a×b ǅ ɏ!ɐ!", *(f"w{i} z{i % 7}, q" for i in range(400)), *ODD]
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.many(texts)] == [plain(t) for t in texts]
     assert not enc.table.n or enc.table.n <= entries + 5000
+
+
+def test_any_sequence_of_mapped_files(spark, monkeypatch):
+    from codeloom.llm import token_output
+
+    monkeypatch.setattr(token_output, "BATCH_SEQUENCES", 4)  # of this process: a file is written here, with batches of many sizes
+    rng = random.Random(9)
+    ids, path = [], shared_path(spark, "t") + "/part-0.arrow"
+    writer = token_output.SequenceWriter(token_output._open(path, True), 16, False)
+    for d in range(60):
+        ids.append([rng.randrange(50_000) for _ in range(rng.randrange(1, 150))])
+        writer.add(d, np.array(ids[-1], "<u4").tobytes())
+    writer.close()
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "doc_id long, text string")
+    more = write_token_files(docs, shared_path(spark, "t"), seq_len=16)
+    one = spark.createDataFrame([(-1, path, 60, writer.n_tokens, writer.n_sequences)], more.schema)
+    reader = SequenceReader(one.unionByName(more), most=2)
+    flat, places = [x for d in ids for x in d], [sum(map(len, ids[:d])) for d in range(60)]
+    assert len(reader) == writer.n_sequences + sum(r["n_sequences"] for r in more.collect())
+    for i in rng.sample(range(writer.n_sequences), writer.n_sequences):
+        got, want = reader[i], flat[16 * i : 16 * i + 16]
+        assert got["ids"].to_numpy(zero_copy_only=True).tolist() == want + [0] * (16 - len(want))
+        assert got["valid"].to_pylist() == [True] * len(want) + [False] * (16 - len(want))
+        assert [16 * i + k for k, s in enumerate(got["starts"].to_pylist()) if s] == [p for p in places if 16 * i <= p < 16 * i + 16]
+        assert got["doc_ids"].to_pylist() == [d for d, p in enumerate(places) if 16 * i <= p < 16 * i + 16]
+    assert [d for i in range(writer.n_sequences, len(reader)) for d in reader[i]["doc_ids"].to_pylist()] == list(range(len(ODD)))
+    with pytest.raises(IndexError):
+        reader[len(reader)]
+    assert len(SequenceReader(more.limit(0))) == 0
