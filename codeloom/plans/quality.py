@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality, reports, rewrite
 from ..sources import pyast
-from ..sources.tables import documents_as_files, table
+from ..sources.tables import documents_as_files, spread, table
 from ..streaming import token_bucket
 from .queries import query
 
@@ -134,7 +134,7 @@ def _lines_of(n, line):
 def test_smells(spark, d):
     asserts = _lines_of(F.col("p_size") % 8, lambda i: F.when(i % 2 == 0, F.lit(" assert x\n")).otherwise(F.lit(" self.assertEqual(x, 1)\n")))
     code = F.concat(F.lit("def test_it(self):\n"), asserts, _lines_of(F.col("p_partkey") % 60, lambda i: F.lit(" work()\n")), F.lit(" done()\ndef other():\n assert 1\n"))
-    return quality.tests(pyast.nodes(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file_id"), code.alias("code"))))
+    return quality.tests(pyast.nodes(spread(table(spark, d, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").cast("string").alias("file_id"), code.alias("code"))))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS file_id, 'x' AS name, 'system' AS sink, CAST(4 AS BIGINT) AS line_number FROM part WHERE p_size % 3 = 0")
