@@ -141,7 +141,7 @@ def test_smells(spark, d):
 def taint_flows(spark, d):
     source = F.when(F.col("p_size") % 3 == 0, "input()").otherwise("clean()")
     code = F.concat(F.lit("import os\nx = "), source, F.lit("\ny = 1\nos.system(x)\nos.system(y)\nprint(x)\n"))
-    files = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file_id"), code.alias("code"))
+    files = spread(table(spark, d, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").cast("string").alias("file_id"), code.alias("code"))
     return quality.taint_flows(pyast.nodes(files), ("input", "raw_input"), ("system", "execute"))
 
 

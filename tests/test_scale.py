@@ -13,3 +13,7 @@ def once(text):
 
 def test_tests_are_parsed_once_by_all_cores(spark, data):
     once(plan(QUERIES["test_smells"](spark, data)))
+
+
+def test_flows_are_parsed_once_by_all_cores(spark, data):
+    once(plan(QUERIES["taint_flows"](spark, data)))
