@@ -30,20 +30,20 @@ def definitions(found: DataFrame) -> DataFrame:
     last = _of(found, "definition").groupBy("file_id", "name").agg(F.max_by(F.struct(F.col("title").alias("role"), "line_number", "detail"), "seq").alias("d"))
     part = lambda k, kind: F.element_at(F.split("d.detail", ","), k).cast(kind)
     shape = [part(1, "int").alias("required"), part(2, "int").alias("total"), part(3, "int").cast("boolean").alias("open"), part(4, "int").cast("boolean").alias("raises")]
-    return last.join(modules(found), "file_id").select("file_id", "module", "name", "d.role", "d.line_number", *shape)
+    return last.hint("merge").join(modules(found), "file_id").select("file_id", "module", "name", "d.role", "d.line_number", *shape)
 
 
 def aliases(found: DataFrame) -> DataFrame:
     """module, name ("*": every name of the target), target (absolute). Of several imports of a name, the last one counts; imports
     within functions count for the whole module."""
-    each = _of(found, "alias").join(modules(found), "file_id")
+    each = _of(found, "alias").hint("merge").join(modules(found), "file_id")
     star = each.filter("name = '*'").select("module", "name", F.col("detail").alias("target")).distinct()
     return each.filter("name <> '*'").groupBy("module", "name").agg(F.max_by("detail", "seq").alias("target")).unionByName(star)
 
 
 def references(found: DataFrame) -> DataFrame:
     """file_id, module, scope, role (base, call, annotation), place, line_number, written."""
-    own = _of(found, "reference").join(modules(found), "file_id")
+    own = _of(found, "reference").hint("merge").join(modules(found), "file_id")
     return own.select("file_id", "module", "scope", F.col("title").alias("role"), F.col("detail").alias("place"), "line_number", F.col("name").alias("written"))
 
 
@@ -69,8 +69,8 @@ def _prefixes(name: str):
 def _lookup(names: DataFrame, known: DataFrame) -> DataFrame:
     """names (key, absolute) with at (the longest prefix that is a module, null if none is) and rest (what follows it)."""
     each = names.select("key", "absolute", F.explode(_prefixes("absolute")).alias("module"))
-    longest = each.join(known.select("module"), "module").groupBy("key", "absolute").agg(F.max_by("module", F.length("module")).alias("at"))
-    return names.join(longest, ["key", "absolute"], "left").withColumn("rest", F.when(F.col("at").isNotNull(), F.expr("substring(absolute, length(at) + 2)")))
+    longest = each.hint("merge").join(known.select("module"), "module").groupBy("key", "absolute").agg(F.max_by("module", F.length("module")).alias("at"))
+    return names.hint("merge").join(longest, ["key", "absolute"], "left").withColumn("rest", F.when(F.col("at").isNotNull(), F.expr("substring(absolute, length(at) + 2)")))
 
 
 def resolve(refs: DataFrame, found: DataFrame) -> DataFrame:
@@ -84,31 +84,31 @@ def resolve(refs: DataFrame, found: DataFrame) -> DataFrame:
     here = refs.select("key", "module", "scope", "written").distinct()
     top = defined.filter("instr(name, '.') = 0").select("module", F.col("name").alias("head"), F.lit(True).alias("local"))
     named = imported.filter("name <> '*'").select("module", F.col("name").alias("head"), "target")
-    start = here.withColumn("head", _head("written")).join(top, ["module", "head"], "left").join(named, ["module", "head"], "left")
+    start = here.withColumn("head", _head("written")).hint("merge").join(top, ["module", "head"], "left").hint("merge").join(named, ["module", "head"], "left")
     own = F.col("head").isin(*OWN) & F.contains("written", F.lit("."))
     first = F.when(F.col("local"), F.concat_ws(".", "module", "written")).when(F.col("target").isNotNull(), F.concat(F.col("target"), _below("written", "head")))
     start = start.filter(~own).select("key", "module", "written", first.alias("absolute"))
     stars = imported.filter("name = '*'").select("module", "target")
-    by_star = start.filter("absolute is null").join(stars, "module").select("key", F.concat_ws(".", "target", "written").alias("absolute"))
+    by_star = start.filter("absolute is null").hint("merge").join(stars, "module").select("key", F.concat_ws(".", "target", "written").alias("absolute"))
     plain = start.filter("absolute is null").select("key", F.col("written").alias("absolute"))
     frontier = stored(start.filter("absolute is not null").select("key", "absolute").unionByName(by_star).unionByName(plain), "frontier")
     seen, done = [frontier], []
     while not frontier.isEmpty():
         at = _lookup(frontier, known)
-        hit = at.filter("at is not null").join(defined.select(F.col("module").alias("at"), F.col("name").alias("rest"), "file_id", "role"), ["at", "rest"], "left")
-        hit = hit.join(known.select(F.col("module").alias("at"), F.col("file_id").alias("module_file")), "at", "left")
+        hit = at.filter("at is not null").hint("merge").join(defined.select(F.col("module").alias("at"), F.col("name").alias("rest"), "file_id", "role"), ["at", "rest"], "left")
+        hit = hit.hint("merge").join(known.select(F.col("module").alias("at"), F.col("file_id").alias("module_file")), "at", "left")
         hit = hit.withColumn("role", F.when(F.col("rest") == "", "module").otherwise(F.col("role"))).withColumn("file_id", F.when(F.col("rest") == "", F.col("module_file")).otherwise(F.col("file_id")))
         hit = stored(hit.select("key", "at", "rest", "file_id", "role"), "hits")
         done.append(hit.filter("role is not null").select("key", F.col("file_id").alias("target_file"), F.col("at").alias("target_module"), F.col("rest").alias("target"), F.col("role").alias("target_role")))
         left = hit.filter("role is null").withColumn("head", _head("rest"))
-        through = left.join(named.withColumnRenamed("module", "at"), ["at", "head"]).select("key", F.concat(F.col("target"), _below("rest", "head")).alias("absolute"))
-        over = left.join(stars.withColumnRenamed("module", "at"), "at").select("key", F.concat_ws(".", "target", "rest").alias("absolute"))
-        frontier = stored(through.unionByName(over).distinct().join(reduce(DataFrame.unionByName, seen), ["key", "absolute"], "left_anti"), "frontier")
+        through = left.hint("merge").join(named.withColumnRenamed("module", "at"), ["at", "head"]).select("key", F.concat(F.col("target"), _below("rest", "head")).alias("absolute"))
+        over = left.hint("merge").join(stars.withColumnRenamed("module", "at"), "at").select("key", F.concat_ws(".", "target", "rest").alias("absolute"))
+        frontier = stored(through.unionByName(over).distinct().hint("merge").join(reduce(DataFrame.unionByName, seen), ["key", "absolute"], "left_anti"), "frontier")
         seen.append(frontier)
     # a star may bring a name twice
     ends = reduce(DataFrame.unionByName, done).groupBy("key").agg(F.min(F.struct("target_file", "target_module", "target", "target_role")).alias("t")).select("key", "t.*")
     outside = start.select("key", F.coalesce("absolute", "written").alias("external"))
-    out = refs.join(ends, "key", "left").join(outside, "key", "left")
+    out = refs.hint("merge").join(ends, "key", "left").hint("merge").join(outside, "key", "left")
     missing = F.col("target_role").isNull()
     return stored.last(out.withColumn("external", F.when(missing, F.coalesce("external", "written"))).drop("key"), "resolved")
 
@@ -129,9 +129,9 @@ def ancestors(resolved: DataFrame) -> DataFrame:
     rounds = [frontier]
     while not frontier.isEmpty():
         depth += 1
-        further = frontier.join(up, ["ancestor_file", "ancestor"]).select("file_id", "name", F.col("next_file").alias("ancestor_file"), F.col("next").alias("ancestor")).distinct()
+        further = frontier.hint("merge").join(up, ["ancestor_file", "ancestor"]).select("file_id", "name", F.col("next_file").alias("ancestor_file"), F.col("next").alias("ancestor")).distinct()
         every = reduce(DataFrame.unionByName, rounds)
-        frontier = stored(further.join(every, ["file_id", "name", "ancestor_file", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "ancestors")
+        frontier = stored(further.hint("merge").join(every, ["file_id", "name", "ancestor_file", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "ancestors")
         rounds.append(frontier)
     return stored.last(reduce(DataFrame.unionByName, rounds).filter("not (file_id = ancestor_file and name = ancestor)"), "ancestors")
 
@@ -144,7 +144,7 @@ def own_calls(resolved: DataFrame, found: DataFrame, above: DataFrame) -> DataFr
     own = definitions(found).filter("role = 'class'").select("file_id", "name", F.col("file_id").alias("in_file"), F.col("name").alias("in_class"), F.lit(0).alias("depth"))
     every = own.unionByName(above.select("file_id", "name", F.col("ancestor_file").alias("in_file"), F.col("ancestor").alias("in_class"), "depth"))
     methods = definitions(found).filter("role = 'method'").select(F.col("file_id").alias("in_file"), _around("name").alias("in_class"), F.substring_index("name", ".", -1).alias("called"), F.col("name").alias("target"))
-    near = calls.join(every, ["file_id", "name"]).join(methods, ["in_file", "in_class", "called"])
+    near = calls.hint("merge").join(every, ["file_id", "name"]).hint("merge").join(methods, ["in_file", "in_class", "called"])
     best = near.groupBy("file_id", "scope", "place").agg(F.min(F.struct("depth", F.col("in_file").alias("target_file"), "target")).alias("b"))
     return best.select("file_id", "scope", "place", "b.target_file", "b.target")
 
@@ -154,11 +154,11 @@ def coupling(resolved: DataFrame, found: DataFrame) -> DataFrame:
     outside (distinct first parts of names that no file defines, builtins included)."""
     classes = definitions(found).filter("role = 'class'").select("file_id", "name")
     around = F.explode(_prefixes("scope")).alias("name")  # what a method uses, its class uses
-    uses = resolved.filter("scope <> ''").select("file_id", around, "target_file", "target", "target_role", "external", "written").join(classes, ["file_id", "name"])
+    uses = resolved.filter("scope <> ''").select("file_id", around, "target_file", "target", "target_role", "external", "written").hint("merge").join(classes, ["file_id", "name"])
     other = (F.col("target_role") == "class") & ~((F.col("target_file") == F.col("file_id")) & (F.col("target") == F.col("name")))
     root = F.when(F.col("external").isNotNull() & ~_head("written").isin(*OWN), _head("external"))
     counts = uses.groupBy("file_id", "name").agg(F.count_distinct(F.when(other, F.struct("target_file", "target"))).alias("coupled"), F.count_distinct(root).alias("outside"))
-    return classes.join(counts, ["file_id", "name"], "left").select("file_id", "name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("coupled", "outside")))
+    return classes.hint("merge").join(counts, ["file_id", "name"], "left").select("file_id", "name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("coupled", "outside")))
 
 
 def broken_overrides(found: DataFrame, above: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def broken_overrides(found: DataFrame, above: DataFrame) -> DataFrame:
     ("demands"), or take less than it takes ("rejects")."""
     own = definitions(found).filter("role = 'method'").withColumn("cls", _around("name")).withColumn("method", F.substring_index("name", ".", -1)).filter("method not in ('__init__', '__new__')")
     higher = own.select(F.col("file_id").alias("ancestor_file"), F.col("cls").alias("ancestor"), "method", F.struct(F.col("name").alias("base"), F.col("required").alias("r"), F.col("total").alias("t"), F.col("open").alias("o"), F.col("raises").alias("n")).alias("up"))
-    pairs = own.join(above.withColumnRenamed("name", "cls"), ["file_id", "cls"]).join(higher, ["ancestor_file", "ancestor", "method"])
+    pairs = own.hint("merge").join(above.withColumnRenamed("name", "cls"), ["file_id", "cls"]).hint("merge").join(higher, ["ancestor_file", "ancestor", "method"])
     nearest = pairs.groupBy("file_id", "name", "line_number", "required", "total", "open", "raises").agg(F.min_by(F.struct("ancestor_file", "up"), F.struct("depth", "ancestor_file", "ancestor")).alias("b"))
     reason = F.when(F.col("raises") & ~F.col("b.up.n"), "refused").when(F.col("required") > F.col("b.up.r"), "demands").when(~F.col("open") & (F.col("b.up.o") | (F.col("total") < F.col("b.up.t"))), "rejects")
     return nearest.select("file_id", "name", "line_number", F.col("b.ancestor_file").alias("base_file"), F.col("b.up.base").alias("base"), reason.alias("reason")).filter("reason is not null")
@@ -179,5 +179,5 @@ def envied(resolved: DataFrame, found: DataFrame, most: int = 3) -> DataFrame:
     touched = _of(found, "touch").select("file_id", "scope", "name", F.col("value").cast("long").alias("touched"))
     given = resolved.filter("role = 'annotation' and target_role = 'class'").select("file_id", "scope", F.col("place").alias("name"), "target_file", "target")
     own = touched.filter("name = 'self'").select("file_id", "scope", F.col("touched").alias("own"))
-    both = given.join(touched, ["file_id", "scope", "name"]).join(own, ["file_id", "scope"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    both = given.hint("merge").join(touched, ["file_id", "scope", "name"]).hint("merge").join(own, ["file_id", "scope"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
     return both.filter(F.col("touched") > F.greatest("own", F.lit(most))).select("file_id", F.col("scope").alias("name"), F.col("name").alias("parameter"), "target_file", "target", "touched", "own")

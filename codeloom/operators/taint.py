@@ -38,7 +38,7 @@ def calls_of(resolved: DataFrame, found: DataFrame) -> DataFrame:
     """file_id, scope, call, to_file, to_scope (null: not a function of the files)."""
     own = symbols.own_calls(resolved, found, symbols.ancestors(resolved)).select("file_id", "scope", F.col("place").alias("call"), F.col("target_file").alias("own_file"), F.col("target").alias("own"))
     calls = resolved.filter("role = 'call'").select("file_id", "scope", F.col("place").alias("call"), "target_file", "target", F.col("target_role").isin("function", "method").alias("known"))
-    both = calls.join(own, ["file_id", "scope", "call"], "left")
+    both = calls.hint("merge").join(own, ["file_id", "scope", "call"], "left")
     pick = lambda a, b: F.coalesce(F.when(F.col("known"), F.col(a)), F.col(b))
     return both.select("file_id", "scope", "call", pick("target_file", "own_file").alias("to_file"), pick("target", "own").alias("to_scope"))
 
@@ -54,17 +54,17 @@ def reach(found: DataFrame) -> DataFrame:
     onward = flows.filter("result is not null").select("file_id", "scope", F.col("result").alias("at"), "place", "call", "key")
     unknown = calls.filter("to_scope is null").select("file_id", "scope", "call")
     # a call by something else than a name is in no reference, and is as unknown
-    nameless = flows.filter("call is not null").select("file_id", "scope", "call").distinct().join(calls, ["file_id", "scope", "call"], "left_anti")
+    nameless = flows.filter("call is not null").select("file_id", "scope", "call").distinct().hint("merge").join(calls, ["file_id", "scope", "call"], "left_anti")
     unknown = stored(unknown.unionByName(nameless), "unknown")
     called = calls.filter("to_scope is not null")
 
     def enter(arguments: DataFrame) -> DataFrame:
         """file_id, scope, origin, call, and the function and parameter that an argument becomes."""
-        return arguments.filter("call is not null").join(called, ["file_id", "scope", "call"]).join(parameters, ["to_file", "to_scope", "key"]).select("file_id", "scope", "origin", "call", "to_file", "to_scope", "parameter")
+        return arguments.filter("call is not null").hint("merge").join(called, ["file_id", "scope", "call"]).hint("merge").join(parameters, ["to_file", "to_scope", "key"]).select("file_id", "scope", "origin", "call", "to_file", "to_scope", "parameter")
 
     def leave(out: DataFrame) -> DataFrame:
         """out: file_id, scope, origin, call of results that carry the origin."""
-        return out.select("file_id", "scope", "origin", F.col("call").alias("at")).distinct().join(onward, ["file_id", "scope", "at"]).select(*_REACH)
+        return out.select("file_id", "scope", "origin", F.col("call").alias("at")).distinct().hint("merge").join(onward, ["file_id", "scope", "at"]).select(*_REACH)
 
     def summary(rows: DataFrame, kind: str) -> DataFrame:
         of = rows.select(F.col("file_id").alias("to_file"), F.col("scope").alias("to_scope"), F.col("origin").alias("parameter"), "place")
@@ -78,15 +78,15 @@ def reach(found: DataFrame) -> DataFrame:
         fresh = entered if first else stored(enter(new), "entered")
         entered = entered if first else stored(entered.unionByName(fresh), "entered")
         pairs = [(fresh, every)] + ([] if first else [(entered, new)])
-        results = reduce(DataFrame.unionByName, [a.join(summary(b, "r"), on).select("file_id", "scope", "origin", "call") for a, b in pairs])
-        passed = new.filter("call is not null").join(unknown, ["file_id", "scope", "call"]).select("file_id", "scope", "origin", "call")
-        brought = new.filter("place = 'r' and origin like 's|%'").select(F.col("file_id").alias("to_file"), F.col("scope").alias("to_scope"), "origin").join(called, ["to_file", "to_scope"]).select("file_id", "scope", "origin", "call")
+        results = reduce(DataFrame.unionByName, [a.hint("merge").join(summary(b, "r"), on).select("file_id", "scope", "origin", "call") for a, b in pairs])
+        passed = new.filter("call is not null").hint("merge").join(unknown, ["file_id", "scope", "call"]).select("file_id", "scope", "origin", "call")
+        brought = new.filter("place = 'r' and origin like 's|%'").select(F.col("file_id").alias("to_file"), F.col("scope").alias("to_scope"), "origin").hint("merge").join(called, ["to_file", "to_scope"]).select("file_id", "scope", "origin", "call")
         no = F.lit(None).cast("string")
-        sunk = [a.join(summary(b, "k"), on).select("file_id", "scope", "origin", "place", no.alias("call"), no.alias("key")) for a, b in pairs]
+        sunk = [a.hint("merge").join(summary(b, "k"), on).select("file_id", "scope", "origin", "place", no.alias("call"), no.alias("key")) for a, b in pairs]
         found_now = reduce(DataFrame.unionByName, [leave(results.unionByName(passed).unionByName(brought)), *sunk]).distinct()
         known = every.select("file_id", "scope", "origin", "place", "call", "key", F.lit(True).alias("known"))
         same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in _REACH]
-        new = stored(found_now.alias("n").join(known.alias("o"), reduce(lambda a, b: a & b, same), "left_anti"), "new")
+        new = stored(found_now.alias("n").hint("merge").join(known.alias("o"), reduce(lambda a, b: a & b, same), "left_anti"), "new")
         every = stored(every.unionByName(new), "reach")
         first = False
     stored.drop(keep=every)

@@ -94,7 +94,7 @@ class FactStore:
         folders, keyed = self.folders(), self.keyed(files)
         known = self._read("keys", _KEYS, folders)
         self.files = keyed.count()
-        new = keyed.join(known, ["key", "split"], "left_anti")
+        new = keyed.hint("merge").join(known, ["key", "split"], "left_anti")
         # one file for each key: equal files have equal facts
         new = new.groupBy("key", "split").agg(F.first("path").alias("path"), F.first("code").alias("code"))
         self.parsed = new.count()
@@ -107,7 +107,7 @@ class FactStore:
             self._commit([folder])
             folders = [*folders, folder]
         kept = self._read("facts", _KEPT, folders)
-        return keyed.select("file_id", "key", "split").join(kept, ["key", "split"]).select(*(c.split()[0] for c in engine.FACTS.split(", ")))
+        return keyed.select("file_id", "key", "split").hint("merge").join(kept, ["key", "split"]).select(*(c.split()[0] for c in engine.FACTS.split(", ")))
 
     def compact(self, files: DataFrame) -> int:
         """Keeps what these files need, in one folder, and deletes the rest; the number of keys that went. Nobody else may read."""
@@ -115,8 +115,8 @@ class FactStore:
         needed = self.keyed(files).select("key", "split").distinct()
         keys = self._read("keys", _KEYS, folders)
         before, folder = keys.count(), uuid.uuid4().hex
-        self._write(self._read("facts", _KEPT, folders).join(needed, ["key", "split"], "left_semi"), folder, "facts")
-        self._write(keys.join(needed, ["key", "split"], "left_semi").distinct(), folder, "keys")
+        self._write(self._read("facts", _KEPT, folders).hint("merge").join(needed, ["key", "split"], "left_semi"), folder, "facts")
+        self._write(keys.hint("merge").join(needed, ["key", "split"], "left_semi").distinct(), folder, "keys")
         self._commit([folder], alone=True)
         fs = self._fs()
         for f in folders:

@@ -17,3 +17,18 @@ def test_tests_are_parsed_once_by_all_cores(spark, data):
 
 def test_flows_are_parsed_once_by_all_cores(spark, data):
     once(plan(QUERIES["taint_flows"](spark, data)))
+
+
+def test_names_over_files_are_joined_by_shuffles(spark, data, monkeypatch):
+    """However small a written table is: compressed, it is a hundredth of what a broadcast would send."""
+    from codeloom.operators import symbols, taint
+    from codeloom.plans import across
+    from codeloom.sources import store
+
+    plans, stored = [], store.stored
+    monkeypatch.setattr(store, "stored", lambda df, name: plans.append(plan(df)) or stored(df, name))
+    found = across.kept_facts(spark, across.class_files(spark, data), "symbols", "flows").limit(300)
+    resolved = symbols.resolve(symbols.references(found), found)
+    above = symbols.ancestors(resolved)
+    plans += [plan(x) for x in (symbols.coupling(resolved, found), symbols.broken_overrides(found, above), symbols.envied(resolved, found), taint.flows(found))]
+    assert len(plans) > 12 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
