@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
-from .source import FUNCTION, Fact, Source, children, measure, walk
+from .source import FUNCTION, HERE, Fact, Source, children, measure, walk
 
 NAME = "test_quality"
 #: Fixed values. Assertions by what they say; all but the weak ones are strong
@@ -74,13 +74,13 @@ def detect(source: Source) -> Iterator[Fact]:
             yield _issue("TEST_SMELL_005", "medium", f"Mystery Guest: {f.name}", f.lineno)
     for f in source.plain_functions:
         if f.name in ("setUp", "setUpClass") and f.end_lineno - f.lineno > FIXTURE:
-            yield _issue("TEST_SMELL_006", "low", f"General Fixture in {source.file_name}", f.lineno)
+            yield _issue("TEST_SMELL_006", "low", f"General Fixture in {HERE}", f.lineno)
     shapes = [kinds(f) for f in tests if not isinstance(f, FUNCTION[1])]
     pairs = [likeness(a, b) for a, b in combinations(shapes, 2)]
     mean = sum(pairs) / len(pairs) if pairs else 0.0
     yield measure(NAME, "duplication", mean)
     if mean > DUPLICATED:
-        yield _issue("TEST_SMELL_007", "medium", f"Test Code Duplication in {source.file_name}", None)
+        yield _issue("TEST_SMELL_007", "medium", f"Test Code Duplication in {HERE}", None)
 
 
 def edges_of(function: ast.AST) -> list[str]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..detect import architecture, complexity
-from ..detect.engine import parse
+from ..detect.engine import Known, parse
 from ..detect.source import FUNCTION, argument_names, walk
 
 FUNCTIONS = ("FunctionDef", "AsyncFunctionDef")
@@ -21,8 +21,8 @@ _NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 _TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()), *[pa.int64()] * 3, pa.float64(), *[pa.int64()] * 8]
 
 
-def _row(file_id: str, node: ast.AST) -> tuple:
-    head = (file_id, type(node).__name__, node.name, node.lineno, node.end_lineno - node.lineno + 1, ast.get_docstring(node) is not None)
+def _row(node: ast.AST) -> tuple:
+    head = (type(node).__name__, node.name, node.lineno, node.end_lineno - node.lineno + 1, ast.get_docstring(node) is not None)
     if isinstance(node, ast.ClassDef):
         return (*head, None, complexity.cyclomatic(node), *[None] * 7, len(architecture.methods(node)), architecture.weight(node), architecture.cohesion_groups(node), architecture.responses(node))
     ifs = [n for n in walk(node) if isinstance(n, ast.If)]
@@ -38,14 +38,19 @@ def blocks(files: DataFrame) -> DataFrame:
     """BLOCKS of `files` (file_id, code). Files that do not parse, null and empty code have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for batch in batches:
             rows = []
             for file_id, code in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    source = parse(file_id, None, code.as_py() or "")
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
-                    continue
-                rows += [_row(file_id, n) for n in source.of(*FUNCTION, ast.ClassDef)]
+                code = code.as_py() or ""
+                own = known.get(code)
+                if own is None:
+                    try:
+                        own = [_row(n) for n in parse("", None, code).of(*FUNCTION, ast.ClassDef)]
+                    except (SyntaxError, ValueError, RecursionError, MemoryError):
+                        own = []
+                    known.keep(code, own, len(own))
+                rows += [(file_id, *row) for row in own]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 

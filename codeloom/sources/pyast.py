@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..detect.engine import parse
+from ..detect.engine import Known, parse
 from ..detect.source import BLOCK, FUNCTION, NESTED, children
 
 #: nest: ancestors within the function that make a branch harder to follow; block_nest: those that open a nested block, anywhere
@@ -20,11 +20,12 @@ _TYPES = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t] f
 TOGETHER = 50_000
 
 
-def _rows(file_id: str, code: str | None) -> list[tuple]:
+def _rows(code: str) -> list[tuple]:
+    """Without file_id."""
     try:
-        root = parse(file_id, None, code or "").tree
+        root = parse("", None, code).tree
     except (SyntaxError, ValueError, RecursionError) as e:
-        return [(file_id, *[None] * (len(_COLUMNS) - 2), str(e))]
+        return [(*[None] * (len(_COLUMNS) - 2), str(e))]
     out, queue, number = [], [(root, None, 0, None, None, 0, 0)], 0
     while number < len(queue):  # breadth first
         node, parent, depth, func, cls, nest, block = queue[number]
@@ -32,7 +33,7 @@ def _rows(file_id: str, code: str | None) -> list[tuple]:
         name = getattr(node, "name", None) or getattr(node, "id", None) or getattr(node, "attr", None) or getattr(node, "arg", None)
         args = node.args if is_func else None
         out.append((
-            file_id, number, parent, depth, type(node).__name__, name if isinstance(name, str) else None, getattr(node, "lineno", None), getattr(node, "end_lineno", None), func, cls, nest, block,
+            number, parent, depth, type(node).__name__, name if isinstance(name, str) else None, getattr(node, "lineno", None), getattr(node, "end_lineno", None), func, cls, nest, block,
             sum(map(len, (args.posonlyargs, args.args, args.kwonlyargs))) if args else None, bool(node.orelse) if isinstance(node, (ast.If, ast.For, ast.While)) else None,
             ast.get_docstring(node) is not None if isinstance(node, _BODIES) else None, len(node.values) if isinstance(node, ast.BoolOp) else None, None,
         ))
@@ -48,9 +49,15 @@ def nodes(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        known = Known()
         for batch in batches:
             for f, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += _rows(f, c.as_py())
+                code = c.as_py() or ""
+                own = known.get(code)
+                if own is None:
+                    own = _rows(code)
+                    known.keep(code, own, len(own))
+                rows += [(f, *row) for row in own]
                 if len(rows) >= TOGETHER:
                     yield _batch(rows)
                     rows = []

@@ -32,3 +32,39 @@ def test_names_over_files_are_joined_by_shuffles(spark, data, monkeypatch):
     above = symbols.ancestors(resolved)
     plans += [plan(x) for x in (symbols.coupling(resolved, found), symbols.broken_overrides(found, above), symbols.envied(resolved, found), taint.flows(found))]
     assert len(plans) > 12 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_equal_codes_are_judged_once(monkeypatch):
+    """Where a detector looks at the path, each file is judged; a title still names its own file."""
+    from codeloom.detect import engine, rules
+
+    parsed, parse = [], engine.parse
+    monkeypatch.setattr(engine, "parse", lambda *a: parsed.append(a) or parse(*a))
+    code = "def f(a):\n" + "".join(f"{' ' * k}if a > {k}:\n" for k in range(1, 9)) + " " * 9 + "return a\n"
+    known, chosen = engine.Known(), [(m.NAME, m.detect) for m in (engine.complexity, engine.readability)]
+    got = {p: list(engine.facts_of("1", p, code, chosen, known)) for p in ("a/x.py", "b/y.py", "b/y.py")}
+    assert len(parsed) == 1
+    assert got == {p: list(engine.facts_of("1", p, code, chosen)) for p in got}
+    assert any("y.py" in (f.title or "") for f in got["b/y.py"]) and not any("\0" in (f.title or "") for f in got["b/y.py"])
+    parsed.clear()
+    edges = [(engine.architecture.NAME, engine.architecture.detect)]
+    scopes = [{f.scope for f in engine.facts_of("1", p, "import os\n", edges, known) if f.kind == "edge"} for p in ("a/x.py", "b/y.py")]
+    assert scopes == [{"x"}, {"y"}] and len(parsed) == 1
+    looks = [("own", lambda source: iter([engine.Fact("own", "issue", source.path)]))]
+    assert [[f.name for f in engine.facts_of("1", p, "x = 1\n", looks, known)] for p in ("a/x.py", "b/y.py")] == [["a/x.py"], ["b/y.py"]]
+    ruled = [("custom_rules", rules.detector([rules.Rule.load({"id": "r", "name": "R", "pattern": "eval(", "exclude_paths": ["src/"]})], taint=False, smells=False))]
+    parsed.clear()
+    assert [len(list(engine.facts_of("1", p, "eval(x)\n", ruled, known))) for p in ("a.py", "src/a.py", "b.py", "src/b.py")] == [1, 0, 1, 0] and len(parsed) == 2
+    broken = [list(engine.facts_of(p, p, "def f(:\n", chosen, known)) for p in ("a", "b")]
+    assert broken[0] == broken[1] and broken[0][0].kind == "parse_error"
+
+
+def test_kept_codes_are_bounded():
+    from codeloom.detect.engine import Known
+
+    known = Known(10)
+    for k in range(100):
+        known.keep(f"x{k}", [k] * 2, 2)
+        assert known.get("x0" if k < 3 else f"x{k}") is not None and known.size <= 10
+    known.keep("big", [0] * 50, 50)
+    assert known.get("big") is None and known.get("x99") == [99, 99] and known.get("x1") is None
