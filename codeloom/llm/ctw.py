@@ -119,7 +119,7 @@ def downward(nodes: list[Nodes], parents: list[np.ndarray], stops: list[np.ndarr
             up = parents[k - 1]
             gathered, left = (gathered + left * stops[k - 1] * estimate)[up], (left * (1 - stops[k - 1]))[up]
         estimate = (ones + 0.5) / (total + 1)
-        out.append((path, (gathered + left * estimate).astype(np.float32)))
+        out.append((path, gathered + left * estimate))  # not as float32, which is 1 from 2^24 equal bits on and leaves the other bit no chance
     return out, gathered, left
 
 

@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codeloom.llm.ctw import ContextTree, contexts, log_kt
+from codeloom.llm.ctw import ContextTree, Trunk, contexts, log_kt
 from codeloom.llm.lm_score import op6_lm_score, scores, stream_of
 
 
@@ -141,3 +141,14 @@ def test_full_depth_whatever_is_broadcast(spark, data):
         got = sorted((r["doc_id"], r["score"]) for r in scores(spark.createDataFrame(docs, "doc_id long, text string"), capacity=capacity).collect())
         assert [d for d, _ in got] == [d for d, _ in want]
         assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9, atol=1e-6)
+
+
+def test_no_byte_is_impossible_after_many_equal_ones():
+    """Contexts that were seen very often, always before the same byte."""
+    keys = np.sort(np.array([(a << 8 | b) << 8 | 255 for a in (97, 98) for b in (97, 98)]))
+    counts = np.full(4, 1 << 28)
+    tree = ContextTree(keys, counts, 2)
+    trunk = Trunk(1, Trunk.weights(keys, counts, 1, 2))
+    asked = np.array([(97 << 8 | 98) << 8, (97 << 8 | 98) << 8 | 127, 7])
+    for got in (tree.log10(asked), trunk.log10(keys, counts, asked, 2)):
+        assert np.isfinite(got).all() and (got < -8).all()
