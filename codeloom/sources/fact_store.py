@@ -14,11 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..detect import engine
+from .store import forget, stored
+from .tables import spread
 
 _KEYS = "key string"
 _KEPT = "key string, " + engine.FACTS.removeprefix("file_id string, ")
 #: Change it with any change of what detectors find
 VERSION = "3"
+#: Rows that a task writes, more or less
+TOGETHER = 100_000
 #: Times that a run tries to name its folder while others do so too
 TRIES = 20
 
@@ -76,8 +80,11 @@ class FactStore:
         found = self.spark.read.schema(f"{schema}, run string, split int").option("basePath", top)
         return found.parquet(*(f"{top}/run={f}" for f in folders)).drop("run")
 
-    def _write(self, df: DataFrame, folder: str, part: str) -> None:
-        df.repartition(self.splits, "split").sortWithinPartitions("split", "key").write.partitionBy("split").parquet(f"{self.path}/{part}/run={folder}")
+    def _write(self, df: DataFrame, folder: str, part: str, keys: int) -> None:
+        """keys: how many there are; the more, the more tasks share a split."""
+        shares = 1 + keys // (TOGETHER * self.splits)
+        task = F.col("split") * shares + F.pmod(F.xxhash64("key"), F.lit(shares)).cast("int")
+        df.repartitionById(self.splits * shares, task).sortWithinPartitions("split", "key").write.partitionBy("split").parquet(f"{self.path}/{part}/run={folder}")
 
     # --- facts
 
@@ -96,16 +103,19 @@ class FactStore:
         self.files = keyed.count()
         new = keyed.hint("merge").join(known, ["key", "split"], "left_anti")
         # one file for each key: equal files have equal facts
-        new = new.groupBy("key", "split").agg(F.first("path").alias("path"), F.first("code").alias("code"))
-        self.parsed = new.count()
-        if self.parsed:
-            folder = uuid.uuid4().hex
-            found = engine.facts(new.select(F.col("key").alias("file_id"), "path", "code"), *self.detectors).withColumnRenamed("file_id", "key")
-            split = F.pmod(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), F.lit(self.splits))
-            self._write(found.withColumn("split", split), folder, "facts")
-            self._write(new.select("key", "split"), folder, "keys")
-            self._commit([folder])
-            folders = [*folders, folder]
+        new = stored(new.groupBy("key", "split").agg(F.first("path").alias("path"), F.first("code").alias("code")), "new-files")
+        try:
+            self.parsed = new.count()
+            if self.parsed:
+                folder = uuid.uuid4().hex
+                found = engine.facts(spread(new).select(F.col("key").alias("file_id"), "path", "code"), *self.detectors).withColumnRenamed("file_id", "key")
+                split = F.pmod(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), F.lit(self.splits))
+                self._write(found.withColumn("split", split), folder, "facts", self.parsed)
+                self._write(new.select("key", "split"), folder, "keys", self.parsed)
+                self._commit([folder])
+                folders = [*folders, folder]
+        finally:
+            forget(new)
         kept = self._read("facts", _KEPT, folders)
         return keyed.select("file_id", "key", "split").hint("merge").join(kept, ["key", "split"]).select(*(c.split()[0] for c in engine.FACTS.split(", ")))
 
@@ -115,8 +125,8 @@ class FactStore:
         needed = self.keyed(files).select("key", "split").distinct()
         keys = self._read("keys", _KEYS, folders)
         before, folder = keys.count(), uuid.uuid4().hex
-        self._write(self._read("facts", _KEPT, folders).hint("merge").join(needed, ["key", "split"], "left_semi"), folder, "facts")
-        self._write(keys.hint("merge").join(needed, ["key", "split"], "left_semi").distinct(), folder, "keys")
+        self._write(self._read("facts", _KEPT, folders).hint("merge").join(needed, ["key", "split"], "left_semi"), folder, "facts", before)
+        self._write(keys.hint("merge").join(needed, ["key", "split"], "left_semi").distinct(), folder, "keys", before)
         self._commit([folder], alone=True)
         fs = self._fs()
         for f in folders:

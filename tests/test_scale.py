@@ -34,6 +34,23 @@ def test_names_over_files_are_joined_by_shuffles(spark, data, monkeypatch):
     assert len(plans) > 12 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
 
+def test_new_files_are_told_from_known_ones_once(spark, monkeypatch):
+    """Neither their facts nor their keys go back to the join that found them; more tasks write more keys."""
+    import uuid
+
+    from codeloom.sources import fact_store
+    from codeloom.sources.store import shared_dir
+
+    plans, write = [], fact_store.FactStore._write
+    monkeypatch.setattr(fact_store.FactStore, "_write", lambda self, df, *more: plans.append(plan(df)) or write(self, df, *more))
+    monkeypatch.setattr(fact_store, "TOGETHER", 10, raising=False)
+    files = spark.range(1_000).selectExpr("cast(id as string) as file_id", "concat('m', id, '.py') as path", "concat('password = \"hunter', id, '!\"') as code")
+    store = fact_store.FactStore(spark, f"{shared_dir(spark)}/codeloom/test-{uuid.uuid4().hex}", "security", splits=4)
+    assert [(store.facts(files).filter("name = 'SECRET_PASSWORD'").count(), store.parsed) for _ in range(2)] == [(1_000, 1_000), (1_000, 0)]
+    assert len(plans) == 2 and not any("Join" in p or "Aggregate" in p for p in plans)
+    assert len(store._read("keys", "key string", store.folders()).inputFiles()) > 50
+
+
 def test_equal_codes_are_judged_once(monkeypatch):
     """Where a detector looks at the path, each file is judged; a title still names its own file."""
     from codeloom.detect import engine, rules
