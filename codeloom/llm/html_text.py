@@ -5,12 +5,13 @@ boilerplate (menu, footer, advert, form, comments and so on), or none of these.
 their articles alone, other pages with a main part from that, even if it is short. The blocks of the remaining pages are one
 token stream, and what a host repeats is cut from it.
 
-A suffix array of a host's streams would be searched for substrings of RUN or more tokens that distinct pages share. A token
-is in such a substring exactly if it is in a run of RUN tokens that distinct pages share. So suffixes count by their first
-RUN tokens only, and these are grouped by hash where an array would be sorted; nothing is ordered. Runs reach across blocks.
-A block of fewer tokens that distinct pages share as a whole goes too. Pages of a host with the same stream are one page:
-mirrors keep their text. Hashes are reduced to their least and greatest stream before the shuffle, so a host with a third of
-all pages is no hot key.
+That is found in a suffix array over the hosts' streams: every suffix, by its first RUN tokens, is sorted over all partitions, and
+neighbours that agree in all of these and come from distinct pages are a substring that the host repeats. (A token is in a
+shared substring of RUN or more tokens exactly if it is in a shared one of RUN, so the order beyond them says nothing.) Text outside
+the article or main part of a page is in the array too: it has no part in that page's text, but shows what the host repeats.
+Suffixes reach across blocks. A block of fewer tokens that distinct pages share as a whole goes too. Pages of a host with the same
+stream are one page: mirrors keep their text. A task brings each suffix once, with its least and greatest stream, so a host with
+a third of all pages is no hot key.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,21 +221,27 @@ def _run_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def _hashes(blocks: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes of the stream's runs, of each block that is shorter than a run (0 for others), and of the whole stream."""
-    words = [hashed_words(t) for t in blocks]
+def _hashes(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of the words of blocks, hashes of the stream's runs, of each block that is shorter than a run (0 for others), and of the
+    whole stream."""
     stream = np.concatenate([*words, np.empty(0, np.uint64)])
     short = [_run_hashes(w, len(w))[0] if 0 < len(w) < RUN else np.uint64(0) for w in words]
     whole = mix(np.append(stream, np.uint64(len(stream))) + np.arange(len(stream) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
     return _run_hashes(stream, RUN).view(np.int64), np.array(short, np.uint64).view(np.int64), int(whole.astype(np.int64))
 
 
+def _keys(words: list[np.ndarray]) -> list[bytes]:
+    """What _hashes() hashes: the first RUN tokens of the stream's suffixes, then the tokens of each shorter block, eight bytes a token."""
+    stream = np.concatenate([*words, np.empty(0, np.uint64)]).astype(">u8").tobytes()
+    return [*(stream[k : k + 8 * RUN] for k in range(0, len(stream) - 8 * RUN + 1, 8)), *(w.astype(">u8").tobytes() if len(w) < RUN else b"" for w in words)]
+
+
 CUT = "page_id long, url string, text string, loose array<string>, runs array<long>, short array<long>, stream long"
 
 
 def cut(pages: DataFrame) -> DataFrame:
-    """CUT: text is null for pages without an article or main part; of these, loose are the blocks, and runs, short, stream
-    their hashes."""
+    """CUT: text is null for pages without an article or main part; of these, loose are the blocks, and runs, short, stream their
+    hashes. Of others, loose are the blocks outside, and stream is theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,8 +252,10 @@ def cut(pages: DataFrame) -> DataFrame:
                     blocks = blocks_of(page.as_py() or "")
                     level = max((k for _, k in blocks), default=0)
                     texts.append("\n".join(t for t, k in blocks if k == level) if level else None)
-                    loose.append([] if level else [t for t, _ in blocks])
-                    hashes.append(_hashes(loose[-1]))
+                    loose.append([t for t, k in blocks if k < level or not level])
+                    found = _hashes([hashed_words(t) for t in loose[-1]])
+                    # what is outside an article is never the same page as a page without one
+                    hashes.append(found if not level else ((), (), ~found[2]))
                 runs, short, stream = zip(*hashes)
                 lists = [pa.array(loose, pa.list_(pa.string())), *(pa.array(x, pa.list_(pa.int64())) for x in (runs, short))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), *lists, pa.array(stream, pa.int64())], names=[c.split()[0] for c in CUT.split(", ")])
@@ -253,6 +263,73 @@ def cut(pages: DataFrame) -> DataFrame:
     return in_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, CUT)
 
 
+#: Suffixes that a task sorts out before they leave it
+TOGETHER = 100_000
+SUFFIXES = "host string, suffix binary, gram long, a long, b long"
+
+
+def suffix_array(parsed: DataFrame) -> DataFrame:
+    """SUFFIXES of the blocks of all rows, in ascending order over all partitions, equal ones in one partition: a and b are the least
+    and the greatest stream that a task has found one in (of its last TOGETHER), gram its hash."""
+
+    def rows(found: dict[tuple[str | None, bytes], list[int]]) -> pa.RecordBatch:
+        hosts, keys = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*found.values()))], names=[c.split()[0] for c in SUFFIXES.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str | None, bytes], list[int]] = {}
+        for batch in batches:
+            for host, stream, loose in zip(*batch.columns):
+                host, stream, words = host.as_py(), stream.as_py(), [hashed_words(t) for t in loose.as_py()]
+                runs, short, _ = _hashes(words)
+                for key, gram in zip(_keys(words), (*runs.tolist(), *short.tolist())):
+                    if gram:
+                        old = found.get((host, key))
+                        if old is None:
+                            found[host, key] = [gram, stream, stream]
+                        elif not old[1] <= stream <= old[2]:
+                            old[1], old[2] = min(old[1], stream), max(old[2], stream)
+                if len(found) >= TOGETHER:
+                    yield rows(found)
+                    found.clear()
+        if found:
+            yield rows(found)
+
+    each = parsed.filter("size(loose) > 0").select("host", "stream", "loose").mapInArrow(run, SUFFIXES)
+    return each.repartitionByRange("host", "suffix").sortWithinPartitions("host", "suffix")
+
+
+def repeated_in(suffixes: DataFrame) -> DataFrame:
+    """host, gram of the suffixes, in order, that neighbours from distinct streams share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, said = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = []
+            # most suffixes are alone, and are passed over
+            same = pc.equal(batch.column(1)[1:], batch.column(1)[:-1]).to_numpy(zero_copy_only=False)
+            near = pc.not_equal(batch.column(3), batch.column(4)).to_numpy(zero_copy_only=False).copy()
+            near[1:] |= same
+            near[:-1] |= same
+            near[[0, -1]] = True
+            for host, suffix, gram, a, b in zip(*(c.to_pylist() for c in batch.filter(pa.array(near)).columns)):
+                if last and last[:2] == (host, suffix):
+                    a, b = min(a, last[2]), max(b, last[3])
+                else:
+                    said = False
+                if a != b and not said:
+                    out.append((host, gram))
+                    said = True
+                last = (host, suffix, a, b)
+            if out:
+                hosts, grams = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(grams, pa.int64())], names=["host", "gram"])
+
+    return suffixes.mapInArrow(run, "host string, gram long")
+
+
 def unique_runs(loose: list[str], runs: list[int], short: list[int], repeated: set[int]) -> str:
     """The blocks without the tokens that repeated runs cover and without repeated short blocks."""
     sizes = [len(hashed_words(t)) for t in loose]
@@ -283,9 +360,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     sure = parsed.filter("text is not null or size(loose) = 0").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
     loose = parsed.filter("text is null and size(loose) > 0")
     hashes = F.array_remove(F.array_distinct(F.concat("runs", "short")), F.lit(0).cast("long"))
-    suffixes = loose.select("row", "host", "stream", F.explode(hashes).alias("gram"))
-    repeated = suffixes.groupBy("host", "gram").agg(F.min("stream").alias("a"), F.max("stream").alias("b")).filter("a <> b").select("host", "gram")
-    covered = suffixes.join(repeated, ["host", "gram"]).groupBy("row").agg(F.collect_list("gram").alias("repeated"))
+    grams = loose.select("row", "host", F.explode(hashes).alias("gram"))
+    covered = grams.join(repeated_in(suffix_array(parsed)), ["host", "gram"]).groupBy("row").agg(F.collect_list("gram").alias("repeated"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

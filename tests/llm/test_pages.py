@@ -219,3 +219,30 @@ def test_what_hosts_repeat_against_brute_force(spark):
     rows = [(k, f"http://{host}/{k}", "".join(f"<div>{b}</div>" for b in blocks)) for k, (host, blocks) in pages.items()]
     got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == brute_unique(pages)
+
+
+def test_suffixes_are_sorted_over_all_partitions(spark):
+    """Those of all pages: of one with an article, what stands outside of it."""
+    from codeloom.llm.html_text import cut, repeated_in, suffix_array
+    from codeloom.llm.url_filter import host_of
+
+    rng = random.Random(4)
+    pages = [(k, f"http://h{k % 2}.org/{k}", "".join(f"<div>{' '.join(rng.choice('abc') for _ in range(12))}</div>" for _ in range(3))) for k in range(40)]
+    pages += [(40, "http://h0.org/", "<p>" + " ".join(f"o{k}" for k in range(9)) + "</p><article>its own</article>")]
+    parsed = cut(spark.createDataFrame(pages, "page_id long, url string, html string")).withColumn("host", host_of("url"))
+    order = suffix_array(parsed)
+    got = [(r["host"], r["suffix"]) for part in order.rdd.glom().collect() for r in part]
+    assert got == sorted(got) and len(set(got)) > 1_000 and len({h for h, s in got if len(s) == 64}) == 2
+    words = {k: re.findall("[a-z][0-9]*", re.sub("<article>.*|<.*?>", " ", page)) for k, _, page in pages}
+    runs = {(k % 2, tuple(w[i : i + 8])) for k, w in words.items() for i in range(len(w) - 7)}
+    assert len({x for x in got if len(x[1]) == 64}) == len(runs)
+    shared = [sum(k % 2 == host and any(tuple(w[i : i + 8]) == run for i in range(len(w) - 7)) for k, w in words.items()) > 1 for host, run in runs]
+    assert repeated_in(order).count() == sum(shared)
+
+
+def test_text_outside_articles_shows_what_a_host_repeats(spark):
+    bar = "Read all our terms and conditions before you go on"
+    own = "a page has a long text of its own with many words"
+    rows = [(1, "http://h.org/1", f"<div>{bar}</div><div>{own}</div>"), (2, "http://h.org/2", f"<div>{bar}</div><article><p>Main: {own}</p></article>"), (3, "http://i.org/", f"<div>{bar}</div>")]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: own, 2: f"Main: {own}", 3: bar}
